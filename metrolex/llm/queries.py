@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from .decontaminate import OP2_SQL, op2_decontaminate
+from .langid import op1_language_id
 from .linededup import OP8_SQL, op8_line_dedup
+from .secrets import op7_secret_scan
 
-QUERIES = {"op8_line_dedup": op8_line_dedup}
-ORACLE = {"op8_line_dedup": OP8_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup}
+ORACLE = {"op2_decontaminate": OP2_SQL, "op8_line_dedup": OP8_SQL}
