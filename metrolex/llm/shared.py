@@ -192,3 +192,27 @@ def bloom_has(filter_: np.ndarray, keys: np.ndarray, probes: int = 4) -> np.ndar
         at = bloom_places(keys[i : i + (1 << 16)], len(filter_) * 64, probes)
         out[i : i + (1 << 16)] = ((filter_[(at >> U(6)).astype(np.int64)] >> (at & U(63))) & U(1)).all(axis=1)
     return out
+
+
+def runs(batches, key: int = 0) -> Iterator[pa.RecordBatch]:
+    """Whole groups of equal key (a long) from a stream that is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.asarray(b.column(key))
+        cuts = np.flatnonzero(k[1:] != k[:-1]) + 1
+        if held and np.asarray(held[-1].column(key))[-1] != k[0]:
+            yield _joined(held)
+            held = []
+        for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(k)]):
+            held.append(b.slice(lo, hi - lo))
+            if hi < len(k):
+                yield _joined(held)
+                held = []
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
