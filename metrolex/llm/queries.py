@@ -7,6 +7,7 @@ from .langid import op1_language_id
 from .linededup import OP8_SQL, op8_line_dedup
 from .neardup import OP6_SQL, op6_near_dedup
 from .secrets import op7_secret_scan
+from .substrings import OP10_SQL, op10_substring_dedup
 
-QUERIES = {"op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op6_near_dedup": op6_near_dedup, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup}
-ORACLE = {"op2_decontaminate": OP2_SQL, "op6_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL}
+QUERIES = {"op1_language_id": op1_language_id, "op2_decontaminate": op2_decontaminate, "op6_near_dedup": op6_near_dedup, "op7_secret_scan": op7_secret_scan, "op8_line_dedup": op8_line_dedup, "op10_substring_dedup": op10_substring_dedup}
+ORACLE = {"op2_decontaminate": OP2_SQL, "op6_near_dedup": OP6_SQL, "op8_line_dedup": OP8_SQL, "op10_substring_dedup": OP10_SQL}
