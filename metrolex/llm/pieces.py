@@ -37,7 +37,7 @@ from .shared import texts
 #: Characters of a chunk; a longer document is spread over tasks.
 CHUNK = 1 << 16
 #: Stretches and pairs that one task remembers.
-MEMORY = 150_000
+MEMORY = 400_000
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = -math.inf
@@ -140,24 +140,71 @@ class Pieces:
 
     def _single(self, s: str) -> list[str]:
         """The scan with one state at either end."""
+        return self._best_path(s) if self.unigram else self._only_path(s)
+
+    def _best_path(self, s: str) -> list[str]:
         n, ids = len(s), self.ids
-        last: list[str | None] = [""] + [None] * n
+        last = [""] * (n + 1)
         best = [0.0] + [NEVER] * n
         for end in range(1, n + 1):
             for j in range(max(0, end - self.longest), end):
-                p = s[j:end]
-                if (before := last[j]) is not None and (p in ids or j == end - 1):
-                    w = best[j] + self.weight(before, p)
+                if (p := s[j:end]) in ids or j == end - 1:
+                    w = best[j] + self.weight("", p)
                     if w > best[end]:
                         best[end], last[end] = w, p
-                        if not self.unigram:
-                            break  # one path at most reaches a place
         out, at = [], n
         while at:
             out.append(last[at])
             at -= len(last[at])
         return out[::-1]
 
+    def _only_path(self, s: str) -> list[str]:
+        """With weights 0 and -inf a place is reached by one path at most, so the scan may go depth first, longest piece first; a place that led nowhere is not tried again."""
+        n, trie, pairs = len(s), self.trie, self.pairs
+        dead = bytearray(n + 1)
+        path: list[str] = []
+        open_: list[list[int]] = []
+        at, before = 0, ""
+        while at < n:
+            node, found = trie, [at + 1]
+            for k in range(at, n):
+                node = node.get(s[k])
+                if node is None:
+                    break
+                if "" in node and k > at:
+                    found.append(k + 1)
+            open_.append(found)
+            while True:
+                if found:
+                    end = found.pop()
+                    if dead[end]:
+                        continue
+                    p = s[at:end]
+                    ok = pairs.get((before, p))
+                    if ok if ok is not None else self.weight(before, p) > NEVER:
+                        path.append(p)
+                        at, before = end, p
+                        break
+                else:
+                    dead[at] = 1
+                    open_.pop()
+                    at -= len(path.pop())
+                    before = path[-1] if path else ""
+                    found = open_[-1]
+        return path
+
+    @property
+    def trie(self) -> dict:
+        """Nested by character; the key '' marks a piece."""
+        if not hasattr(self, "_trie"):
+            self._trie: dict = {}
+            for p in self.ids:
+                node = self._trie
+                for c in p:
+                    node = node.setdefault(c, {})
+                node[""] = True
+        return self._trie
+
 
 def stretches(text: str, resets: bool) -> list[str]:
     """The text cut before each blank that follows another character."""
