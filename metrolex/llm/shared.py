@@ -57,10 +57,10 @@ def _power(kind: str, n: int) -> np.ndarray:
     return have
 
 
-def words(data: np.ndarray, breaks: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, breaks: np.ndarray, lower: bool = False, clip: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Start, end (bytes) and 64-bit hash of each word [^\\x20\\x09-\\x0D]+ of UTF-8 bytes.
 
-    breaks: sorted positions where a text begins; no word crosses them. Texts of any length
+    breaks: sorted positions where a text begins; no word crosses them. clip: the hash is of the first so many bytes. Texts of any length
     are worked through in pieces of about STEP_BYTES, cut where no word is open.
     """
     if not len(data):
@@ -87,6 +87,8 @@ def words(data: np.ndarray, breaks: np.ndarray, lower: bool = False) -> tuple[np
             total[0] = 0
             np.cumsum(_BYTE[_LOWER[piece] if lower else piece] * _power("up", len(piece))[: len(piece)], out=total[1:])
             s, e = starts[i:j] - base, ends[i:j] - base
+            if clip is not None:
+                e = np.minimum(e, s + clip)
             hashes[i:j] = mix((total[e] - total[s]) * _power("down", len(piece))[s] + (e - s).astype(U))
             i = j
     return starts, ends, hashes
@@ -112,6 +114,13 @@ def texts(column: pa.Array) -> pa.Array:
     return pa.concat_arrays([column]) if column.offset else column
 
 
+def sliced(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of a few rows, so that what a task makes of one part stays small."""
+    for b in batches:
+        for lo in range(0, b.num_rows, rows):
+            yield b.slice(lo, rows)
+
+
 def bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Data bytes and offsets (n + 1) of what texts() returns."""
     _, offsets, data = column.buffers()
