@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U, _power, bloom, bloom_has, constants, grams, mix, runs, steps, stored, texts, words
+from .shared import U, _power, bloom, bloom_has, constants, grams, mix, runs, sliced, steps, stored, texts, words
 
 WINDOW, PREFIX = 35, 12
 #: Contents that one suffix tree may hold.
@@ -102,7 +102,7 @@ def marks(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: in
     longs = lambda *x: [pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == U else a.astype(np.int64)) for a in x]
 
     def leads(batches):
-        for b in batches:
+        for b in sliced(batches):
             for _, _, _, lead, *_ in pieces(texts(b.column(1)), window, prefix):
                 h, n = np.unique(lead, return_counts=True)
                 yield pa.RecordBatch.from_arrays(longs(h, n), names=["k", "n"])
@@ -111,7 +111,7 @@ def marks(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: in
     sent = docs.sparkSession.sparkContext.broadcast(bloom(often, often.count()))
 
     def occurrences(batches):
-        for b in batches:
+        for b in sliced(batches):
             key = np.asarray(b.column(0))
             for row, at, size, lead, c1, c2, _ in pieces(texts(b.column(1)), window, prefix):
                 keep = bloom_has(sent.value, lead)
@@ -123,7 +123,7 @@ def marks(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: in
     sent_mixed = docs.sparkSession.sparkContext.broadcast(bloom(mixed.select(F.col("lead").alias("k")), mixed.count()))
 
     def slices(batches):
-        for b in batches:
+        for b in sliced(batches):
             for row, at, size, lead, c1, c2, (data, s, e) in pieces(texts(b.column(1)), window, prefix):
                 keep = np.flatnonzero(bloom_has(sent_mixed.value, lead))
                 keep = keep[np.unique(c1[keep], return_index=True)[1]]
@@ -147,7 +147,7 @@ def marks(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: in
             yield pa.RecordBatch.from_arrays([r.column(1).take(pa.array(keep, pa.int64())), r.column(2).take(pa.array(keep, pa.int64())), pa.array([bits[i] for i in keep], pa.int64())], names=["c1", "c2", "bits"])
 
     def suffixes_of(batches):
-        for b in batches:
+        for b in sliced(batches):
             for i, h in enumerate(_hashes(b.column(3))):
                 n = len(h) - window + 1
                 own = [np.full(n, b.column(j)[i].as_py()) for j in (1, 2)]
@@ -189,29 +189,31 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sent = docs.sparkSession.sparkContext.broadcast(bloom(spans.select(F.col("row").alias("k")), spans.count()))
     schema = f"id {kind}, n_words long, n_removed long, text string"
 
-    def split(hit: bool):
-        def run(batches):
-            for b in batches:
-                yield b.filter(pa.array(bloom_has(sent.value, np.asarray(b.column(0)).view(U)) == hit))
-
-        return run
-
-    def rewrite(batches):
-        for b in batches:
-            n, gone, out = [], [], []
-            marked = b.schema.get_field_index("spans")
-            for i, t in enumerate(texts(b.column(b.schema.get_field_index("text")))):
-                w = t.as_py().encode().split()  # bytes.split() cuts at exactly \x20 and \x09-\x0D
-                own = b.column(marked)[i].as_py() if marked >= 0 else None
-                drop = covered(len(w), own, window) if own else np.zeros(len(w), bool)
-                n.append(len(w))
-                gone.append(int(drop.sum()))
-                out.append(b" ".join([x for x, d in zip(w, drop) if not d] if own else w).decode())
-            yield pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["id", "n_words", "n_removed", "text"])
-
-    row_schema = f"row long, text string, id {kind}"
-    hit = rows.mapInArrow(split(True), row_schema).join(spans, "row", "left").mapInArrow(rewrite, schema)
-    return rows.mapInArrow(split(False), row_schema).mapInArrow(rewrite, schema).unionByName(hit).withColumnRenamed("id", id_col)
+    def finished(b: pa.RecordBatch) -> pa.RecordBatch:
+        n, gone, out = [], [], []
+        marked = b.schema.get_field_index("spans")
+        for i, t in enumerate(texts(b.column(b.schema.get_field_index("text")))):
+            w = t.as_py().encode().split()  # bytes.split() cuts at exactly \x20 and \x09-\x0D
+            own = b.column(marked)[i].as_py() if marked >= 0 else None
+            drop = covered(len(w), own, window) if own else None
+            n.append(len(w))
+            gone.append(0 if drop is None else int(drop.sum()))
+            out.append(b" ".join(w if drop is None else [x for x, d in zip(w, drop) if not d]).decode())
+        return pa.RecordBatch.from_arrays([b.column(b.schema.get_field_index("id")), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(out, pa.string())], names=["id", "n_words", "n_removed", "text"])
+
+    def marked_rows(b: pa.RecordBatch) -> np.ndarray:
+        return bloom_has(sent.value, np.asarray(b.column(0)).view(U))
+
+    def untouched(batches):
+        for b in sliced(batches):
+            yield finished(b.filter(pa.array(~marked_rows(b))))
+
+    def touched(batches):
+        for b in sliced(batches):
+            yield b.filter(pa.array(marked_rows(b)))
+
+    hit = rows.mapInArrow(touched, f"row long, text string, id {kind}").join(spans, "row", "left").mapInArrow(lambda batches: map(finished, sliced(batches)), schema)
+    return rows.mapInArrow(untouched, schema).unionByName(hit).withColumnRenamed("id", id_col)
 
 
 def op10_substring_dedup(spark, sf_dir: str) -> DataFrame:
