@@ -22,8 +22,11 @@ format has it.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import pickle
+import re
+from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,7 +40,7 @@ from .shared import texts
 #: Characters of a chunk; a longer document is spread over tasks.
 CHUNK = 1 << 16
 #: Stretches and pairs that one task remembers.
-MEMORY = 400_000
+MEMORY = 250_000
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = -math.inf
@@ -55,7 +58,7 @@ class Pieces:
     unigram: bool
     longest: int = 0
     resets: bool = True  # no piece has a blank after another character
-    seen: dict[str, tuple[int, ...]] = field(default_factory=dict)
+    seen: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     @classmethod
@@ -99,6 +102,13 @@ class Pieces:
             got = self.pairs[before, piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
         return 0.0 if got else NEVER
 
+    @property
+    def cutter(self) -> re.Pattern:
+        if not hasattr(self, "_cutter"):
+            alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
+            self._cutter = re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+        return self._cutter
+
     @property
     def floor(self) -> float:
         if not hasattr(self, "_floor"):
@@ -127,13 +137,13 @@ class Pieces:
                 out.append(self.unknown)
         return out
 
-    def stretch(self, s: str) -> tuple[int, ...]:
-        """Ids of a stretch between two places that no piece crosses."""
+    def stretch(self, s: str) -> bytes:
+        """Ids (int32) of a stretch between two places that no piece crosses."""
         got = self.seen.get(s)
         if got is None:
-            got = tuple(self.own(self._single(s)))
+            got = array("i", self.own(self._single(s))).tobytes()
             if len(s) <= 64:
-                if len(self.seen) > MEMORY:
+                if len(self.seen) > 2 * MEMORY:
                     self.seen.clear()
                 self.seen[s] = got
         return got
@@ -206,19 +216,9 @@ class Pieces:
         return self._trie
 
 
-def stretches(text: str, resets: bool) -> list[str]:
-    """The text cut before each blank that follows another character."""
-    if not resets:
-        return [text]
-    parts = text.split(BLANK)
-    out, blanks = [], 0
-    for i, p in enumerate(parts):
-        if p:
-            out.append(BLANK * (blanks + (i > 0)) + p)
-            blanks = 0
-        elif i > 0:
-            blanks += 1
-    return out + [BLANK * blanks] if blanks else out
+def stretches(text: str, m: Pieces) -> list[str]:
+    """The text cut before each blank that follows another character, and around line ends and tabs that no piece holds."""
+    return m.cutter.findall(text) if m.resets else [text]
 
 
 @dataclass
@@ -230,7 +230,7 @@ class Transfer:
     matrix: np.ndarray
     nodes: dict[tuple[int, str], list[float]]
     back: dict[tuple[int, str], list[tuple[tuple[int, str], float]]]
-    jumps: dict[tuple[int, str], tuple[tuple[int, str], tuple[int, ...]]]
+    jumps: dict[tuple[int, str], tuple[tuple[int, str], bytes]]
 
 
 def transfer(m: Pieces, text: str, lo: int, hi: int, last: bool) -> Transfer:
@@ -318,7 +318,7 @@ def trace(m: Pieces, t: Transfer, start: int, end: int) -> list[int]:
             out.append(m.own(path[::-1]))
             path = []
             node, ids = t.jumps[node]
-            out.append(list(ids))
+            out.append(array("i", ids).tolist())
         elif node == t.starts[start] and t.nodes[node][start] == 0.0 and node not in t.back:
             break
         elif node in t.back:
@@ -333,14 +333,17 @@ def trace(m: Pieces, t: Transfer, start: int, end: int) -> list[int]:
     return [i for part in reversed(out) for i in part]
 
 
-def encode_text(m: Pieces, text: str) -> list[int]:
-    """Of a document of one chunk."""
+def encode_bytes(m: Pieces, text: str) -> bytes:
+    """Ids (int32) of a document of one chunk."""
     if not text:
-        return []
-    out: list[int] = []
-    for s in stretches(BLANK + text.replace(" ", BLANK), m.resets):
-        out += m.stretch(s)
-    return out
+        return b""
+    seen, stretch = m.seen, m.stretch
+    out = b"".join([seen.get(s) or stretch(s) for s in stretches(BLANK + text.replace(" ", BLANK), m)])
+    return out if m.bytes_ else array("i", _mend(m, array("i", out).tolist())).tobytes()
+
+
+def encode_text(m: Pieces, text: str) -> list[int]:
+    return array("i", encode_bytes(m, text)).tolist()
 
 
 def encode_chunked(m: Pieces, text: str, chunk: int) -> list[int]:
@@ -366,9 +369,20 @@ def _cut(m: Pieces, text: str, chunk: int):
         yield s[left : hi + m.longest], lo - left, hi - left, hi == len(s)
 
 
-def _lists(rows: list[list[int]]) -> pa.Array:
-    flat = np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), pa.array(flat.astype(np.int32)))
+def _lists(rows: list[bytes]) -> pa.Array:
+    """array<int> from int32 bytes."""
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(r) // 4 for r in rows)]), pa.int32()), pa.array(np.frombuffer(b"".join(rows), np.int32)))
+
+
+_last: list[tuple[bytes, Pieces]] = []
+
+
+def _kept(pickled: bytes) -> Pieces:
+    """The model with what this worker process remembers of earlier tasks."""
+    key = hashlib.blake2b(pickled).digest()
+    if not _last or _last[0][0] != key:
+        _last[:] = [(key, pickle.loads(pickled))]
+    return _last[0][1]
 
 
 def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str = "text", out: str = "ids", chunk: int = CHUNK) -> DataFrame:
@@ -379,7 +393,7 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
 
     def get() -> Pieces:
         if not own:
-            own.append(pickle.loads(sent.value))
+            own.append(_kept(sent.value))
         return own[0]
 
     long = F.coalesce(F.length(text_col), F.lit(0)) > chunk
@@ -389,7 +403,7 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                yield pa.RecordBatch.from_arrays([*part.columns, _lists([encode_text(get(), t.as_py()) for t in texts(part.column(at))])], names=[*part.schema.names, out])
+                yield pa.RecordBatch.from_arrays([*part.columns, _lists([encode_bytes(get(), t.as_py()) for t in texts(part.column(at))])], names=[*part.schema.names, out])
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     short = docs.where(~long).mapInArrow(whole, schema)
@@ -425,7 +439,7 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
             for r in b.to_pylist():
                 m = get()
                 ids = trace(m, transfer(m, r["s"], r["lo"], r["hi"], r["last"]), r["a"], r["b"])
-                yield pa.RecordBatch.from_arrays([pa.array([r["row"]], pa.int64()), pa.array([r["i"]], pa.int64()), _lists([ids])], names=["row", "i", "part"])
+                yield pa.RecordBatch.from_arrays([pa.array([r["row"]], pa.int64()), pa.array([r["i"]], pa.int64()), _lists([array("i", ids).tobytes()])], names=["row", "i", "part"])
 
     parts = cut.join(states, ["row", "i"]).mapInArrow(traced, "row long, i long, part array<int>").groupBy("row").agg(F.sort_array(F.collect_list(F.struct("i", "part"))).alias("parts"))
     ids = F.flatten(F.col("parts")["part"])
@@ -452,7 +466,7 @@ def decode(df: DataFrame, model: Pieces | str = DEFAULT_MODEL, ids_col: str = "i
                 part = b.slice(lo, 256)
                 rows = []
                 for x in part.column(at):
-                    s = b"".join([table[i] for i in (x.values.to_numpy() if x.is_valid else ())]).decode("utf-8", "replace")
+                    s = b"".join([table[i] for i in (x.values.to_numpy().tolist() if x.is_valid else ())]).decode("utf-8", "replace")
                     rows.append(s[1:] if s.startswith(" ") else s)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(rows, pa.string())], names=[*part.schema.names, out])
 
