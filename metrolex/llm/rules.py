@@ -62,7 +62,8 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "__q") -
         "n_distinct": size(F.array_distinct("__w")),
         "n_marks": without(".,;:!?"),
     }
-    return df.withColumn(out, F.struct(*(c.alias(k) for k, c in made.items()))).drop("__w", "__lines", "__g")
+    # a generator of one row: no filter on a statistic is pushed below it, where it would be worked out again for each use
+    return df.withColumn(out, F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items()))))).drop("__w", "__lines", "__g")
 
 
 def features(q: str = "__q") -> dict[str, Column]:
