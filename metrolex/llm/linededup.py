@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NO_ID, SPACES, U, mix, stored, texts
+from .shared import NO_ID, SPACES, U, mix, stored, texts, sliced
 
 MIN_CHARS, MIN_DOCS = 40, 5
 #: Keys in one shard's filter, at most about twice that.
@@ -109,7 +109,7 @@ def references(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(k1, k2, did): each key of min_chars or more in each document, once a row of docs."""
 
     def keys(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids, column = np.asarray(b.column(0)), texts(b.column(1))
             for lo in range(0, len(ids), 512):
                 dids, digests = [], []
@@ -207,7 +207,7 @@ class LineIndex:
 
         def rewrite(batches):
             filters, (k1, k2, keeper) = sent.value
-            for b in batches:
+            for b in sliced(batches):
                 ids, column = b.column(which), texts(b.column(own))
                 out, n, gone = [], [], []
                 for did, t in zip(ids, column):
@@ -235,7 +235,7 @@ class LineIndex:
         row = F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), F.coalesce(F.col(text_col), F.lit("")))
 
         def candidates(batches):
-            for b in batches:
+            for b in sliced(batches):
                 for key, did, t in zip(b.column(0), b.column(1), texts(b.column(2))):
                     at, k = hits(sent.value, t.as_py())
                     k, n = k.view(np.int64), len(at)
