@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U, bytes_of, grams, mix, steps, texts, words
+from .shared import U, bytes_of, grams, mix, steps, texts, words, sliced
 
 WORDS, CONTAINMENT, MISS = 5, 0.8, 1e-9
 BLOCK_CHARS = 8 << 20
@@ -119,7 +119,7 @@ def contained_items(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", t
 
 def _search(sent, k: int):
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             found = [[], [], [], []]
             for row, own in shingle_sets(texts(b.column(1)), k):
                 for item, both, n in sent.value.find(own):
@@ -136,7 +136,7 @@ def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
         sent, own = docs.sparkSession.sparkContext.broadcast(block), docs.columns.index(text_col)
 
         def keep(batches, sent=sent):
-            for b in batches:
+            for b in sliced(batches):
                 yield b.filter(pa.array([not sent.value.find(s) for _, s in shingle_sets(texts(b.column(own)), k)], pa.bool_()))
 
         docs = docs.mapInArrow(keep, docs.schema)
