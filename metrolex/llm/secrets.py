@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import texts
+from .shared import texts, sliced
 
 KINDS = ("assign", "access", "hex", "lex")
 _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -125,7 +125,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """id and secrets: array<struct<start, end, kind, name, score>>; offsets are code points, end exclusive."""
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             rows = [[dict(zip(("start", "end", "kind", "name", "score"), x)) for x in scan(t.as_py())] for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(_SPAN))], names=["id", "secrets"])
 
