@@ -157,7 +157,7 @@ def marks(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: in
     longest = differing.where(F.col("m") > group).select("lead", "c1", "c2", "slice").mapInArrow(suffixes_of, "w1 long, w2 long, c1 long, c2 long, bits long")
     twice = longest.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
     by_window = longest.join(twice, ["w1", "w2"]).select("c1", "c2", "bits")
-    flagged = contents.where("n > 1").select("c1", "c2", F.lit(-1).cast("long").alias("bits")).unionByName(in_trees).unionByName(by_window).groupBy("c1", "c2").agg(F.bit_or("bits").alias("bits"))
+    flagged = stored(contents.where("n > 1").select("c1", "c2", F.lit(-1).cast("long").alias("bits")).unionByName(in_trees).unionByName(by_window).groupBy("c1", "c2").agg(F.bit_or("bits").alias("bits")))  # a table, so that the join below reads two plain shuffles and a hot content can be split
     marked = found.join(flagged, ["c1", "c2"]).select("row", F.struct("at", "size", "bits").alias("s"))
     return stored(marked.groupBy("row").agg(F.collect_list("s").alias("spans")))
 
