@@ -68,3 +68,27 @@ def test_vocabulary_files(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("tpl_id\tfamily\ttext\n0\tbase\t{polymer}, {value}\n")
     assert [r["term"] for r in vocabulary.read_lexicon(spark, str(tmp_path / "l.tsv")).orderBy("ord").collect()] == ["K", '"']
     assert vocabulary.read_templates(spark, str(tmp_path / "t.tsv")).first()["text"] == "{polymer}, {value}"
+
+
+def test_stream_counts_to_files(spark, tmp_path):
+    folder = str(tmp_path / "logs")
+    first, second = _lines(spark)
+    logs.append(first, folder)
+    logs.append(second, folder)
+    lines = stream.read_stream(spark, folder)
+    q = stream.level_counts(lines).writeStream.format("memory").queryName("counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert [(r["level"], r["count"]) for r in spark.table("counts").collect()] == [("INFO", 5)]
+    stream.run_available(lines.select("message", "level"), str(tmp_path / "out"), str(tmp_path / "cp"))
+    stream.run_available(lines.select("message", "level"), str(tmp_path / "out"), str(tmp_path / "cp"))  # nothing new
+    assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def test_levels_and_configuration(spark):
+    df = spark.range(1)
+    more = {"at": F.timestamp_seconds(F.lit(0)), "file": F.lit("a/b.py"), "line": F.lit(1)}
+    made = [f(df, F.lit("m"), F.lit("s"), **more) for f in (logs.info, logs.debug, logs.warning, logs.critical)] + [logs.error(df, F.lit("m"), F.lit("s"), stack_trace=F.lit("t"), **more)]
+    assert {m.first()["level"] for m in made} == set(logs.LEVELS)
+    with pytest.raises(TypeError):
+        logs.error(df, F.lit("m"), F.lit("s"), **more)
+    assert exports.configuration(spark, "/w", bucket="b").where("name = 'bucket' and value = 'b'").count() == 1
