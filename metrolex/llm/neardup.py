@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import shingle_sets
-from .shared import U, bloom, bloom_has, constants, mix, runs, stored, texts
+from .shared import U, bloom, bloom_has, constants, mix, runs, stored, texts, sliced
 
 DEPTH, SLOTS = 4, 256
 LEAF_ROWS, LEAF_SHINGLES = 2048, 1 << 22
@@ -71,7 +71,7 @@ def signatures(docs: DataFrame, k: int, trees: int, id_col: str = "doc_id", text
     seeds = constants(2024, trees)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             n, prints, paths, sketches = [], [], [], []
             for _, own in shingle_sets(texts(b.column(1)), k):
                 n.append(len(own))
@@ -185,7 +185,7 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: int, id
     sent = docs.sparkSession.sparkContext.broadcast(bloom(wanted, wanted.count()))
 
     def sets(batches):
-        for b in batches:
+        for b in sliced(batches):
             ids = np.asarray(b.column(0)).view(U)
             b = b.filter(pa.array(bloom_has(sent.value, ids)))
             got = [(b.column(0)[row].as_py(), own.tobytes()) for row, own in shingle_sets(texts(b.column(1)), k) if len(own)]
