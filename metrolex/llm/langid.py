@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U, constants, mix, stored, texts
+from .shared import U, constants, mix, stored, texts, sliced
 
 SIZES = (2, 3, 4)
 MOST_DOCS = 4000
@@ -132,7 +132,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_do
     index = {k: i for i, k in enumerate(langs)}
 
     def count(batches):
-        for b in batches:
+        for b in sliced(batches):
             own: dict[int, list[np.ndarray]] = {}
             docs_ = np.zeros(len(langs), np.int64)
             for t, k in zip(texts(b.column(0)), b.column(1)):
@@ -169,7 +169,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_do
     made = LanguageFilters(langs, masks, np.ones(len(langs)))
 
     def own_share(batches):
-        for b in batches:
+        for b in sliced(batches):
             k = [index[x.as_py()] for x in b.column(1)]
             s = [float(made.shares(_codes(t.as_py()))[i]) for i, t in zip(k, texts(b.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.float64())], names=["lang", "share"])
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: LanguageFilters, id_col: str = "doc_id", tex
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for b in batches:
+        for b in sliced(batches):
             got = [sent.value.predict(t.as_py()) for t in texts(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x[0] for x in got], pa.string()), pa.array([x[1] for x in got], pa.float64())], names=["id", "lang_pred", "score"])
 
