@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from .shared import _IS_SPACE, U, grams, sliced, steps, texts, words
 
 MOST_LABELLED, MOST_POOL, MOST_WORDS = 6000, 6000, 3000
-ROUNDS, SURE, BINS = 3, 0.97, 12
+ROUNDS, SURE, BINS = 3, 0.97, 20
 PREFIXES = (4, 5)
 #: Statistics that are also binned in pairs: number of words with shares of distinct words, of distinct word triples, of the commonest word.
 CROSSED = ((0, 6), (0, 7), (0, 8))
@@ -129,9 +129,10 @@ class QualityModel:
     toxic: Logistic | None = None
     mix: tuple[np.ndarray, float] = field(default_factory=lambda: (np.ones(2), 0.0))
     prior: float = 1.0
+    bins: int = BINS
 
     def text_row(self, stats: list[float], own: np.ndarray) -> np.ndarray:
-        base, side = len(self.vocabulary), BINS + 1
+        base, side = len(self.vocabulary), self.bins + 1
         bins = [int(np.searchsorted(c, x)) for c, x in zip(self.cuts, stats)]
         out = [base + i * side + b for i, b in enumerate(bins)]
         base_of_pairs = base + len(bins) * side
@@ -143,7 +144,7 @@ class QualityModel:
 
     @property
     def text_size(self) -> int:
-        return len(self.vocabulary) + len(self.cuts) * (BINS + 1) + len(CROSSED) * (BINS + 1) ** 2
+        return len(self.vocabulary) + len(self.cuts) * (self.bins + 1) + len(CROSSED) * (self.bins + 1) ** 2
 
     def meta_row(self, keys: list[str]) -> np.ndarray:
         return np.array([self.values[k] for k in keys if k in self.values], np.int64)
@@ -188,7 +189,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     rows = stored(sample.mapInArrow(view, "id long, stats array<double>, words array<long>, meta array<string>, y int, t int"))
     known = rows.where("y is not null")
     n, good, bad = known.agg(F.count("*"), F.sum("y"), F.sum("t")).first()
-    model = QualityModel(np.zeros(0, U), [], {}, prior=(good or 0) / n if n else 1.0)
+    model = QualityModel(np.zeros(0, U), [], {}, prior=(good or 0) / n if n else 1.0, bins=min(BINS, max(4, (n or 0) // 60)))  # few rows fill few bins
     if not n or not 0 < good < n:
         return model
 
@@ -204,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     y = np.array([-1 if v is None else v for v in got.column("y").to_pylist()])
     tox = np.array([0 if v is None else v for v in got.column("t").to_pylist()])
     is_known = y >= 0
-    model.cuts = [np.unique(np.quantile(stats[is_known, i], np.arange(1, BINS) / BINS)) for i in range(stats.shape[1])]
+    model.cuts = [np.unique(np.quantile(stats[is_known, i], np.arange(1, model.bins) / model.bins)) for i in range(stats.shape[1])]
     metas = got.column("meta").to_pylist()
     values, counts = np.unique([k for r in metas for k in r], return_counts=True)
     model.values = {str(k): i for i, k in enumerate(values[counts >= 3])}
