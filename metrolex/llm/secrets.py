@@ -2,8 +2,10 @@
 
 Base kinds are three patterns. The lexer adds kind `lex`: it reads name-literal pairs
 (`name = "a" + B`, `name: literal`, `"name": "literal"`, `name := literal`), keeps the constants
-it has seen, so that a literal is followed through names and concatenations to the name it ends
-in, and scores it by how sensitive that name is and how random the literal looks.
+it has seen as a graph, so that a literal is followed through names and concatenations to the name it
+ends in, and scores it by how sensitive that name is and how random the constant looks. What a score reads
+of a constant (length, counts of its characters, its first and last few) adds up along the graph, so the work is
+linear in the text, also where constants double with each line.
 
 Cases. Null text is empty and has no spans. Rows are independent, so repeated rows give repeated
 results, in any order; a null id passes. Texts of any length are read whole. An empty table gives
@@ -12,10 +14,14 @@ an empty result. Other columns are not read. A span of the lexer inside a base s
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +33,8 @@ _ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{24,}")
 _MARK = re.compile(r":=|=>|[=:]")
-_OPERAND = re.compile(r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z0-9_$][A-Za-z0-9_$./+=-]*))""")
+#: A bare word ends before `=`, unless that is its padding; so the words that two marks may take never overlap.
+_OPERAND = re.compile(r"""[ \t]*+(?:"((?:[^"\\\n]++|\\.)*+)"|'((?:[^'\\\n]++|\\.)*+)'|`([^`\n]*+)`|([A-Za-z0-9_$][A-Za-z0-9_$./+-]*+(?:={1,2}(?![A-Za-z0-9_$./+="'`-]))?))""")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_])")
 _NAME = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_.-$")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
@@ -39,19 +46,72 @@ SENSITIVE = {
 _PLACEHOLDER = re.compile(r"(?:x+|\*+|\.+|none|null|true|false|changeme|example|placeholder|your[_-].*|<.*>|\$\{.*\}|\{\{.*\}\})$", re.I)
 
 
+@functools.lru_cache(4096)
 def name_score(name: str) -> float:
     parts = [p.lower() for p in _PARTS.findall(name)]
     pairs = [" ".join(x) for x in zip(parts, parts[1:])]
     return max((SENSITIVE.get(x, 0.0) for x in (*parts, *pairs)), default=0.0)
 
 
-def literal_score(value: str) -> float:
-    """0 to 1: length and entropy of a literal; 0 for placeholders and prose."""
-    if len(value) < 6 or _PLACEHOLDER.match(value) or " " in value:
-        return 0.0
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in Counter(value).values())
-    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + (not value.isalnum())
-    return min(1.0, 0.25 + entropy / 8 + 0.1 * kinds)
+@functools.lru_cache(4096)
+def _kind(c: str) -> int:
+    return c.islower() | c.isupper() << 1 | c.isdigit() << 2 | (not c.isalnum()) << 3
+
+
+class Gist:
+    """What the score of a constant needs; the gist of a concatenation follows from those of its parts, whatever their length."""
+
+    __slots__ = ("counts", "flags", "head", "tail", "length")
+    #: Characters of head kept: no placeholder word is longer. Lengths over MOST count as MOST.
+    HEAD, MOST = 12, 2.0**60
+    #: Entries up to which counts are a dictionary; beyond, an array over ASCII and one place for all else.
+    FEW = 24
+
+    def __init__(self, counts: dict[int, float] | np.ndarray, flags: int, head: str, tail: str, length: float):
+        self.counts, self.flags, self.head, self.tail, self.length = counts, flags, head, tail, length
+
+    @classmethod
+    def of(cls, value: str) -> Gist:
+        flags, counts = 0, {}
+        for c, n in Counter(value).items():
+            flags |= _kind(c)
+            k = min(ord(c), 127)
+            counts[k] = counts.get(k, 0.0) + n
+        return cls(counts, flags, value[: cls.HEAD], value[-2:], float(len(value)))
+
+    def dense(self) -> np.ndarray:
+        if isinstance(self.counts, np.ndarray):
+            return self.counts
+        out = np.zeros(128)
+        out[list(self.counts)] = list(self.counts.values())
+        return out
+
+    def __add__(self, other: Gist) -> Gist:
+        length, few = self.length + other.length, len(self.counts) + len(other.counts) <= self.FEW
+        if few:
+            counts = dict(self.counts)
+            for k, n in other.counts.items():
+                counts[k] = counts.get(k, 0.0) + n
+        else:
+            counts = self.dense() + other.dense()
+        if length > self.MOST:
+            counts, length = {k: n * (self.MOST / length) for k, n in counts.items()} if few else counts * (self.MOST / length), self.MOST
+        return Gist(counts, self.flags | other.flags, (self.head + other.head)[: self.HEAD], (self.tail + other.tail)[-2:], length)
+
+    def score(self) -> float:
+        """0 to 1: length and entropy; 0 for placeholders and prose."""
+        if self.length < 6:
+            return 0.0
+        counts = {k: n for k, n in enumerate(self.counts.tolist()) if n} if isinstance(self.counts, np.ndarray) else self.counts
+        if 32 in counts or self._placeholder(counts):
+            return 0.0
+        entropy = -sum(n / self.length * math.log2(n / self.length) for n in counts.values())
+        return min(1.0, 0.25 + entropy / 8 + 0.1 * self.flags.bit_count())
+
+    def _placeholder(self, counts: dict[int, float]) -> bool:
+        if counts.keys() <= {120, 88} or counts.keys() in ({42}, {46}):  # x, X; *; .
+            return True
+        return _PLACEHOLDER.match(self.head if self.length <= self.HEAD else self.head + self.tail) is not None
 
 
 def base_spans(text: str) -> list[tuple[int, int, str]]:
@@ -73,48 +133,80 @@ def _name_before(text: str, at: int) -> str:
     return text[j:i]
 
 
+class _Node:
+    """A constant: a literal's place in the text, or the constants it was put together from."""
+
+    __slots__ = ("at", "parts", "seen")
+
+    def __init__(self, at: tuple[int, int] | None, parts: list[_Node] | None = None):
+        self.at, self.parts, self.seen = at, parts, False
+
+
 def lexed(text: str, least: float = 0.5) -> list[tuple[int, int, str, float]]:
-    """(start, end, name, score) of literals that end in a sensitive name."""
-    known: dict[str, tuple[str, tuple[tuple[int, int], ...]]] = {}
-    found: dict[tuple[int, int], tuple[str, float]] = {}
+    """(start, end, name, score) of literals that end in a sensitive name.
+
+    Constants are a graph whose edges go from a name's value to its operands as they were then; values are never put
+    together, only their gists. Each literal is told once, for the highest-scoring name it reaches. Time and memory are
+    linear in the text.
+    """
+    known: dict[str, list] = {}  # name: [constant, its gist or None while nobody asked]
+    longest = 0
+    ends: list[tuple[float, int, str, _Node]] = []
     for mark in _MARK.finditer(text):
         if mark[0] == "=" and (text[mark.start() - 1 : mark.start()] in ("!", "<", ">", "=") or text[mark.end() : mark.end() + 1] == "="):
             continue
         name = _name_before(text, mark.start())
         if not name or not (name[0].isalpha() or name[0] in "_$"):
             continue
-        value, spans, at, whole = "", (), mark.end(), True
+        parts: list[list] = []
+        at, whole = mark.end(), True
         while m := _OPERAND.match(text, at):
             at, group = m.end(), m.lastindex
-            if group == 4 and m[4] in known:
-                piece, own = known[m[4]]
-            elif group == 4 and (at < len(text) and text[at] in "([" or spans and m[4][0].isalpha()):
+            s, e = m.span(group)
+            constant = known.get(m[4]) if group == 4 and e - s <= longest else None
+            if constant is None and group == 4 and (at < len(text) and text[at] in "([" or parts and text[s].isalpha()):
                 whole = False  # a call, an index or an unknown name: not a constant
                 break
-            else:
-                piece, own = m[group], ((m.start(group), m.end(group)),)
-            value, spans = value + piece, spans + own
+            parts.append(constant or [_Node((s, e)), None])
             if not (plus := _PLUS.match(text, at)):
                 break
             at = plus.end()
-        if not spans or not whole:
+        if not parts or not whole:
             continue
-        known[name] = (value, spans)
-        if sensitive := name_score(name):
-            score = sensitive * literal_score(value)
-            if score >= least:
-                for s in spans:
-                    if s[1] > s[0] and score > found.get(s, ("", 0.0))[1]:
-                        found[s] = (name, score)
-    return [(*s, *x) for s, x in found.items()]
+        made = parts[0] if len(parts) == 1 else [_Node(None, [p[0] for p in parts]), functools.reduce(Gist.__add__, (_gist(text, p) for p in parts))]
+        known[name], longest = made, max(longest, len(name))
+        if (sensitive := name_score(name)) and (score := sensitive * _gist(text, made).score()) >= least:
+            ends.append((-score, len(ends), name, made[0]))
+    found = []
+    for score, _, name, node in sorted(ends, key=lambda x: x[:2]):
+        open_ = [node]
+        while open_:
+            node = open_.pop()
+            if not node.seen:  # what was seen belongs to a name that scores as much
+                node.seen = True
+                if node.parts is not None:
+                    open_ += node.parts
+                elif node.at[1] > node.at[0]:
+                    found.append((*node.at, name, -score))
+    return found
+
+
+def _gist(text: str, constant: list) -> Gist:
+    if constant[1] is None:
+        constant[1] = Gist.of(text[slice(*constant[0].at)])
+    return constant[1]
 
 
 def scan(text: str) -> list[tuple[int, int, str, str | None, float]]:
     """(start, end, kind, name, score) by start, then kind; base spans score 1."""
-    base = base_spans(text)
+    base = sorted(base_spans(text))
     out = [(s, e, k, None, 1.0) for s, e, k in base]
     if "=" in text or ":" in text:
-        out += [(s, e, "lex", n, x) for s, e, n, x in lexed(text) if not any(a <= s and e <= b for a, b, _ in base)]
+        starts, furthest = [s for s, *_ in base], list(itertools.accumulate((e for _, e, _ in base), max))
+        for s, e, n, x in lexed(text):
+            i = bisect_right(starts, s)
+            if not i or furthest[i - 1] < e:
+                out.append((s, e, "lex", n, x))
     return sorted(out, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 

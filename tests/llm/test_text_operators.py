@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -68,6 +69,54 @@ def test_secrets_lexer(text, names):
     assert all(text[s:e] for s, e, _, _ in found)
 
 
+def _told(value):
+    """The score of a literal, straight from its text."""
+    if len(value) < 6 or " " in value or re.fullmatch(r"[xX]+|\*+|\.+|(?i:none|null|true|false|changeme|example|placeholder|your[_-].*|<.*>)", value):
+        return 0.0
+    n = collections.Counter(value)
+    kinds = sum(any(f(c) for c in value) for f in (str.islower, str.isupper, str.isdigit)) + (not value.isalnum())
+    return min(1.0, 0.25 - sum(x / len(value) * np.log2(x / len(value)) for x in n.values()) / 8 + 0.1 * kinds)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_secrets_lexer_against_evaluation(seed):
+    """Small programs, run with their whole values kept."""
+    r = random.Random(seed)
+    names = {"a": 0, "b2": 0, "color": 0, "db_pwd": 0.9, "api_token": 0.9, "clientSecret": 1.0, "auth": 0.6}
+    text, env, want = "", {}, {}
+    for _ in range(r.randrange(1, 25)):
+        name, parts = r.choice(list(names)), []
+        text += r.choice(["", "\n", "  "]) + name + r.choice([" = ", ": ", ":=", "="])
+        for k in range(r.randrange(1, 4)):
+            text += " + " if k else ""
+            if env and r.random() < 0.5:
+                other = r.choice(list(env))
+                text += other
+                parts += env[other]
+            else:
+                value, quote = "".join(r.choice("xxKq9_#") for _ in range(r.choice((0, 2, 5, 9, 30)))), r.choice("'\"`")
+                parts.append((len(text) + 1, len(text) + 1 + len(value), value))
+                text += quote + value + quote
+        text += "\n"
+        env[name] = parts
+        score = names[name] * _told("".join(v for *_, v in parts))
+        for s, e, _ in parts:
+            if score >= 0.5 and e > s:
+                want[s, e] = max(want.get((s, e), 0), score)
+    got = {(s, e): x for s, e, _, x in secrets.lexed(text)}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_secrets_of_growing_constants_take_linear_time():
+    began = time.monotonic()
+    assert not secrets.lexed('n = "xx"\n' + "n = n + n\n" * 10_000 + "token = n")  # one character: a placeholder
+    assert len(secrets.lexed('n = "xY9kQ"\n' + "n = n + n\n" * 10_000 + "token = n")) == 1
+    assert len(secrets.lexed('token_s = "aB3"\n' + 'token_s = token_s + "x9Q…"\n' * 40_000)) == 40_001
+    for odd in ("token=" * 30_000, "a=b=" * 30_000 + '"' + "'x" * 900, '="=\'' * 30_000, 'A="' + "k9Zq" * 50_000 + '"\n' + "token=A\n" * 20_000, "\n".join(f'password="abcdef{i}"\ndb_pwd="S3cr3t!{i}"' for i in range(20_000))):
+        secrets.scan(odd)
+    assert time.monotonic() - began < 60
+
+
 def test_license_alignment():
     r = random.Random(3)
     t = licenses.Templates.of_texts(licenses.TEMPLATES)
