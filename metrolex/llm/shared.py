@@ -146,6 +146,14 @@ def word_counts(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(starts, offsets)
 
 
+def fresh(name: str, *dfs: DataFrame) -> str:
+    """A column name for a table's own use that none of the tables has, in any case of letters."""
+    taken = {c.lower() for df in dfs for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors see: Spark's checkpoint folder; a temporary one only where none is set, as in tests."""
     sc = spark.sparkContext

@@ -238,21 +238,54 @@ def test_quality_classifier_held_out(spark):
     """Over the middle table: the small one has 400 labels, 50 of them of low quality."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality.fit(docs, labels.where("doc_id % 4 != 1"))
+    assert len(model.exchanged) == quality.ROUNDS and all(a > 0 and b > 0 for a, b in model.exchanged)  # both directions, every round
+    assert (model.mix[0] > 0.05).all()  # neither view is switched off
     rows = quality.score(docs, model).join(labels.where("doc_id % 4 = 1"), "doc_id").collect()
-    assert sum((r["__quality"] >= 0.5) == bool(r["quality"]) for r in rows) >= 0.96 * len(rows)
-    assert sum((r["__toxic"] >= 0.5) == bool(r["toxic"]) for r in rows) >= 0.96 * len(rows)
+    assert sum((r["quality_score"] >= 0.5) == bool(r["quality"]) for r in rows) >= 0.96 * len(rows)
+    assert sum((r["toxic_score"] >= 0.5) == bool(r["toxic"]) for r in rows) >= 0.96 * len(rows)
     good = [r for r in rows if r["quality"] and not r["toxic"]]
-    assert sum(r["__quality"] >= 0.5 and r["__toxic"] < 0.5 for r in good) >= 0.98 * len(good)
+    assert sum(r["quality_score"] >= 0.5 and r["toxic_score"] < 0.5 for r in good) >= 0.98 * len(good)
+
+
+def test_cotraining_carries_labels_both_ways(spark):
+    """Few labels; the source tells quality nearly always, a word half the time: the views teach each other."""
+    r = random.Random(8)
+    rows, truth = [], []
+    for i in range(3000):
+        good = r.random() < 0.5
+        words = [r.choice([f"w{k}" for k in range(200)]) for _ in range(30)]
+        if r.random() < 0.5:
+            words[r.randrange(30)] = r.choice("excellent superb".split() if good else "dreadful shoddy".split())
+        source = ("good" if good != (r.random() < 0.03) else "bad") + str(r.randrange(3))
+        rows.append((i, " ".join(words), "en", source, 100))
+        truth.append((i, int(good), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = quality.fit(docs, spark.createDataFrame(truth[:300], "doc_id long, quality int, toxic int"))
+    assert all(a > 0 and b > 0 for a, b in model.exchanged) and model.exchanged[-1] > model.exchanged[0]
+    assert model.mix[0][1] > 0.5
+    got = {x["doc_id"]: x["quality_score"] for x in quality.score(docs, model).collect()}
+    assert sum((got[i] >= 0.5) == bool(y) for i, y, _ in truth[300:]) >= 0.93 * 2700
+
+
+def test_quality_fit_is_bounded_and_repeatable(spark, frame):
+    """One labelled id with very many rows is learned from once, and partitions do not matter."""
+    rows = [(1, f"text number {i}") for i in range(3000)] + [(i, ("good fine " if i % 2 else "bad poor ") * 20 + str(i)) for i in range(2, 200)]
+    docs, labels = frame(rows), spark.createDataFrame([(i, i % 2, 0) for i in range(1, 120)], "doc_id long, quality int, toxic int")
+    sample = quality._sampled(docs, labels, "doc_id", "text", 50, 40, "toxic")
+    assert sample.where("y is not null").count() == 50 and sample.where("y is null").count() == 40 and sample.select("id").distinct().count() == 90
+    assert sorted(map(str, sample.collect())) == sorted(map(str, quality._sampled(docs.repartition(7, "text"), labels, "doc_id", "text", 50, 40, "toxic").collect()))
 
 
 def test_quality_classifier_odd_rows(spark, frame, odd):
-    docs = frame(odd, extra=True).withColumn("lang", F.lit(None).cast("string"))
+    docs = frame(odd, extra=True).selectExpr("doc_id", "text", "cast(null as string) as lang", "source", "n_chars", "1 as meta", "2 as Quality_Score", "3 as words", "4 as y", "5 as t", "6 as stats", "7 as __meta")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     model = quality.fit(docs, none)
-    assert [r["__quality"] for r in quality.score(docs, model).collect()] == [1.0] * len(odd)
+    assert [r["quality_score"] for r in quality.score(docs, model).collect()] == [1.0] * len(odd)
     some = spark.createDataFrame([(1, 0, 1), (4, 1, 0), (4, 0, 0), (6, 1, None), (7, 1, 0), (None, 1, 1), (8, None, 0)], "doc_id long, quality int, toxic int")
-    got = quality.score(docs, quality.fit(docs, some)).collect()
-    assert len(got) == len(odd) and all(0 <= r["__quality"] <= 1 for r in got)
+    model = quality.fit(docs, some)
+    got = quality.score(docs, model).collect()
+    assert len(got) == len(odd) and all(0 <= r["quality_score"] <= 1 for r in got)
+    assert quality.keep_good(docs, model).columns == docs.columns
     assert quality.score(frame([]), model).count() == 0
 
 
