@@ -132,6 +132,68 @@ def test_license_alignment():
     assert licenses.align(list("abcabcabc"), list("xabcy")) == [] or all("abcabcabc"[i] == "xabcy"[j] for i, j in licenses.align(list("abcabcabc"), list("xabcy")))
 
 
+def _found_names(doc):
+    data = licenses._PLAIN[np.frombuffer(doc.encode(), np.uint8)]
+    return [x[2] for x in licenses.Templates.of_texts(licenses.TEMPLATES).find(licenses.words(data, np.zeros(1, np.int64))[2], 0.85)]
+
+
+@pytest.mark.parametrize("name", licenses.TEMPLATES)
+def test_neighbouring_licenses(name):
+    """Copies side by side, mixed with others, cut off and begun again."""
+    r, text = random.Random(1), licenses.TEMPLATES[name]
+    for k in (1, 2, 3, 6):
+        assert _found_names(f"{text} " * k) == [name] * k
+    for other in licenses.TEMPLATES:
+        assert _found_names(" ".join([text, licenses.TEMPLATES[other], text])) == [name, other, name]
+    half = " ".join(text.split()[: len(text.split()) // 2])
+    assert _found_names(f"{half} {text} {half}").count(name) == 1
+    mixed = r.choices(list(licenses.TEMPLATES), k=8)
+    assert _found_names(" or ".join(licenses.TEMPLATES[x] for x in mixed)) == mixed
+
+
+def _shared_words(a, b):
+    """Length of the longest common subsequence."""
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_licenses_against_brute_force(frame):
+    """Edited copies in filler: a find's share is never over the best possible one, and what must be found is."""
+    r, words_of = random.Random(6), lambda t: re.findall(r"[a-z0-9]+", t.lower())
+    rows, want = [], {}
+    for i in range(60):
+        name, out = r.choice(list(licenses.TEMPLATES)), []
+        w = licenses.TEMPLATES[name].split()
+        for _ in range(r.choice((0, 0, 1, len(w) // 20))):
+            w[r.randrange(len(w))] = "EDITED"
+        for _ in range(r.choice((0, 1, 2))):
+            w.insert(r.randrange(len(w)), "added")
+        text = "é filler " * 20 + " ".join(w) + " “after” " * 20
+        rows.append((i, text))
+        share = _shared_words(words_of(" ".join(w)), words_of(licenses.TEMPLATES[name])) / len(words_of(licenses.TEMPLATES[name]))
+        want[i] = (name, share)
+    for x in licenses.find_licenses(frame(rows)).collect():
+        (name, share), text = want[x["doc_id"]], rows[x["doc_id"]][1]
+        own = {f["name"]: f for f in x["licenses"]}
+        for f in own.values():
+            best = _shared_words(words_of(text[f["start"] : f["end"]]), words_of(licenses.TEMPLATES[f["name"]])) / len(words_of(licenses.TEMPLATES[f["name"]]))
+            assert 0.85 <= f["coverage"] <= best + 1e-9
+        if share >= 0.93:
+            assert name in own
+
+
+def test_many_licenses_take_linear_time():
+    began = time.monotonic()
+    assert len(_found_names("Released under the MIT License. " * 20_000)) == 20_000
+    assert len(_found_names((licenses.TEMPLATES["MIT"] + " ") * 1500)) == 1500
+    assert time.monotonic() - began < 30
+
+
 def test_patience_chain_is_longest():
     r = random.Random(1)
     for _ in range(200):
