@@ -197,6 +197,12 @@ def bloom(keys: DataFrame, count: int, per_key: int = 12, most_bits: int = 1 <<
     return out
 
 
+def small_bloom(keys: DataFrame, most_bits: int = 1 << 27, per_key: int = 12):
+    """The filter of the long column `k` as a broadcast; None where it would take more than most_bits, so that the caller joins instead."""
+    n = keys.count()
+    return keys.sparkSession.sparkContext.broadcast(bloom(keys, n, per_key, most_bits)) if per_key * n <= most_bits else None
+
+
 def bloom_places(keys: np.ndarray, bits: int, probes: int = 4) -> np.ndarray:
     with np.errstate(over="ignore"):
         a, b = mix(keys ^ U(0xA5A5A5A5)), mix(keys + U(0x51ED270B)) | U(1)

@@ -5,16 +5,19 @@ A repeat is a window of `window` consecutive words that starts anywhere else as
 1. Each window has a lead: of its PREFIX-word sequences the one with the smallest hash, so equal
    windows have equal leads at equal places. Consecutive windows with one lead make a piece. A lead
    that occurs once belongs to no repeat; only pieces with repeated leads go on.
-2. Pieces are counted by their content. All windows of a content that occurs twice are repeats;
-   equal copies, however many, are summed where they are and go no further.
-3. Contents that differ but share a lead are dealt out by that prefix. Where a prefix has more than
-   GROUP contents it is lengthened to the whole window, which splits it by each suffix's own words.
-   In each group a suffix tree is grown over the suffixes that start at windows, cut at the depth of
-   a window; its internal nodes at that depth are the repeats.
+2. Equal pieces are one content with a number of occurrences; contents are dealt out by their lead. In
+   each group a suffix tree is grown over the suffixes that start at the contents' windows; a leaf weighs what its content occurs.
+   Nodes as deep as a window that weigh two or more are the repeats: what follows below them only says how much longer the
+   repeat is, and the neighbouring windows say that too, so that together the marked windows cover each maximal repeat.
+3. A lead whose contents have more than GROUP suffixes is dealt anew by the suffixes' own prefixes, equal suffixes being
+   one leaf first: by PREFIX words, and where that leaves more than GROUP, by STEP words more, and so on.
+   At the length of a window a group holds one suffix, so this ends, and no group is too large for memory.
 4. The marks go back to the documents; every word that a marked window covers is removed.
 
+Bloom filters of at most BLOOM_BITS bits keep what cannot repeat out of the shuffles; beyond that number of keys the tables are joined instead.
+
 Cases. Words are [^\\x20\\x09-\\x0D]+, unchanged; null text has none. A text without a window loses
-nothing. Repeated rows are repeats of one another, also under one id. A null id passes. Empty tables give
+nothing. Repeated rows are repeats of one another, also under one id; their marks are kept once. A null id passes. Empty tables give
 empty results. Other columns are not read.
 """
 
@@ -25,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U, _power, bloom, bloom_has, constants, grams, mix, runs, sliced, steps, stored, texts, words
+from .shared import U, _power, bloom_has, constants, grams, mix, runs, sliced, small_bloom, steps, stored, texts, words
 
 WINDOW, PREFIX = 35, 12
-#: Contents that one suffix tree may hold.
-GROUP = 512
+#: Suffixes that one tree may hold, and words by which a prefix is lengthened.
+GROUP, STEP = 4096, 4
+#: Bits up to which a Bloom filter is made.
+BLOOM_BITS = 1 << 27
 _EDGE = 5
 _C = constants(4711, 4)
 
@@ -73,18 +78,19 @@ def pieces(column: pa.Array, window: int = WINDOW, prefix: int = PREFIX):
             yield lo + row_of[b], b - first[row_of[b]], size, g[lead[begin]], c[0], c[1], (data, starts[b], ends[e - 1])
 
 
-def deep_nodes(suffixes: list[tuple[int, ...]], depth: int) -> list[list[int]]:
-    """Leaves below each internal node at `depth` words of the suffix tree; its edges carry up to _EDGE words."""
+def deep_nodes(suffixes: list[tuple[int, ...]], weights: list[int], depth: int) -> list[list[int]]:
+    """Leaves below each node at `depth` words of the suffix tree that weighs more than one; its edges carry up to _EDGE words."""
     out, open_ = [], [(list(range(len(suffixes))), 0)]
     while open_:
         group, d = open_.pop()
-        if d >= depth:
-            out.append(group)
+        if d >= depth or len(group) == 1:
+            if len(group) > 1 or weights[group[0]] > 1:
+                out.append(group)
             continue
         branches: dict[tuple[int, ...], list[int]] = {}
         for i in group:
             branches.setdefault(suffixes[i][d : min(d + _EDGE, depth)], []).append(i)
-        open_ += [(b, min(d + _EDGE, depth)) for b in branches.values() if len(b) > 1]
+        open_ += [(b, min(d + _EDGE, depth)) for b in branches.values()]
     return out
 
 
@@ -97,69 +103,100 @@ def _hashes(slices: pa.Array) -> list[np.ndarray]:
     return out
 
 
-def marks(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
-    """(row, spans): for each row key, (position, bits) of repeated windows: bit j stands for the window at position + j. docs: (row, text)."""
-    longs = lambda *x: [pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == U else a.astype(np.int64)) for a in x]
-
-    def leads(batches):
-        for b in sliced(batches):
-            for _, _, _, lead, *_ in pieces(texts(b.column(1)), window, prefix):
-                h, n = np.unique(lead, return_counts=True)
-                yield pa.RecordBatch.from_arrays(longs(h, n), names=["k", "n"])
+def _longs(*arrays) -> list[pa.Array]:
+    return [pa.array(np.ascontiguousarray(a).view(np.int64) if a.dtype == U else a.astype(np.int64)) for a in arrays]
 
-    often = stored(docs.mapInArrow(leads, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k"))
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(often, often.count()))
-
-    def occurrences(batches):
-        for b in sliced(batches):
-            key = np.asarray(b.column(0))
-            for row, at, size, lead, c1, c2, _ in pieces(texts(b.column(1)), window, prefix):
-                keep = bloom_has(sent.value, lead)
-                yield pa.RecordBatch.from_arrays(longs(*(x[keep] for x in (key[row], at, size, lead, c1, c2))), names=["row", "at", "size", "lead", "c1", "c2"])
-
-    found = stored(docs.mapInArrow(occurrences, "row long, at long, size long, lead long, c1 long, c2 long"))
-    contents = stored(found.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.min("lead").alias("lead")))
-    mixed = stored(contents.groupBy("lead").agg(F.count("*").alias("m")).where("m > 1"))
-    sent_mixed = docs.sparkSession.sparkContext.broadcast(bloom(mixed.select(F.col("lead").alias("k")), mixed.count()))
-
-    def slices(batches):
-        for b in sliced(batches):
-            for row, at, size, lead, c1, c2, (data, s, e) in pieces(texts(b.column(1)), window, prefix):
-                keep = np.flatnonzero(bloom_has(sent_mixed.value, lead))
-                keep = keep[np.unique(c1[keep], return_index=True)[1]]
-                yield pa.RecordBatch.from_arrays([*longs(lead[keep], c1[keep], c2[keep]), pa.array([data[s[i] : e[i]].tobytes() for i in keep], pa.binary())], names=["lead", "c1", "c2", "slice"])
 
-    differing = docs.mapInArrow(slices, "lead long, c1 long, c2 long, slice binary").dropDuplicates(["c1", "c2"]).join(mixed, "lead").withColumn("slice", F.col("slice").cast("string"))
+def repeated_in_contents(contents: DataFrame, window: int, group: int) -> DataFrame:
+    """(c1, c2, bits): which windows of each content repeat. contents: (lead, c1, c2, n, size, slice)."""
 
     def trees(batches):
         for r in runs(batches):
             suffixes, of = [], []
-            for i, h in enumerate(_hashes(r.column(3))):
+            for i, h in enumerate(_hashes(r.column(4))):
                 h = tuple(h.tolist())
                 for j in range(len(h) - window + 1):
                     suffixes.append(h[j : j + window])
                     of.append((i, j))
-            bits = [0] * r.num_rows
-            for leaves in deep_nodes(suffixes, window):
+            n, bits = r.column(3).to_pylist(), [0] * r.num_rows
+            for leaves in deep_nodes(suffixes, [n[i] for i, _ in of], window) if suffixes else ():
                 for x in leaves:
                     bits[of[x][0]] |= 1 << of[x][1]
-            keep = [i for i, x in enumerate(bits) if x]
-            yield pa.RecordBatch.from_arrays([r.column(1).take(pa.array(keep, pa.int64())), r.column(2).take(pa.array(keep, pa.int64())), pa.array([bits[i] for i in keep], pa.int64())], names=["c1", "c2", "bits"])
+            keep = pa.array([i for i, x in enumerate(bits) if x], pa.int64())
+            yield pa.RecordBatch.from_arrays([r.column(1).take(keep), r.column(2).take(keep), pa.array([bits[i] for i in keep.to_pylist()], pa.int64())], names=["c1", "c2", "bits"])
 
     def suffixes_of(batches):
         for b in sliced(batches):
-            for i, h in enumerate(_hashes(b.column(3))):
-                n = len(h) - window + 1
-                own = [np.full(n, b.column(j)[i].as_py()) for j in (1, 2)]
-                yield pa.RecordBatch.from_arrays(longs(grams(h, window, 5), grams(h, window, 6), *own, np.left_shift(1, np.arange(n))), names=["w1", "w2", "c1", "c2", "bits"])
+            for i, h in enumerate(_hashes(b.column(4))):
+                m = len(h) - window + 1
+                own = [np.full(m, b.column(j)[i].as_py()) for j in (1, 2, 3)]
+                words_ = [h[j : j + window].tobytes() for j in range(m)]
+                yield pa.RecordBatch.from_arrays([*_longs(grams(h, window, 5), grams(h, window, 6), *own, np.left_shift(1, np.arange(m))), pa.array(words_, pa.binary())], names=["w1", "w2", "c1", "c2", "n", "bit", "words"])
+
+    total = contents.groupBy("lead").agg(F.sum("n").alias("n"), F.sum("size").alias("m")).where("n > 1").select("lead", "m")
+    dealt = contents.join(total, "lead").select("lead", "c1", "c2", "n", "slice", "m")
+    found = dealt.where(F.col("m") <= group).drop("m").repartition("lead").sortWithinPartitions("lead").mapInArrow(trees, "c1 long, c2 long, bits long")
+    if not (hot := stored(dealt.where(F.col("m") > group).drop("m"))).head(1):
+        return found
+    suffixes = stored(hot.mapInArrow(suffixes_of, "w1 long, w2 long, c1 long, c2 long, n long, bit long, words binary"))
+    leaves = stored(suffixes.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.first("words").alias("words")))
+
+    def keyed(length):
+        def run(batches):
+            for b in sliced(batches):
+                h = np.frombuffer(b"".join(x.as_py() for x in b.column(3)), U).reshape(-1, window)
+                key = np.array([grams(x[:length], length, 8)[0] for x in h], U)
+                yield pa.RecordBatch.from_arrays([*_longs(key), *b.columns], names=["key", "w1", "w2", "n", "words"])
+
+        return run
+
+    def subtrees(batches):
+        for r in runs(batches):
+            h = np.frombuffer(b"".join(x.as_py() for x in r.column(4)), U).reshape(-1, window)
+            deep = np.array(sorted(x for leaves in deep_nodes([tuple(x) for x in h.tolist()], r.column(3).to_pylist(), window) for x in leaves), np.int64)
+            yield r.select(["w1", "w2"]).take(pa.array(deep))
+
+    deep = None
+    for length in [*range(min(PREFIX, window), window, STEP), window]:
+        level = leaves.select("w1", "w2", "n", "words").mapInArrow(keyed(length), "key long, w1 long, w2 long, n long, words binary")
+        large = stored(level.groupBy("key").count().where(F.col("count") > group).select("key"))
+        own = level.join(large, "key", "left_anti").repartition("key").sortWithinPartitions("key").mapInArrow(subtrees, "w1 long, w2 long")
+        deep = own if deep is None else deep.unionByName(own)
+        if not large.head(1):
+            break
+        leaves = stored(level.join(large, "key", "left_semi").drop("key"))
+    return found.unionByName(suffixes.join(deep, ["w1", "w2"]).groupBy("c1", "c2").agg(F.bit_or("bit").alias("bits")))
+
+
+def marks(docs: DataFrame, window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, bloom_bits: int = BLOOM_BITS) -> DataFrame:
+    """(row, spans): for each row key, (position, bits) of repeated windows: bit j stands for the window at position + j. docs: (row, text)."""
+
+    def leads(batches):
+        for b in sliced(batches):
+            for _, _, _, lead, *_ in pieces(texts(b.column(1)), window, prefix):
+                h, n = np.unique(lead, return_counts=True)
+                yield pa.RecordBatch.from_arrays(_longs(h, n), names=["k", "n"])
+
+    often = stored(docs.mapInArrow(leads, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).where("n > 1").select("k"))
+    sent = small_bloom(often, bloom_bits)
+
+    def occurrences(batches):
+        """Pieces; the first of a content in a batch brings the text."""
+        for b in sliced(batches):
+            key = np.asarray(b.column(0))
+            for row, at, size, lead, c1, c2, (data, s, e) in pieces(texts(b.column(1)), window, prefix):
+                keep = np.flatnonzero(bloom_has(sent.value, lead)) if sent is not None else np.arange(len(lead))
+                first = np.zeros(len(keep), bool)
+                first[np.unique(c1[keep], return_index=True)[1]] = True
+                slices = [data[s[i] : e[i]].tobytes() if new else None for i, new in zip(keep, first)]
+                yield pa.RecordBatch.from_arrays([*_longs(*(x[keep] for x in (key[row], at, size, lead, c1, c2))), pa.array(slices, pa.binary())], names=["row", "at", "size", "lead", "c1", "c2", "slice"])
 
-    in_trees = differing.where(F.col("m") <= group).select("lead", "c1", "c2", "slice").repartition("lead").sortWithinPartitions("lead").mapInArrow(trees, "c1 long, c2 long, bits long")
-    longest = differing.where(F.col("m") > group).select("lead", "c1", "c2", "slice").mapInArrow(suffixes_of, "w1 long, w2 long, c1 long, c2 long, bits long")
-    twice = longest.groupBy("w1", "w2").agg(F.count("*").alias("n")).where("n > 1")
-    by_window = longest.join(twice, ["w1", "w2"]).select("c1", "c2", "bits")
-    flagged = stored(contents.where("n > 1").select("c1", "c2", F.lit(-1).cast("long").alias("bits")).unionByName(in_trees).unionByName(by_window).groupBy("c1", "c2").agg(F.bit_or("bits").alias("bits")))  # a table, so that the join below reads two plain shuffles and a hot content can be split
-    marked = found.join(flagged, ["c1", "c2"]).select("row", F.struct("at", "size", "bits").alias("s"))
-    return stored(marked.groupBy("row").agg(F.collect_list("s").alias("spans")))
+    found = docs.mapInArrow(occurrences, "row long, at long, size long, lead long, c1 long, c2 long, slice binary")
+    found = stored(found if sent is not None else found.join(often.select(F.col("k").alias("lead")), "lead", "left_semi"))
+    contents = stored(found.groupBy("c1", "c2").agg(F.count("*").alias("n"), F.first("lead").alias("lead"), F.first("size").alias("size"), F.first("slice", True).cast("string").alias("slice")).select("lead", "c1", "c2", "n", "size", "slice"))
+    flagged = stored(repeated_in_contents(contents, window, group))  # a table, so that the join below reads two plain shuffles and a hot content can be split
+    marked = found.select("row", "at", "size", "c1", "c2").join(flagged, ["c1", "c2"]).select("row", F.struct("at", "size", "bits").alias("s"))
+    return stored(marked.groupBy("row").agg(F.collect_set("s").alias("spans")))
 
 
 def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
@@ -167,12 +204,9 @@ def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
     begins = np.zeros(n_words + 1, bool)
     for s in spans:
         bits, at = s["bits"], s["at"]
-        if bits == -1:
-            begins[at : at + s["size"]] = True
-        else:
-            for j in range(s["size"]):
-                if bits >> j & 1:
-                    begins[at + j] = True
+        for j in range(s["size"]):
+            if bits >> j & 1:
+                begins[at + j] = True
     edge = np.zeros(n_words + 1, np.int64)
     at = np.flatnonzero(begins)
     np.add.at(edge, at, 1)
@@ -180,13 +214,13 @@ def covered(n_words: int, spans: list[dict], window: int) -> np.ndarray:
     return np.cumsum(edge)[:n_words] > 0
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP) -> DataFrame:
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, prefix: int = PREFIX, group: int = GROUP, bloom_bits: int = BLOOM_BITS) -> DataFrame:
     """(id, n_words, n_removed, text): the words that are left, joined by one space."""
     assert prefix < window and window - prefix + 1 <= 63
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.xxhash64(F.col(id_col), F.coalesce(F.col(text_col), F.lit(""))).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    spans = marks(rows.select("row", "text"), window, prefix, group)
-    sent = docs.sparkSession.sparkContext.broadcast(bloom(spans.select(F.col("row").alias("k")), spans.count()))
+    spans = marks(rows.select("row", "text"), window, prefix, group, bloom_bits)
+    sent = small_bloom(spans.select(F.col("row").alias("k")), bloom_bits)
     schema = f"id {kind}, n_words long, n_removed long, text string"
 
     def finished(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -212,6 +246,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for b in sliced(batches):
             yield b.filter(pa.array(marked_rows(b)))
 
+    if sent is None:
+        return rows.join(spans, "row", "left").mapInArrow(lambda batches: map(finished, sliced(batches)), schema).withColumnRenamed("id", id_col)
     hit = rows.mapInArrow(touched, f"row long, text string, id {kind}").join(spans, "row", "left").mapInArrow(lambda batches: map(finished, sliced(batches)), schema)
     return rows.mapInArrow(untouched, schema).unionByName(hit).withColumnRenamed("id", id_col)
 

@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -99,9 +100,9 @@ def _removed(rows, window):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [substrings.GROUP, 1])
-def test_substring_dedup(frame, odd, group):
-    """group=1 sends all differing contents to the longest prefix."""
+@pytest.mark.parametrize("group, bits", [(substrings.GROUP, substrings.BLOOM_BITS), (100, 0), (1, substrings.BLOOM_BITS)])
+def test_substring_dedup(frame, odd, group, bits):
+    """A small group lengthens prefixes up to whole windows; no bits for filters means joins."""
     r = random.Random(9)
     passage = [f"p{i}" for i in range(60)]
     rows = list(odd)
@@ -110,17 +111,29 @@ def test_substring_dedup(frame, odd, group):
         at, lo = r.randrange(len(w)), r.randrange(20)
         rows.append((100 + i, " ".join(w[:at] + passage[lo : lo + r.randrange(30, 40)] + w[at:])))
     rows += [(200, "same " * 300), (201, "ab cd " * 40), (202, " ".join(passage)), (203, "\n".join(passage[:34]))]
-    got = substrings.remove_repeats(frame(rows, extra=True), group=group)
+    got = substrings.remove_repeats(frame(rows, extra=True), group=group, bloom_bits=bits)
     assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["n_words"], x["n_removed"], x["text"]) for x in got.collect()) == _removed(rows, 35)
-    assert substrings.remove_repeats(frame([]), group=group).count() == 0
+    assert substrings.remove_repeats(frame([]), group=group, bloom_bits=bits).count() == 0
+
+
+def test_many_equal_rows_take_linear_time(frame):
+    r = random.Random(2)
+    text, began = " ".join(f"w{r.randrange(9999)}" for _ in range(400)), time.monotonic()
+    out = substrings.remove_repeats(frame([(7, text)] * 5000 + [(8, text.replace("w", "v", 1))])).collect()
+    assert len(out) == 5001 and {x["n_removed"] for x in out if x["doc_id"] == 7} == {400}
+    assert time.monotonic() - began < 40
 
 
 def test_suffix_tree_nodes():
+    """Against counting: leaves of equal beginning, weighed."""
     r = random.Random(3)
-    s = [tuple(r.choice((1, 2)) for _ in range(8)) for _ in range(80)]
-    got = {frozenset(x) for x in substrings.deep_nodes(s, 6)}
-    want = {frozenset(i for i, x in enumerate(s) if x[:6] == p) for p in {x[:6] for x in s}}
-    assert got == {x for x in want if len(x) > 1}
+    for most in (1, 2):
+        s, w = [tuple(r.choice((1, 2)) for _ in range(8)) for _ in range(80)], [r.randint(1, most) for _ in range(80)]
+        s += [tuple(range(k, k + 8)) for k in range(10, 20)]
+        w += [1 + k % 2 for k in range(10)]
+        got = {frozenset(x) for x in substrings.deep_nodes(s, w, 6)}
+        want = {frozenset(i for i, x in enumerate(s) if x[:6] == p) for p in {x[:6] for x in s}}
+        assert got == {x for x in want if sum(w[i] for i in x) > 1}
 
 
 def test_decontamination(frame, spark):
