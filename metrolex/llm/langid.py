@@ -5,8 +5,11 @@ a bit for each language that holds the n-gram. Summed over a text this gives a p
 language; the share that chance alone would give (fill of the language's slice to the power of
 probes) is taken out, and the largest share, relative to what the language's own texts reach, decides.
 
-Fitting reads at most `most_docs` documents of each language (chosen by a hash of the text); n-grams
-are counted over whole texts in Spark. Prediction reads nothing but the text.
+Fitting reads about `most_docs` documents of each language, those with the least hashes of id and text (so no language is
+left out, however few or alike its documents are; rows alike in id and text count once); n-grams are counted over whole texts in Spark. An
+n-gram belongs to a language if LEAST_SHARE of the documents read hold it, and to every such language: no language takes
+an n-gram from another. What a language's own texts reach is drawn towards the average over languages where few documents tell it.
+Prediction reads nothing but the text.
 
 Cases. Text null or without a letter: `und`, score 0. Nothing learned: `und`. Ties: the language
 first in alphabetical order. Rows are independent; empty tables give empty results; other columns pass
@@ -26,8 +29,10 @@ from .shared import U, constants, mix, stored, texts, sliced
 
 SIZES = (2, 3, 4)
 MOST_DOCS = 4000
-#: An n-gram belongs to a language if this share of its documents hold it, and at least LEAST_OF_MAX of the share of the language where it is commonest.
-LEAST_SHARE, LEAST_OF_MAX = 0.02, 0.34
+#: An n-gram belongs to a language if this share of its documents hold it.
+LEAST_SHARE = 0.02
+#: Documents as which the average over languages counts in what a language's texts reach.
+DRAWN = 8
 PROBES = 3
 MOST_CELLS = 1 << 22
 PIECE = 1 << 18
@@ -120,37 +125,50 @@ class LanguageFilters:
 _BITS = [np.flatnonzero(np.arange(256) >> b & 1) for b in range(8)]
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> LanguageFilters:
-    """Learns from the rows whose text and language are not null."""
-    rows = docs.select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    langs = sorted(counts)
+def _sample(rows: DataFrame, most_docs: int) -> DataFrame:
+    """About most_docs rows of each language, at least one: those with the least hashes. rows: (id, text, lang)."""
+    key = F.xxhash64("id", "text")
+    u = F.pmod(F.xxhash64(key, F.lit(3)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    keyed = rows.withColumn("key", key).withColumn("u", u)
+    n = {r["lang"]: r["n"] for r in keyed.groupBy("lang", "key").agg(F.lit(1).alias("one")).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    if not n:
+        return rows
+    widest = {k: min(1.0, 4 * most_docs / m) for k, m in n.items()}
+    of = lambda d: F.element_at(F.create_map(*[F.lit(x) for k, v in sorted(d.items()) for x in (k, float(v))]), F.col("lang"))
+    near = keyed.where(F.col("u") <= of(widest)).withColumn("bucket", F.least(F.floor(F.col("u") / of(widest) * 64), F.lit(63)))
+    limit: dict[str, int] = {}
+    total: dict[str, int] = {}
+    for r in near.select("lang", "key", "bucket").distinct().groupBy("lang", "bucket").count().orderBy("lang", "bucket").collect():
+        if total.get(r["lang"], 0) < most_docs:
+            limit[r["lang"]], total[r["lang"]] = r["bucket"], total.get(r["lang"], 0) + r["count"]
+    return near.where(F.col("bucket") <= of(limit)).groupBy("lang", "key").agg(F.first("text").alias("text")).select("text", "lang")
+
+
+def fit(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text", lang_col: str = "lang", most_docs: int = MOST_DOCS) -> LanguageFilters:
+    """Learns from the rows whose text and language are not null. Without an id, equal texts of a language count once."""
+    own = F.col(id_col).cast("string") if id_col is not None and id_col in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(own.alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
+    sample = stored(_sample(rows, most_docs).select("text", "lang"))
+    total = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    langs = sorted(total)
     if not langs:
         return LanguageFilters([], np.zeros((1, 16), np.uint8), np.ones(0))
-    share = F.element_at(F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, most_docs / counts[k]))]), F.col("lang"))
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < share * (1 << 20))
     index = {k: i for i, k in enumerate(langs)}
 
     def count(batches):
         for b in sliced(batches):
             own: dict[int, list[np.ndarray]] = {}
-            docs_ = np.zeros(len(langs), np.int64)
             for t, k in zip(texts(b.column(0)), b.column(1)):
                 i = index[k.as_py()]
-                docs_[i] += 1
                 codes = _codes(t.as_py())
                 own.setdefault(i, []).append(np.unique(np.concatenate([np.unique(ngrams(p)) for p in _pieces(codes)]) if len(codes) else np.zeros(0, U)))
             for i, found in own.items():
                 h, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h) + 1, i, np.int32)), pa.array([*h.view(np.int64).tolist(), None], pa.int64()), pa.array(np.r_[n, docs_[i]].astype(np.int64))], names=["lang", "h", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), i, np.int32)), pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "h", "n"])
 
     seen = sample.mapInArrow(count, "lang int, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-    seen = stored(seen.where("n >= 2"))
-    total = {r["lang"]: r["n"] for r in seen.where("h is null").collect()}
-    rate = F.col("n") / F.element_at(F.create_map(*[F.lit(x) for k, n in sorted(total.items()) for x in (k, float(n))]), F.col("lang"))
-    held = seen.where("h is not null").select("h", "lang", rate.alias("rate")).where(F.col("rate") >= LEAST_SHARE)
-    held = held.groupBy("h").agg(F.collect_list(F.struct("lang", "rate")).alias("by"), F.max("rate").alias("top"))
-    held = stored(held.select("h", F.explode(F.filter("by", lambda x: x["rate"] >= F.col("top") * LEAST_OF_MAX)["lang"]).alias("lang")))
+    least = F.element_at(F.array(*[F.lit(LEAST_SHARE * total[k]) for k in langs]), F.col("lang") + 1)
+    held = stored(seen.where(F.col("n") >= least).select("h", "lang"))
     cells, n = 1 << 12, held.select("h").distinct().count()
     while cells < min(24 * n, MOST_CELLS):
         cells *= 2
@@ -174,9 +192,9 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", most_do
             s = [float(made.shares(_codes(t.as_py()))[i]) for i, t in zip(k, texts(b.column(0)))]
             yield pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), pa.array(s, pa.float64())], names=["lang", "share"])
 
-    fewer = sample.where(F.pmod(F.xxhash64("text", F.lit(1)), F.lit(8)) == 0)
-    for r in fewer.mapInArrow(own_share, "lang int, share double").groupBy("lang").agg(F.avg("share").alias("share")).collect():
-        made.typical[r["lang"]] = max(r["share"], 0.01)
+    reached = {r["lang"]: r["share"] for r in sample.mapInArrow(own_share, "lang int, share double").groupBy("lang").agg(F.avg("share").alias("share")).collect()}
+    mean = sum(reached[i] * total[k] for i, k in enumerate(langs)) / sum(total.values())
+    made.typical[:] = [max((reached[i] * total[k] + mean * DRAWN) / (total[k] + DRAWN), 0.01) for i, k in enumerate(langs)]
     return made
 
 

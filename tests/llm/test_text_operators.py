@@ -31,10 +31,42 @@ def test_language_odd_rows(spark, frame, odd):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.fit(frame([]))).collect()} == {"und"}
 
 
-def test_language_popcounts_have_no_misses(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(50)
-    model = langid.fit(docs)
-    assert (model.masks > 0).any() and all(0 <= c < 1 for c in model.chance)
+def _exact_grams(text):
+    """Letters lower-cased, other runs one blank, blanks at both ends."""
+    t = re.sub(r"\s+", " ", "".join(c if c.isalpha() else " " for c in f" {text.lower()} "))
+    return [t[i : i + n] for n in langid.SIZES for i in range(len(t) - n + 1)]
+
+
+def test_language_popcounts_against_exact_sets(spark):
+    """Each n-gram brings every language that holds it, and corrected popcounts are the exact shares."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("text is not null and doc_id % 9 = 0")
+    model, rows = langid.fit(docs), docs.select("doc_id", "text", "lang").collect()
+    held, n_docs = collections.defaultdict(collections.Counter), collections.Counter()
+    for r in rows:
+        if r["lang"] is not None:
+            n_docs[r["lang"]] += 1
+            held[r["lang"]].update(set(_exact_grams(r["text"])))
+    sets = [{g for g, n in held[k].items() if n >= langid.LEAST_SHARE * n_docs[k]} for k in model.langs]
+    for r in rows[:40]:
+        own = _exact_grams(r["text"])
+        if len(own) > 3:
+            exact, got = [sum(g in s for g in own) / len(own) for s in sets], model.shares(langid._codes(r["text"]))
+            assert all(x >= y - 1e-9 - c and abs(x - y) < 0.01 for x, y, c in zip(got, exact, model.chance))
+
+
+def test_language_of_few_documents_or_one_text(spark):
+    """A language of one document, and one whose documents are all one text, are learned and found."""
+    r = random.Random(4)
+    words = {k: ["".join(r.choice(letters) for _ in range(r.randrange(3, 8))) for _ in range(60)] for k, letters in (("aa", "abcdeo"), ("bb", "mnopqa"), ("cc", "uvwxyz"))}
+    some = lambda k: " ".join(r.choice(words[k]) for _ in range(80))
+    same = some("aa")
+    rows = [(i, same, "aa") for i in range(60)] + [(100 + i, some("bb"), "bb") for i in range(60)] + [(200, some("cc"), "cc")] + [(300, same, "aa")] * 500
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.fit(docs, most_docs=10)
+    assert model.langs == ["aa", "bb", "cc"]
+    assert [model.predict(some(k))[0] for k in ("aa", "bb", "cc") for _ in range(10)] == ["aa"] * 10 + ["bb"] * 10 + ["cc"] * 10
+    sizes = {x["lang"]: x["n"] for x in langid._sample(docs.withColumnRenamed("doc_id", "id"), 10).groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    assert sizes["cc"] == 1 and all(10 <= sizes[k] <= 20 for k in ("aa", "bb"))
 
 
 def _base(text):
