@@ -18,6 +18,12 @@ def picked(df: DataFrame, small: DataFrame, key: Column, size: int) -> DataFrame
     return df.withColumn("__n", F.pmod(key, F.lit(size)).cast("int")).join(small.withColumnRenamed("n", "__n"), "__n").drop("__n")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores where its files have fewer splits than there are cores (small files of one row group); larger inputs are not shuffled."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def term(df: DataFrame, kind: str, column: str, key: Column) -> DataFrame:
     return picked(df, tables.terms(df.sparkSession, kind, column), key, len(data.distinct_terms(kind)))
 
@@ -25,7 +31,7 @@ def term(df: DataFrame, kind: str, column: str, key: Column) -> DataFrame:
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(sid, tpl_id, family, polymer, property, symbol, unit, value, sentence), one for each line item; line items alike in all keys make one sentence with one sid."""
     k, i = F.col("l_orderkey"), F.col("l_linenumber")
-    df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").cast("string").alias("value"))
+    df = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).withColumn("value", F.col("l_quantity").cast("long").cast("string"))
     df = picked(df, tables.templates(spark).withColumn("n", F.col("tpl_id")), k, len(data.templates()))
     df = term(df, "polymer", "polymer", F.col("l_partkey"))
     df = term(df, "property", "property", k + i)
@@ -39,7 +45,7 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def complex_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, sentence) with two measurements."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     df = picked(df, tables.numbered(spark, data.COMPLEX_TEMPLATES, "text"), k, len(data.COMPLEX_TEMPLATES))
     picks = {"polymer": ("polymer", c), "polymer1": ("polymer", c + 1), "polymer2": ("polymer", c + 2), "property": ("property", k), "property1": ("property", k + 1), "property2": ("property", k + 2), "unit": ("unit", c), "unit1": ("unit", c + 1), "unit2": ("unit", c + 2), "material": ("material", k)}
     for column, (kind, key) in picks.items():
@@ -51,7 +57,7 @@ def complex_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, kind, sentence, distractor): sentences whose look misleads; the distractor is what must not be labelled."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")
-    df = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    df = spread(spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey"))
     df = picked(df, tables.table(spark, [(i, *t) for i, t in enumerate(data.NEGATIVE_TEMPLATES)], "n int, kind string, text string"), k, len(data.NEGATIVE_TEMPLATES))
     df = picked(df, tables.numbered(spark, data.AUTHOR_NAMES, "author_name"), c, len(data.AUTHOR_NAMES))
     df = picked(df, tables.numbered(spark, data.NON_PROPERTIES, "non_property"), c, len(data.NON_PROPERTIES))
