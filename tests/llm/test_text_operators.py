@@ -265,15 +265,18 @@ def _lines(rows, least=40, docs=5):
     return sorted(out)
 
 
-@pytest.mark.parametrize("local", [linededup.LOCAL_KEYS, 0])
-def test_line_dedup(frame, odd, local):
+@pytest.mark.parametrize("how", [{}, {"local_keys": 0, "shard_keys": 2}, {"local_keys": 0, "filter_bytes": 0, "shard_keys": 1}])
+def test_line_dedup(frame, odd, how):
+    """Keys in every task; lines dealt to shards, screened before and not."""
     r = random.Random(2)
     pool = ["A Line that Is Long enough to count, number %d" % i for i in range(6)] + ["é" * 40, "É" * 39, "short"]
     rows = odd + [(20 + i, "\n".join(r.choice(["", "  ", "\t"]) + r.choice([str.upper, str])(r.choice(pool)) for _ in range(r.randrange(6)))) for i in range(40)]
     rows += [(20, rows[len(odd)][1])]  # a repeated row
-    got = linededup.dedup_lines(frame(rows, extra=True), local_keys=local)
-    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["text"], x["__n_lines"], x["__n_dropped"]) for x in got.collect()) == _lines(rows)
-    assert linededup.dedup_lines(frame([]), local_keys=local).count() == 0
+    docs = frame(rows, extra=True).selectExpr("*", "1 as row", "2 as drop", "3 as N_LINES", "4 as k1", "5 as shard", "6 as at")
+    got = linededup.dedup_lines(docs, **how)
+    assert sorted((x["doc_id"] is None, x["doc_id"] or 0, x["text"], x["n_lines"], x["n_dropped"]) for x in got.collect()) == _lines(rows)
+    assert set(got.columns) == {*docs.columns, "n_lines", "n_dropped"} - {"N_LINES"}
+    assert linededup.dedup_lines(frame([]), **how).count() == 0
 
 
 def test_line_index_is_reversible(frame):
@@ -289,6 +292,43 @@ def test_line_index_is_reversible(frame):
     assert text(fewer.delete(frame([rows[0]])), 4) == rows[:4]
 
 
+def test_line_index_follows_random_updates(frame):
+    """Any sequence of insertions and deletions equals an index made afresh, in counts, filters and results; untouched shards stay as they are."""
+    r = random.Random(12)
+    pool = [f"one of the lines that many documents of this test share, {i}" for i in range(40)]
+    text = lambda: "\n".join(r.sample(pool, r.randrange(1, 12)) + ["own " + str(r.random())])
+    present = {i: text() for i in range(60)}
+    index = linededup.LineIndex.of(frame(list(present.items())), shard_keys=3)
+    assert index.shards > 4
+
+    def table(ix):
+        out = {}
+        for x in ix.rows().collect():
+            k = [np.frombuffer(x[c], np.int64).tolist() for c in ("k1", "k2", "n_docs", "keeper")]
+            out.update({(a, b): (n, d) for a, b, n, d in zip(*k)})
+            f = linededup.CuckooFilter(0, np.frombuffer(x["filter"], np.uint16).reshape(-1, 4))
+            assert np.count_nonzero(f.table) == x["n"] and f.has(np.array(k[0], np.int64).view(np.uint64)).all()
+        return out
+
+    for turn in range(4):
+        before = {x["shard"]: bytes(x["filter"]) + bytes(x["n_docs"]) for x in index.rows().collect()}
+        if turn % 2 == 0:
+            new = {1000 + 100 * turn + i: text() if i else pool[0] + "\n" + pool[1] for i in range(1 if turn == 0 else 6)}
+            present |= new
+            index = index.insert(frame(list(new.items())))
+        else:
+            out = r.sample(sorted(present), 5)
+            index = index.delete(frame([(i, None) for i in out]))
+            present = {i: t for i, t in present.items() if i not in out}
+        fresh_ = linededup.LineIndex.of(frame(list(present.items())), shard_keys=3)
+        assert table(index) == table(fresh_)
+        changed = index.parts[-1][1]
+        after = {x["shard"]: bytes(x["filter"]) + bytes(x["n_docs"]) for x in index.rows().collect()}
+        assert all(after[k] == before[k] for k in before if k not in changed)
+    docs = frame(list(present.items()))
+    assert sorted((x["doc_id"], x["text"]) for x in index.apply(docs).collect()) == sorted((x["doc_id"], x["text"]) for x in fresh_.apply(docs).collect())
+
+
 def test_cuckoo_filter():
     h = np.random.default_rng(1).integers(1, 2**63, 5000).astype(np.uint64)
     f = linededup.CuckooFilter.of(h)
