@@ -17,7 +17,7 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the lines that another one keeps; n_chars follows the text."""
-    kept = linededup.dedup_lines(docs)
+    kept = linededup.dedup_lines(docs, n_lines="__n_lines", n_dropped="__n_dropped")
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
