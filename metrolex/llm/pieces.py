@@ -7,8 +7,8 @@ exactly one path is left, the one that merging the whole text gives.
 
 A text is cut into chunks at any position. The states of a cut are the pieces that may lie over it, known from the
 characters beside it alone. A chunk yields its transfer matrix from the states of its left cut to those of its
-right cut. Matrices combine associatively under (max, +); the scan over a document's matrices gives the state at
-each cut, and each chunk is then traced back on its own between its two states. A document of one chunk has one
+right cut. Matrices combine associatively under (max, +): those of a block of chunks become one, the scan over a document's blocks gives
+the states at their borders, the scan inside each block those at its cuts, and each chunk is then traced back on its own between its two states. A document of one chunk has one
 state at either end. Where no piece can cross (before a blank, in the usual vocabularies), all states meet in one; the
 stretches between such places are remembered, with a bounded memory.
 
@@ -22,6 +22,7 @@ format has it.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import pickle
@@ -30,15 +31,18 @@ from array import array
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import texts
+from .shared import fresh, texts
 
 #: Characters of a chunk; a longer document is spread over tasks.
 CHUNK = 1 << 16
+#: Chunks whose matrices one task combines to one; the scan goes over blocks, then inside each.
+BLOCK = 64
 #: Stretches and pairs that one task remembers.
 MEMORY = 250_000
 BLANK = "▁"
@@ -386,7 +390,8 @@ def _kept(pickled: bytes) -> Pieces:
 
 
 def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str = "text", out: str = "ids", chunk: int = CHUNK) -> DataFrame:
-    """docs with the column `out`: array<int> of piece ids of the whole text."""
+    """docs with the column `out`: array<int> of piece ids of the whole text; a column of that name is replaced."""
+    docs = docs if out.lower() == text_col.lower() else docs.drop(out)
     model = Pieces.load(model) if isinstance(model, str) else model
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(model))
     own: list[Pieces] = []
@@ -409,7 +414,8 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
     short = docs.where(~long).mapInArrow(whole, schema)
 
     key = F.xxhash64(F.col(text_col))
-    giants = docs.where(long).withColumn("__row", key)
+    row_key, ids_key = fresh("row", docs), fresh("own_ids", docs)
+    giants = docs.where(long).withColumn(row_key, key)
 
     def chunks(batches):
         for b in batches:
@@ -417,7 +423,7 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
                 for i, (s, lo, hi, last) in enumerate(_cut(get(), t.as_py(), chunk)):
                     yield pa.RecordBatch.from_pylist([{"row": row.as_py(), "i": i, "s": s, "lo": lo, "hi": hi, "last": last}], schema=pa.schema([("row", pa.int64()), ("i", pa.int64()), ("s", pa.string()), ("lo", pa.int64()), ("hi", pa.int64()), ("last", pa.bool_())]))
 
-    cut = giants.select("__row", text_col).dropDuplicates(["__row"]).mapInArrow(chunks, "row long, i long, s string, lo long, hi long, last boolean").repartition("row", "i")
+    cut = giants.select(F.col(row_key).alias("row"), F.col(text_col).alias("text")).dropDuplicates(["row"]).mapInArrow(chunks, "row long, i long, s string, lo long, hi long, last boolean").repartition("row", "i")
 
     def matrices(batches):
         for b in batches:
@@ -425,14 +431,33 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
                 t = transfer(get(), r["s"], r["lo"], r["hi"], r["last"])
                 yield pa.RecordBatch.from_pylist([{"row": r["row"], "i": r["i"], "shape": list(t.matrix.shape), "m": t.matrix.astype(np.float64).tobytes()}], schema=pa.schema([("row", pa.int64()), ("i", pa.int64()), ("shape", pa.list_(pa.int64())), ("m", pa.binary())]))
 
-    def scanned(pdf):
-        import pandas as pd
+    made = cut.mapInArrow(matrices, "row long, i long, shape array<bigint>, m binary").withColumn("block", F.floor(F.col("i") / BLOCK))
+    square = lambda pdf: [np.frombuffer(m).reshape([int(x) for x in s]) for m, s in zip(pdf["m"], pdf["shape"])]
 
+    def combined(pdf):
+        """A block's matrices to one."""
         pdf = pdf.sort_values("i")
-        states = scan([np.frombuffer(m).reshape([int(x) for x in s]) for m, s in zip(pdf["m"], pdf["shape"])])
+        m = functools.reduce(product, square(pdf))
+        return pd.DataFrame({"row": pdf["row"][:1], "i": pdf["block"].to_numpy()[:1], "shape": [list(m.shape)], "m": [np.ascontiguousarray(m).tobytes()]})
+
+    def borders(pdf):
+        """States at the borders of a document's blocks."""
+        pdf = pdf.sort_values("i")
+        states = scan(square(pdf))
+        return pd.DataFrame({"row": pdf["row"].to_numpy(), "block": pdf["i"].to_numpy(), "a": states[:-1], "b": states[1:]})
+
+    def inner(pdf):
+        """States at the cuts inside a block, between those at its borders."""
+        pdf = pdf.sort_values("i")
+        a, b, ms = int(pdf["a"].iloc[0]), int(pdf["b"].iloc[0]), square(pdf)
+        ms[0] = ms[0][a : a + 1]
+        ms[-1] = ms[-1][:, b : b + 1]
+        states = scan(ms)
+        states[0], states[-1] = a, b
         return pd.DataFrame({"row": pdf["row"].to_numpy(), "i": pdf["i"].to_numpy(), "a": states[:-1], "b": states[1:]})
 
-    states = cut.mapInArrow(matrices, "row long, i long, shape array<bigint>, m binary").groupBy("row").applyInPandas(scanned, "row long, i long, a long, b long")
+    at_borders = made.groupBy("row", "block").applyInPandas(combined, "row long, i long, shape array<bigint>, m binary").groupBy("row").applyInPandas(borders, "row long, block long, a long, b long")
+    states = made.join(at_borders, ["row", "block"]).groupBy("row", "block").applyInPandas(inner, "row long, i long, a long, b long")
 
     def traced(batches):
         for b in batches:
@@ -445,7 +470,7 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
     ids = F.flatten(F.col("parts")["part"])
     if not model.bytes_:
         ids = F.filter(F.transform(ids, lambda x, i: F.when((x == model.unknown) & (i > 0) & (F.get(ids, i - 1) == model.unknown), F.lit(-1)).otherwise(x)), lambda x: x >= 0)
-    joined = giants.join(parts.select(F.col("row").alias("__row"), ids.alias("__ids")), "__row", "left").select(*docs.columns, F.col("__ids").alias(out))
+    joined = giants.join(parts.select(F.col("row").alias(row_key), ids.alias(ids_key)), row_key, "left").select(*docs.columns, F.col(ids_key).alias(out))
     return short.unionByName(joined)
 
 
@@ -455,7 +480,8 @@ def decode_ids(m: Pieces, ids: list[int]) -> str:
 
 
 def decode(df: DataFrame, model: Pieces | str = DEFAULT_MODEL, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
-    """df with the column `out`: the text that the ids stand for."""
+    """df with the column `out`: the text that the ids stand for; a column of that name is replaced."""
+    df = df if out.lower() == ids_col.lower() else df.drop(out)
     model = Pieces.load(model) if isinstance(model, str) else model
     sent, at = df.sparkSession.sparkContext.broadcast(model.decoded), df.columns.index(ids_col)
 
