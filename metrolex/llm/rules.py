@@ -12,7 +12,8 @@ the list is empty and rejects nothing.
 
 Cases. Null text has no words and so fails the base rule. A null id is never a labelled row. Rows are
 independent: repeated rows give repeated results. Empty tables give empty results. Other columns pass
-unread; the statistics stand in one struct column, so that no name can clash.
+unread; the statistics stand in one struct column, and columns of the results' names (__q, __base_failed, __kept) are replaced.
+A list has at most MOST_RULES rules of at most MOST_CONDITIONS conditions.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import SPACES, stored
+from .shared import SPACES, fresh, stored
 
 _SYMBOLS = "#*$%&|<>"
 _GAP = r"[\x20\x09-\x0D]+"
@@ -39,31 +40,33 @@ def with_statistics(docs: DataFrame, text_col: str = "text", out: str = "__q") -
     """docs with a struct column of text statistics."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     bare = F.btrim(text, F.lit(SPACES))
-    df = docs.withColumn("__w", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _GAP, -1)))
-    df = df.withColumn("__lines", F.filter(F.split(text, "\n", -1), lambda x: F.length(_gone(x, SPACES)) > 0))
-    last = F.size("__w") - 3
-    grams = F.when(last < 0, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.get("__w", i), F.get("__w", i + 1), F.get("__w", i + 2)).alias("h"), i.alias("i"))))
-    df = df.withColumn("__g", F.sort_array(grams))
-    at = F.sort_array(F.filter("__g", lambda x, i: (F.get("__g", i - 1)["h"] == x["h"]) | (F.get("__g", i + 1)["h"] == x["h"]))["i"])
+    w_, lines_, g_ = (fresh(x, docs) for x in ("words", "lines", "triples"))
+    docs = docs.drop(out)
+    df = docs.withColumn(w_, F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, _GAP, -1)))
+    df = df.withColumn(lines_, F.filter(F.split(text, "\n", -1), lambda x: F.length(_gone(x, SPACES)) > 0))
+    last = F.size(w_) - 3
+    grams = F.when(last < 0, F.array().cast("array<struct<h:bigint,i:int>>")).otherwise(F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(F.xxhash64(F.get(w_, i), F.get(w_, i + 1), F.get(w_, i + 2)).alias("h"), i.alias("i"))))
+    df = df.withColumn(g_, F.sort_array(grams))
+    at = F.sort_array(F.filter(g_, lambda x, i: (F.get(g_, i - 1)["h"] == x["h"]) | (F.get(g_, i + 1)["h"] == x["h"]))["i"])
     none = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("n"))
     covered = F.aggregate(at, none, lambda a, i: F.struct((i + 3).alias("end"), (a["n"] + i + 3 - F.greatest(i, a["end"])).cast("long").alias("n")))["n"]
     letters = "abcdefghijklmnopqrstuvwxyz"
     size = lambda c: F.size(c).cast("long")
     without = lambda chars: (F.length(text) - F.length(_gone(text, chars))).cast("long")
     made = {
-        "n_words": size("__w"),
+        "n_words": size(w_),
         "word_chars": F.length(_gone(text, SPACES)).cast("long"),
         "n_symbols": without(_SYMBOLS),
-        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
+        "n_dup_lines": (F.size(lines_) - F.size(F.array_distinct(lines_))).cast("long"),
         "n_repeat_words": covered,
-        "n_lines": size("__lines"),
+        "n_lines": size(lines_),
         "n_upper": without(letters.upper()),
         "n_digits": without("0123456789"),
-        "n_distinct": size(F.array_distinct("__w")),
+        "n_distinct": size(F.array_distinct(w_)),
         "n_marks": without(".,;:!?"),
     }
     # a generator of one row: no filter on a statistic is pushed below it, where it would be worked out again for each use
-    return df.withColumn(out, F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items()))))).drop("__w", "__lines", "__g")
+    return df.withColumn(out, F.explode(F.array(F.struct(*(c.alias(k) for k, c in made.items()))))).drop(w_, lines_, g_)
 
 
 def features(q: str = "__q") -> dict[str, Column]:
@@ -108,11 +111,12 @@ class DecisionList:
         return "\n".join(f"reject if {' and '.join(map(str, c))}  ({p:.3f})" for c, p in self.rules)
 
 
-def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
-    """docs of at most most_labelled labelled ids, with column __y (1: reject)."""
+def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", most_labelled: int = MOST_LABELLED) -> DataFrame:
+    """(__id, text, __y) of at most most_labelled labelled ids, one row of each (the one whose text has the largest hash); __y 1: reject."""
     one = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("__id")).agg((F.min(label_col) == 0).cast("int").alias("__y"))
     chosen = one.orderBy(F.xxhash64("__id"), "__id").limit(most_labelled)  # most_labelled rows of two numbers bound the broadcast
-    return docs.join(F.broadcast(chosen), F.col(id_col).cast("long") == F.col("__id"))
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text_col).alias(text_col)).join(F.broadcast(chosen), "__id")
+    return rows.groupBy("__id").agg(F.max_by(F.struct(text_col, "__y"), F.xxhash64(text_col)).alias("r")).select("__id", "r.*")
 
 
 def learn(rows: DataFrame) -> DecisionList:
@@ -120,7 +124,7 @@ def learn(rows: DataFrame) -> DecisionList:
     of = features()
     names = list(of)
     rows = stored(rows.select(*(c.alias(k) for k, c in of.items()), F.col("__y"), (F.pmod(F.xxhash64("__id", F.lit(9)), F.lit(3)) == 0).alias("__prune")))
-    cuts = rows.agg(*(F.percentile_approx(k, [i / BINS for i in range(1, BINS)], 10_000).alias(k) for k in names)).first()
+    cuts = rows.agg(*(F.percentile(k, F.array(*[F.lit(i / BINS) for i in range(1, BINS)])).alias(k) for k in names)).first()
     if cuts[names[0]] is None:
         return DecisionList()
     edges = {k: sorted(set(cuts[k])) for k in names}

@@ -164,6 +164,23 @@ def test_decontamination(frame, spark):
     assert decontaminate.contained_items(frame(rows), benchmark.limit(0)).count() == 0
 
 
+def test_clashing_names(frame, spark):
+    """Columns named as the operators name their own."""
+    from metrolex.llm import rules
+
+    text = "some words of a text that is long enough for a few shingles to be made of it"
+    names = "ids decoded row own_ids gone words lines triples __q __kept __base_failed n_words text_ id spans lead k1 i block a b m shape".split()
+    docs = frame([(1, text), (2, text + " more"), (3, "x y " * 300), (4, None)]).selectExpr("*", *(f"{i} as {n}" for i, n in enumerate(names)))
+    rest = [c for c in docs.columns if c not in ("ids", "decoded")]
+    for chunk in (pieces.CHUNK, 40):
+        out = pieces.decode(pieces.encode(docs, chunk=chunk))
+        assert sorted(out.columns) == sorted([*rest, "ids", "decoded"]) and all(r["decoded"] == (r["text"] or "") for r in out.collect())
+    assert neardup.drop_near_duplicates(docs).columns == docs.columns
+    assert rules.judged(docs, rules.DecisionList()).count() == 4
+    assert substrings.remove_repeats(docs).count() == 4
+    assert decontaminate.clean(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).columns == docs.columns
+
+
 def test_bins_keep_their_promise():
     for n in (16, 1000, 100_000):
         for shared in (1, 9, 40):

@@ -36,3 +36,10 @@ def test_bloom_has_no_misses(spark):
 def test_runs_join_across_batches():
     t = pa.table({"k": pa.array([1, 1, 2, 2, 2, 3], pa.int64()), "v": pa.array(list(range(6)))})
     assert [(r.column(0)[0].as_py(), r.num_rows) for r in shared.runs(t.to_batches(2))] == [(1, 2), (2, 3), (3, 1)]
+
+
+def test_whole_groups_stay_together():
+    t = pa.table({"k": pa.array([1, 1, 2, 2, 2, 3, 4, 4, 5], pa.int64()), "v": pa.array(list(range(9)))})
+    for size in range(1, 10):
+        got = [r.column(0).to_pylist() for r in shared.whole(t.to_batches(size))]
+        assert sum(got, []) == t.column("k").to_pylist() and all(a[-1] != b[0] for a, b in zip(got, got[1:]))

@@ -357,8 +357,15 @@ def test_decision_list_is_native_and_good(spark):
     out = rules.op9_quality_rules(spark, SF)
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
-    rows = out.join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id").where("not base_failed").collect()
-    assert sum(r["kept"] == bool(r["quality"]) for r in rows) >= 0.95 * len(rows)
+    assert out.count() == spark.read.parquet(f"{SF}/documents.parquet").count()
+
+
+def test_decision_list_held_out(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    learned = rules.learn(rules.with_statistics(rules.labelled(docs, labels.where("doc_id % 4 != 1"))))
+    assert learned.rules
+    rows = rules.judged(docs.join(labels.where("doc_id % 4 = 1"), "doc_id"), learned).where("not __base_failed").select("__kept", "quality").collect()
+    assert sum(r["__kept"] == bool(r["quality"]) for r in rows) >= 0.95 * len(rows)
 
 
 def test_rules_without_labels(spark, frame):
