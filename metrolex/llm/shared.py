@@ -237,5 +237,28 @@ def runs(batches, key: int = 0) -> Iterator[pa.RecordBatch]:
         yield _joined(held)
 
 
+def whole(batches, key: int = 0) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups of equal key from a stream that is sorted by it; many small groups stay together."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        k = np.asarray(b.column(key))
+        other = np.flatnonzero(k != k[-1])
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield _joined([*held, b.slice(0, cut)])
+            held = [b.slice(cut)]
+        elif held and last != k[0]:
+            yield _joined(held)
+            held = [b]
+        else:
+            held.append(b)
+        last = k[-1]
+    if held:
+        yield _joined(held)
+
+
 def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import U, _power, bloom_has, constants, grams, mix, runs, sliced, small_bloom, steps, stored, texts, words
+from .shared import U, _power, bloom_has, constants, grams, mix, runs, sliced, small_bloom, steps, stored, texts, whole, words
 
 WINDOW, PREFIX = 35, 12
 #: Suffixes that one tree may hold, and words by which a prefix is lengthened.
@@ -81,16 +81,23 @@ def pieces(column: pa.Array, window: int = WINDOW, prefix: int = PREFIX):
 def deep_nodes(suffixes: list[tuple[int, ...]], weights: list[int], depth: int) -> list[list[int]]:
     """Leaves below each node at `depth` words of the suffix tree that weighs more than one; its edges carry up to _EDGE words."""
     out, open_ = [], [(list(range(len(suffixes))), 0)]
-    while open_:
+    while open_ and suffixes:
         group, d = open_.pop()
-        if d >= depth or len(group) == 1:
-            if len(group) > 1 or weights[group[0]] > 1:
-                out.append(group)
+        if d >= depth:
+            out.append(group)
+            continue
+        if len(group) == 1:
+            out += [group] * (weights[group[0]] > 1)
             continue
         branches: dict[tuple[int, ...], list[int]] = {}
+        end = min(d + _EDGE, depth)
         for i in group:
-            branches.setdefault(suffixes[i][d : min(d + _EDGE, depth)], []).append(i)
-        open_ += [(b, min(d + _EDGE, depth)) for b in branches.values()]
+            branches.setdefault(suffixes[i][d:end], []).append(i)
+        for b in branches.values():
+            if len(b) > 1:
+                open_.append((b, end))
+            elif weights[b[0]] > 1:  # a leaf: no branch can follow
+                out.append(b)
     return out
 
 
@@ -111,19 +118,17 @@ def repeated_in_contents(contents: DataFrame, window: int, group: int) -> DataFr
     """(c1, c2, bits): which windows of each content repeat. contents: (lead, c1, c2, n, size, slice)."""
 
     def trees(batches):
-        for r in runs(batches):
-            suffixes, of = [], []
-            for i, h in enumerate(_hashes(r.column(4))):
-                h = tuple(h.tolist())
-                for j in range(len(h) - window + 1):
-                    suffixes.append(h[j : j + window])
-                    of.append((i, j))
-            n, bits = r.column(3).to_pylist(), [0] * r.num_rows
-            for leaves in deep_nodes(suffixes, [n[i] for i, _ in of], window) if suffixes else ():
-                for x in leaves:
-                    bits[of[x][0]] |= 1 << of[x][1]
+        for r in whole(batches):
+            lead, n, bits = np.asarray(r.column(0)), r.column(3).to_pylist(), [0] * r.num_rows
+            hashes = [h.tolist() for h in _hashes(r.column(4))]
+            cuts = (np.flatnonzero(lead[1:] != lead[:-1]) + 1).tolist()
+            for lo, hi in zip([0, *cuts], [*cuts, r.num_rows]):
+                of = [(i, j) for i in range(lo, hi) for j in range(len(hashes[i]) - window + 1)]
+                for leaves in deep_nodes([tuple(hashes[i][j : j + window]) for i, j in of], [n[i] for i, _ in of], window):
+                    for x in leaves:
+                        bits[of[x][0]] |= 1 << of[x][1]
             keep = pa.array([i for i, x in enumerate(bits) if x], pa.int64())
-            yield pa.RecordBatch.from_arrays([r.column(1).take(keep), r.column(2).take(keep), pa.array([bits[i] for i in keep.to_pylist()], pa.int64())], names=["c1", "c2", "bits"])
+            yield pa.RecordBatch.from_arrays([r.column(1).take(keep), r.column(2).take(keep), pa.array([x for x in bits if x], pa.int64())], names=["c1", "c2", "bits"])
 
     def suffixes_of(batches):
         for b in sliced(batches):
