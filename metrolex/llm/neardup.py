@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decontaminate import shingle_sets
-from .shared import U, bloom, bloom_has, constants, mix, runs, stored, texts, sliced
+from .shared import U, bloom, bloom_has, constants, fresh, mix, runs, sliced, stored, texts
 
 DEPTH, SLOTS = 4, 256
 LEAF_ROWS, LEAF_SHINGLES = 2048, 1 << 22
@@ -177,7 +177,9 @@ def links(docs: DataFrame, reps: DataFrame, k: int, percent: int, trees: int, id
         for r in runs(batches):
             sketches = np.frombuffer(b"".join(x.as_py() for x in r.column(3)), np.uint8).reshape(-1, SLOTS)
             if (keep := _hopeful(sketches, np.asarray(r.column(2)), percent)).any():
-                yield r.select(["leaf", "id"]).filter(pa.array(keep))
+                ids = np.asarray(r.column(1))[keep]
+                same = mix(mix(ids.view(U)).sum(dtype=U, keepdims=True)).view(np.int64)  # leaves of several trees that hold the same rows are one
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(same, len(ids))), pa.array(ids)], names=["leaf", "id"])
 
     near = at.join(reps.select("id", "n", "sketch"), "id").select("leaf", "id", "n", "sketch").repartition("leaf").sortWithinPartitions("leaf").mapInArrow(hopeful, "leaf long, id long")
     near = stored(near.distinct())
@@ -240,8 +242,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, recall: floa
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller id; all columns stay."""
-    gone = near_duplicates(docs, k, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, F.col(id_col) == F.col("__gone"), "left_anti")
+    name = fresh("gone", docs)
+    gone = near_duplicates(docs.select(id_col, text_col), k, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col(id_col).alias(name)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(name), "left_anti")
 
 
 def op6_near_dedup(spark, sf_dir: str) -> DataFrame:
