@@ -155,11 +155,13 @@ def fresh(name: str, *dfs: DataFrame) -> str:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: Spark's checkpoint folder; a temporary one only where none is set, as in tests."""
+    """The folder that all executors see: Spark's checkpoint folder; a temporary one only where none is set and all runs on this machine, as in tests."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None:
+            if not sc.master.startswith("local"):
+                raise RuntimeError("on a cluster, name a shared folder in spark.checkpoint.dir")
             named = tempfile.mkdtemp(prefix="metrolex-")
             atexit.register(shutil.rmtree, named, True)
         sc.setCheckpointDir(named)
