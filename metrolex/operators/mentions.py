@@ -3,7 +3,7 @@
 A `contains` join would be a nested loop, and a join on first tokens makes rows of every token and has to bring
 the matches of a sentence together again. So sentences are matched row by row: the vocabulary, a hash table of token sequences,
 goes to every task, and Arrow batches of token arrays come back with their mentions, without a shuffle. (As lambda
-functions over a constant the same look-up took four times as long as the join.) A vocabulary of more than MOST_TERMS
+functions over a constant the same look-up took 12 s for 60,000 sentences, at a time when the join took 40 s for 600,000.) A vocabulary of more than MOST_TERMS
 terms is not sent to tasks: it is joined on the first one to three tokens, and matches are brought together by sentence.
 """
 
