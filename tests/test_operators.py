@@ -44,3 +44,16 @@ def test_matching_is_not_a_nested_loop(spark):
     s = _sentences(spark, "PE")
     plan = mentions.mentions(s, tables.lexicon(spark))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_large_vocabularies_are_joined_alike(spark):
+    """Terms of up to 21 tokens; the way beyond the size bound gives the same spans."""
+    import random
+
+    r = random.Random(3)
+    words = [f"w{chr(97 + i)}" for i in range(20)]
+    terms = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 21))) for _ in range(3000)})
+    lexicon = tables.table(spark, [("polymer" if i % 2 else "unit", i, t, "s") for i, t in enumerate(terms)], "entity_type string, ord int, term string, section string")
+    s = _sentences(spark, *(" ".join(r.choice([r.choice(terms), r.choice(words), "12", "="]) for _ in range(12)) for _ in range(60)))
+    got, joined = (sorted(map(tuple, mentions.mentions(s, lexicon, most_terms=n).collect())) for n in (100_000, 0))
+    assert got == joined and any(en - st > 15 for _, st, en, *_ in got)
