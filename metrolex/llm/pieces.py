@@ -9,7 +9,7 @@ A text is cut into chunks at any position. The states of a cut are the pieces th
 characters beside it alone. A chunk yields its transfer matrix from the states of its left cut to those of its
 right cut. Matrices combine associatively under (max, +): those of a block of chunks become one, the scan over a document's blocks gives
 the states at their borders, the scan inside each block those at its cuts, and each chunk is then traced back on its own between its two states. A document of one chunk has one
-state at either end. Where no piece can cross (before a blank, in the usual vocabularies), all states meet in one; the
+state at either end. Where no piece can cross (before a blank, or between a letter and a mark, in the usual vocabularies), all states meet in one; the
 stretches between such places are remembered, with a bounded memory.
 
 Models: identity normalisation, a blank put before the text, blanks kept (else ValueError). Characters outside the
@@ -109,8 +109,22 @@ class Pieces:
     @property
     def cutter(self) -> re.Pattern:
         if not hasattr(self, "_cutter"):
-            alone = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-            self._cutter = re.compile(f"[{alone}]|{BLANK}*[^{BLANK}{alone}]+|{BLANK}+" if alone else f"{BLANK}*[^{BLANK}]+|{BLANK}+")
+            first: dict[str, str] = {}  # of the characters that pieces join, each points towards one of its group
+
+            def group(c: str) -> str:
+                while first.setdefault(c, c) != c:
+                    c = first[c]
+                return c
+
+            for p in self.ids:
+                joined = p.lstrip(BLANK)
+                for x, y in zip(joined, joined[1:]):
+                    first[group(x)] = group(y)
+            groups: dict[str, list[str]] = {}
+            for c in sorted(first):
+                groups.setdefault(group(c), []).append(re.escape(c))
+            runs = [f"[{''.join(g)}]+" for g in sorted(groups.values(), key=len, reverse=True)]
+            self._cutter = re.compile(f"{BLANK}*(?:{'|'.join([*runs[:1], f'[^{BLANK}{"".join(map(re.escape, sorted(first)))}]', *runs[1:]])})|{BLANK}+")
         return self._cutter
 
     @property
@@ -221,7 +235,7 @@ class Pieces:
 
 
 def stretches(text: str, m: Pieces) -> list[str]:
-    """The text cut before each blank that follows another character, and around line ends and tabs that no piece holds."""
+    """The text cut before each blank that follows another character, and between characters that no chain of pieces joins."""
     return m.cutter.findall(text) if m.resets else [text]
 
 
