@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from .. import data
+from ..storage import exists, make_folder
 from ..tables import table
+from . import xlsx
 
 #: Folders of a workspace, below its root.
 FOLDERS = ["raw_inputs", "extracted_xml", "samples", "models", "exports/txt", "exports/csv", "exports", "logs", "data", "config"]
@@ -16,30 +19,43 @@ def formats(spark: SparkSession) -> DataFrame:
 
 
 def export(df: DataFrame, path: str, name: str, mode: str = "errorifexists") -> None:
-    """Writes df in one of the registered formats. xlsx has no distributed writer and is refused; txt takes one string column."""
+    """Writes df in one of the registered formats; txt takes one string column, xlsx flat columns."""
     if name not in {f[0] for f in data.EXPORT_FORMATS}:
         raise ValueError(f"unknown export format {name}")
-    if name == "xlsx":
-        raise ValueError("xlsx has no distributed writer; export csv instead")
     writer = df.write.mode(mode)
     if name == "json":
-        writer.json(path)
+        writer.option("ignoreNullFields", False).json(path)
     elif name == "csv":
-        writer.option("header", True).csv(path)
+        writer.option("header", True).option("escape", '"').csv(path)
     elif name == "xml":
         writer.format("xml").option("rowTag", "row").save(path)
+    elif name == "xlsx":
+        if mode not in ("append", "overwrite") and exists(df.sparkSession, f"{path}/_SUCCESS"):
+            if mode == "ignore":
+                return
+            raise ValueError(f"{path} is there already")
+        xlsx.register(df.sparkSession)
+        df.write.format("xlsx").mode("overwrite" if mode == "overwrite" else "append").save(path)
     else:
         writer.text(path)
 
 
+def read_export(spark: SparkSession, path: str, name: str, schema: StructType | None = None) -> DataFrame:
+    """Reads what export() wrote; without a schema the columns are as the format has them."""
+    if name not in {f[0] for f in data.EXPORT_FORMATS}:
+        raise ValueError(f"unknown export format {name}")
+    if name == "xlsx":
+        xlsx.register(spark)
+    reader = spark.read.format("text" if name == "txt" else name)
+    options = {"csv": {"header": True, "escape": '"'}, "xml": {"rowTag": "row"}, "txt": {}, "json": {}, "xlsx": {}}[name]
+    return (reader.schema(schema) if schema is not None else reader).options(**options).load(path)
+
+
 def ensure_workspace(spark: SparkSession, root: str) -> list[str]:
     """Creates the folders of a workspace on any file system that Spark reaches."""
-    jvm = spark.sparkContext._jvm
-    out = []
-    for f in FOLDERS:
-        p = jvm.org.apache.hadoop.fs.Path(f"{root}/{f}")
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(p)
-        out.append(f"{root}/{f}")
+    out = [f"{root}/{f}" for f in FOLDERS]
+    for f in out:
+        make_folder(spark, f)
     return out
 
 

@@ -57,9 +57,11 @@ def test_exports(spark, tmp_path):
     exports.export(df.select("x"), str(tmp_path / "txt"), "txt")
     assert spark.read.json(str(tmp_path / "json")).count() == spark.read.text(str(tmp_path / "txt")).count() == 2
     assert vocabulary.read_documents(spark, str(tmp_path / "xml")).count() == 2
-    for bad in ("xlsx", "odt"):
+    for name in ("json", "csv", "xml"):
+        assert sorted(map(tuple, exports.read_export(spark, str(tmp_path / name), name, df.schema).collect())) == [("a", 1), ("b", 2)]
+    for f in (exports.export, lambda d, *a: exports.read_export(spark, *a)):
         with pytest.raises(ValueError):
-            exports.export(df, str(tmp_path / bad), bad)
+            f(df, str(tmp_path / "odt"), "odt")
     assert all((tmp_path / "w" / f).is_dir() for f in exports.FOLDERS if exports.ensure_workspace(spark, str(tmp_path / "w")))
 
 
