@@ -122,6 +122,12 @@ ORACLE = {
     "log_last": f"with {_log} select message, level, file_name, line_number from lines order by at_ desc, file_name desc, line_number desc, message desc limit 1",
     "log_required": f"with {_log} select column_ as \"column\", case when column_ = 'log_id' then (select count(*) from lines where log_id is null) else 0 end as n_null from (select unnest(['timestamp', 'level', 'message', 'source', 'event_type', 'user_action', 'file_name', 'line_number', 'local_log_file', 'synced_to_appwrite', 'log_id']) as column_)",
     "export_json_roundtrip": f"with {_log} select level, event_type, count(*) as n, count(log_id) as n_ids, count(*) filter (where synced) as n_synced from last_ group by all",
+    "export_read_back": f"with {rows('t', 'name, extension, mime_type', data.EXPORT_FORMATS)}, o as (select o_orderstatus, count(*) as n, sum(o_custkey)::bigint as keys, sum(round(o_totalprice * 100)::bigint)::bigint as cents, max(o_orderdate) as last_day from orders group by all) select * from t, o",
+    "log_roundtrip": f"with {_log} select message, level, category, file_name, line_number, context, log_id, synced as synced_to_appwrite from last_",
+    "log_unsent": f"with {_log} select message, level, category, line_number from base where event_id % 7 = 0",
+    "log_inserted": f"with {_log} select level, event_type, count(*) as n, count(distinct log_id) as n_ids, count(*) filter (where synced) as n_synced from lines where write_ = 2 group by all",
+    "log_context": """with c as (select event_id, props, case event_id % 6 when 0 then 'object' when 1 then 'object' when 2 then 'text' when 3 then 'none' when 4 then 'text' else 'none' end as context_kind, (props::json ->> 'k')::bigint as k from events)
+  select context_kind, count(*) as n, count(*) filter (where context_kind = 'text') as n_text, count(k) filter (where context_kind = 'object') as n_k, (sum(k) filter (where context_kind = 'object'))::bigint as sum_k from c group by all""",
     "export_formats": f"with {rows('t', 'name, extension, mime_type', data.EXPORT_FORMATS)} select * from t",
     "env_missing": f"with {listed('r', data.REQUIRED_ENV)} select v as name from r where v not in ('APPWRITE_ENDPOINT', 'APPWRITE_API_KEY', 'HOME')",
 }

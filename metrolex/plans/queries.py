@@ -11,6 +11,8 @@ from .. import data, tables
 from ..functions import text, units, values
 from ..operators import lookup, mentions
 from ..sources import exports, logs
+from ..storage import fresh_path
+from ..streaming import logs as stream
 from . import corpus
 
 
@@ -220,6 +222,67 @@ def export_json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.groupBy("level", "event_type").agg(F.count("*").alias("n"), F.count("log_id").alias("n_ids"), F.count(F.when(F.col("synced_to_appwrite"), 1)).alias("n_synced"))
 
 
+def export_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders written in every registered format and read again: rows and sums of each."""
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    found = []
+    for name, extension, mime_type in data.EXPORT_FORMATS:
+        path = fresh_path(spark, f"export-{name}")
+        exports.export(orders.select(F.concat_ws("|", *orders.columns).alias("value")) if name == "txt" else orders, path, name)
+        if name == "txt":
+            parts = F.split("value", "[|]")
+            again = exports.read_export(spark, path, name).select(*(parts[i].cast(f.dataType).alias(f.name) for i, f in enumerate(orders.schema)))
+        else:
+            again = exports.read_export(spark, path, name, orders.schema)
+        sums = again.groupBy("o_orderstatus").agg(F.count("*").alias("n"), F.sum("o_custkey").alias("keys"), F.sum(F.round(F.col("o_totalprice") * 100).cast("long")).alias("cents"), F.max("o_orderdate").alias("last_day"))
+        found.append(sums.select(F.lit(name).alias("name"), F.lit(extension).alias("extension"), F.lit(mime_type).alias("mime_type"), "o_orderstatus", "n", "keys", "cents", "last_day"))
+    return reduce(DataFrame.unionByName, found)
+
+
+def log_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both writes of each event as JSON lines by category, read again; the last write wins."""
+    folder = fresh_path(spark, "log")
+    lines = log_lines(spark, sf_dir)
+    logs.create(spark, folder)
+    logs.append(lines.where("log_id is null"), folder)
+    logs.append(lines.where("log_id is not null"), folder)
+    return logs.latest(logs.read(spark, folder)).select("message", "level", "category", "file_name", "line_number", "context", "log_id", "synced_to_appwrite")
+
+
+def log_unsent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose second line never came, found by the stream over the log's files."""
+    folder, out = fresh_path(spark, "log"), fresh_path(spark, "unsent")
+    lines = log_lines(spark, sf_dir)
+    logs.append(lines, folder)
+    logs.append(stream.closing_lines(lines).withColumn("category", F.lit("system")), folder)
+    files = 1_000_000  # a finite log is one batch: its files are in no order of time
+    first, second = stream.read_stream(spark, folder, files), stream.read_stream(spark, folder, files)
+    stream.run_available(stream.unsent_stream(first, second), out, fresh_path(spark, "checkpoint"))
+    return spark.read.schema("message string, level string, category string, line_number int, source string").parquet(out).where("source != 'closing'").drop("source")
+
+
+def log_inserted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second lines streamed into a table, its last batch played twice."""
+    folder, path = fresh_path(spark, "log"), fresh_path(spark, "inserted")
+    logs.append(log_lines(spark, sf_dir).where("log_id is not null"), folder)
+    stream.insert_stream(stream.read_stream(spark, folder), path, fresh_path(spark, "checkpoint"))
+    stream.insert_batch(logs.read(spark, folder), 0, path)
+    return stream.read_inserted(spark, path).groupBy("level", "event_type").agg(F.count("*").alias("n"), F.countDistinct("log_id").alias("n_ids"), F.count(F.when(F.col("synced_to_appwrite"), 1)).alias("n_synced"))
+
+
+def log_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Contexts written as object, as text, broken, blank or not at all, read as variants: what they are, with a typed field."""
+    folder = fresh_path(spark, "log")
+    i, props = F.col("event_id"), F.col("props")
+    kind = F.pmod(i, F.lit(6))
+    odd = F.when(kind == 1, props).when(kind == 2, F.substring(props, 1, 4)).when(kind == 3, F.lit(" ")).when(kind == 4, F.concat(F.lit("event "), i.cast("string")))
+    context = F.when(kind == 0, F.parse_json(props)).when(kind < 5, odd.cast("variant"))
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    events.select(F.concat(F.lit("event "), i.cast("string")).alias("message"), context.alias("context")).write.json(folder)
+    found = logs.context_fields(logs.structured(logs.read_contexts(spark, folder)), {"$.k": "long"})
+    return found.groupBy("context_kind").agg(F.count("*").alias("n"), F.count("context_text").alias("n_text"), F.count("k").alias("n_k"), F.sum("k").alias("sum_k"))
+
+
 def export_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exports.formats(spark)
 
@@ -231,5 +294,5 @@ def env_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     corpus_measurements, template_slots, template_signatures, template_family_counts, complex_render, negatives_render, negatives_excluded, value_parse, canonical_polymers, canonical_properties,
     lexicon_dups, lexicon_sizes, lexicon_overlap, lexicon_mentions, mention_counts, bio_labels, bio_decode, label_id_counts, label_ids, property_ranges, property_rollup, property_symbols, range_check, unit_check,
-    unit_normalise, unit_dimensions, ocr_repair, greek_letters, negation_flag, section_classify, content_markers, log_route, log_latest, log_last, log_required, export_json_roundtrip, export_formats, env_missing,
+    unit_normalise, unit_dimensions, ocr_repair, greek_letters, negation_flag, section_classify, content_markers, log_route, log_latest, log_last, log_required, log_roundtrip, log_unsent, log_inserted, log_context, export_json_roundtrip, export_read_back, export_formats, env_missing,
 )}
