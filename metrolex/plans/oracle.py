@@ -56,6 +56,16 @@ def _unit(u: str) -> str:
 _ranged = rows("props", "n, symbol, own_unit, data_range", [(i, r[1], r[2], r[4]) for i, r in enumerate(data.PROPERTY_TABLE)])
 _measured = f"{_ranged}, {listed('uni', data.distinct_terms('unit'))}, m as (select l_orderkey, l_linenumber, l_quantity, symbol, own_unit, translate(data_range, '−–', '--') as r, uni.v as unit from lineitem join props on props.n = l_partkey % {len(data.PROPERTY_TABLE)} join uni on uni.n = l_suppkey % {_n['unit']})"
 _lo, _hi = r"regexp_extract(r, '\[([^,]+),', 1)::double", r"regexp_extract(r, ', ?([^\]]+)\]', 1)::double"
+#: What a unit measures: kind, factor to the kind's own unit, where zero lies. Written by hand, for the default vocabulary and the property table.
+MEASURES = [
+    ("K", "temperature", 1.0, 0.0), ("Kelvin", "temperature", 1.0, 0.0), *((u, "temperature", 1.0, 273.15) for u in ("°C", "C", "deg C", "° C", "·C", "degC", "℃", "deg·C", "Celsius", "u+00B0C", "u00B0C", "u2103")), ("°F", "temperature", 5 / 9, 255.3722222222222),
+    ("°C/min", "heating", 1 / 60, 0.0), ("K/min", "heating", 1 / 60, 0.0), ("kJ/mol", "molar energy", 1e3, 0.0), ("J/mol", "molar energy", 1.0, 0.0), ("kJ·mol⁻¹", "molar energy", 1e3, 0.0), ("kcal/mol", "molar energy", 4184.0, 0.0), ("eV/atom", "molar energy", 96485.33212, 0.0), ("eV atom⁻¹", "molar energy", 96485.33212, 0.0),
+    ("eV", "energy", 1.602176634e-19, 0.0), ("N·m", "energy", 1.0, 0.0), ("J/g·K", "heat capacity", 1e3, 0.0), ("J·g⁻¹·K⁻¹", "heat capacity", 1e3, 0.0), ("Jg⁻¹K⁻¹", "heat capacity", 1e3, 0.0), ("J kg⁻¹ K⁻¹", "heat capacity", 1.0, 0.0),
+    ("MPa", "pressure", 1e6, 0.0), ("GPa", "pressure", 1e9, 0.0), ("Pa", "pressure", 1.0, 0.0), ("kPa", "pressure", 1e3, 0.0), ("N/mm²", "pressure", 1e6, 0.0), ("psi", "pressure", 6894.757293168, 0.0), ("atm", "pressure", 101325.0, 0.0), ("bar", "pressure", 1e5, 0.0), ("torr", "pressure", 133.32236842105263, 0.0), ("cal cm⁻³", "pressure", 4.184e6, 0.0),
+    *((u, "density", 1e3, 0.0) for u in ("g/cm³", "g·cm⁻³", "g/cm3", "g/cm^3", "g cm⁻³")), ("kg/m³", "density", 1.0, 0.0), ("s", "time", 1.0, 0.0), ("min", "time", 60.0, 0.0), ("h", "time", 3600.0, 0.0), ("ms", "time", 1e-3, 0.0), ("μs", "time", 1e-6, 0.0), ("µs", "time", 1e-6, 0.0), ("s⁻¹", "rate", 1.0, 0.0), ("Hz", "rate", 1.0, 0.0),
+    ("barrer", "permeability", 3.3464e-16, 0.0), ("cm²/s", "diffusivity", 1e-4, 0.0), ("mol/L", "concentration", 1e3, 0.0), ("mol·L⁻¹", "concentration", 1e3, 0.0), ("M", "concentration", 1e3, 0.0), ("mM", "concentration", 1.0, 0.0), ("W/m·K", "conductivity", 1.0, 0.0), ("W·m⁻¹·K⁻¹", "conductivity", 1.0, 0.0),
+    ("J/m²", "surface energy", 1.0, 0.0), ("MPa·m½", "toughness", 1e6, 0.0), ("%", "number", 0.01, 0.0), ("wt%", "number", 0.01, 0.0), ("ppm", "number", 1e-6, 0.0), ("", "number", 1.0, 0.0), ("g/mol", "molar mass", 1e-3, 0.0), ("kg/mol", "molar mass", 1.0, 0.0), ("kDa", "molar mass", 1.0, 0.0), ("nm", "length", 1e-9, 0.0),
+]
 _words = sorted({w for ws in data.SECTION_WORDS.values() for w in ws}) + ["appendix"]
 _headings = f"{listed('hw', _words)}, h as (select p_partkey, case when p_size % 2 = 0 then upper(v) else '  ' || array_to_string(list_transform(string_split(v, ' '), lambda x: upper(x[1]) || x[2:]), ' ') || ' ' end as heading from part join hw on n = p_partkey % {len(_words)})"
 _log = r"""base as (select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as at_, case when event_type = 'error' then 'ERROR' else 'INFO' end as level, case user_id % 4 when 0 then 'api' when 1 then 'user' else 'system' end as category,
@@ -108,7 +118,8 @@ ORACLE = {
     "property_ranges": f"with {_pt}, r as (select *, translate(data_range, '−–', '--') as r from pt) select property, symbol, {_lo} as lo, {_hi} as hi, {_lo} = {_hi} as degenerate, all_ = hp + coalesce(cp, 0) as adds_up from r",
     "property_rollup": f"with {_pt} select category, source, sum(hp)::bigint as hp, coalesce(sum(cp), 0)::bigint as cp, sum(all_)::bigint as total, count(*) as n from pt group by rollup (category, source)",
     "property_symbols": f"with {_pt}, {listed('t', data.distinct_terms('property'))} select property, symbol, symbol in (select v from t) as known from pt",
-    "range_check": f"with {_measured} select l_orderkey, l_linenumber, symbol, l_quantity, l_quantity >= {_lo} and l_quantity <= {_hi} as in_range from m",
+    "range_check": f"""with {_measured}, {rows("u", "name, kind, k, zero", MEASURES)}, s as (select m.*, {_lo} as lo, {_hi} as hi, a.kind as kind, b.kind as own_kind, l_quantity * a.k + a.zero as v, {_lo} * b.k + b.zero as l, {_hi} * b.k + b.zero as h from m left join u a on a.name = m.unit left join u b on b.name = coalesce(m.own_unit, ''))
+  select l_orderkey, l_linenumber, symbol, l_quantity, unit, coalesce(kind = own_kind, false) as comparable, coalesce(kind = own_kind and v >= l - greatest(abs(l), abs(h)) * 1e-9 and v <= h + greatest(abs(l), abs(h)) * 1e-9, false) as in_range from s""",
     "unit_check": f"with {_measured} select symbol, unit, count(*) as n, bool_and(({_unit('unit')}) is not distinct from ({_unit('own_unit')})) as compatible from m group by all",
     "unit_normalise": f"with {_lex}, u as (select distinct term as unit from lex where entity_type = 'unit') select unit, {_unit('unit')} as canonical from u",
     "unit_dimensions": f"with {_lex} select distinct term as unit, section as dimension from lex where entity_type = 'unit' and term <> ''",

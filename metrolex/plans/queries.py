@@ -130,16 +130,21 @@ def property_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quantity in some unit for each line item, beside a property's unit and range; measures are worked out in the vocabulary, once a unit."""
     rows = [(i, r[1], r[2], r[4]) for i, r in enumerate(data.PROPERTY_TABLE)]
+    lo, hi = values.interval(F.col("data_range"))
+    properties = tables.table(spark, rows, "n int, symbol string, own_unit string, data_range string").withColumns({"lo": lo, "hi": hi, "own": units.measure(F.col("own_unit"))})
+    vocabulary = tables.terms(spark, "unit", "unit").withColumn("measure", units.measure(F.col("unit")))
     df = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    df = corpus.picked(df, tables.table(spark, rows, "n int, symbol string, own_unit string, data_range string"), F.col("l_partkey"), len(rows))
-    return corpus.term(df, "unit", "unit", F.col("l_suppkey"))
+    df = corpus.picked(df, properties, F.col("l_partkey"), len(rows))
+    return corpus.picked(df, vocabulary, F.col("l_suppkey"), len(data.distinct_terms("unit")))
 
 
 def range_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A flag, not a filter: ranges carry one digit."""
-    lo, hi = values.interval(F.col("data_range"))
-    return _measured(spark, sf_dir).select("l_orderkey", "l_linenumber", "symbol", "l_quantity", F.col("l_quantity").between(lo, hi).alias("in_range"))
+    """A flag, not a filter: ranges carry one digit. A quantity is converted to its property's unit; one of another kind is in no range."""
+    m = _measured(spark, sf_dir)
+    inside = units.within(F.col("l_quantity"), F.col("measure"), F.col("lo"), F.col("hi"), F.col("own"))
+    return m.select("l_orderkey", "l_linenumber", "symbol", "l_quantity", "unit", units.same_dimension(F.col("measure"), F.col("own")).alias("comparable"), F.coalesce(inside, F.lit(False)).alias("in_range"))
 
 
 def unit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
