@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -53,6 +54,47 @@ def decode_codes(text: Column) -> Column:
     return reduce(lambda t, kv: F.when(text == kv[0], F.lit(kv[1])).otherwise(t), reversed(data.OCR_CODES), text)
 
 
+#: A code point left as text: u+ and four hexadecimal digits; without the plus in capitals, with a digit first, at a word's beginning.
+_CODE = r"[uU]\+[0-9A-Fa-f]{4}|(?<![\p{L}\p{N}])u[0-9][0-9A-F]{3}"
+
+
+def _mapped(pairs: dict[str, str], key: Column) -> Column:
+    return F.element_at(F.create_map(*(F.lit(x) for kv in pairs.items() for x in kv)), key)
+
+
+def decode_text(text: Column) -> Column:
+    """Running text with every code point that stands as text decoded, in one pass: what is decoded is not looked at again.
+
+    The fixed codes come first, the longest at a place; any other code gives its character (half of a pair gives the replacement character).
+    """
+    fixed = dict(data.OCR_CODES)
+    known = "|".join(("" if "+" in c else r"(?<![\p{L}\p{N}])") + re.escape(c) for c in sorted(fixed, key=lambda c: (-len(c), c)))
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s){known}|{_CODE}|[^uU]+|."), F.lit(0))
+
+    def part(x: Column) -> Column:
+        half = F.upper(F.substring(x, -4, 2)).between("D8", "DF")
+        character = F.when(half, "\ufffd").otherwise(F.decode(F.unhex(F.substring(x, -4, 4)), "UTF-16BE"))
+        return F.coalesce(_mapped(fixed, x), F.when(x.rlike(rf"^(?:[uU]\+[0-9A-Fa-f]{{4}}|u[0-9][0-9A-F]{{3}})$"), character), x)
+
+    return F.when(text == "", text).otherwise(F.array_join(F.transform(parts, part), ""))
+
+
+def greek_letters(text: Column) -> Column:
+    """Running text with names of Greek letters as letters: whole runs of Latin letters only (`beta-form`, `alpha2`, not `betaine`), a capital name as a capital letter."""
+    known = [x for x in zip(data.GREEK_NAMES, data.GREEK_LOWER, data.GREEK_UPPER) if x[0] not in data.GREEK_UNNAMED]
+    names = {n: lo for n, lo, _ in known} | {f(n): up for n, _, up in known for f in (str.capitalize, str.upper)}
+    runs = F.regexp_extract_all(text, F.lit(r"(?s)\p{L}+|\P{L}+"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda x: F.coalesce(_mapped(names, x), x)), "")
+
+
+def greek_names(text: Column) -> Column:
+    """Running text with Greek letters as the names that are known for them; the micro sign is mu."""
+    known = [x for x in zip(data.GREEK_NAMES, data.GREEK_LOWER, data.GREEK_UPPER) if x[0] not in data.GREEK_UNNAMED]
+    pairs = {lo: n for n, lo, _ in known} | {up: n.capitalize() for n, _, up in known} | {"µ": "mu"}
+    parts = F.regexp_extract_all(text, F.lit(rf"(?s)[{''.join(pairs)}]|[^{''.join(pairs)}]+"), F.lit(0))
+    return F.array_join(F.transform(parts, lambda x: F.coalesce(_mapped(pairs, x), x)), "")
+
+
 def basename(path: Column) -> Column:
     return F.substring_index(path, "/", -1)
 

@@ -42,6 +42,21 @@ def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select(sid.alias("sid"), "tpl_id", "family", *fills, render(F.col("text"), fills).alias("sentence"))
 
 
+#: Code points as scanned text has them, beside the fixed ones; a choice of ours.
+SCANNED_CODES = ["u+03B1", "U+2126", "u+00B5", "u+2212", "u03C3", "u+00b2"]
+
+
+def scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, scanned): a sentence for each line item, with code points and names of Greek letters where characters should stand."""
+    codes = [c for c, _ in data.OCR_CODES] + SCANNED_CODES
+    names = [f(n) for n in data.GREEK_NAMES for f in (str.lower, str.capitalize)]
+    df = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    df = picked(df, tables.numbered(spark, codes, "code"), F.col("l_partkey"), len(codes))
+    df = picked(df, tables.numbered(spark, names, "letter"), F.col("l_orderkey") + F.col("l_linenumber"), len(names))
+    df = term(df, "polymer", "polymer", F.col("l_suppkey"))
+    return df.select("l_orderkey", "l_linenumber", F.concat(F.lit("unused "), "letter", F.lit("-form of "), "polymer", F.lit(" ("), "letter", F.lit("2, "), "letter", F.lit("ine): "), F.col("l_linenumber").cast("string"), F.lit(" "), "code", F.lit(" at u+").cast("string")).alias("scanned"))
+
+
 def complex_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(o_orderkey, sentence) with two measurements."""
     k, c = F.col("o_orderkey"), F.col("o_custkey")

@@ -124,6 +124,10 @@ ORACLE = {
     "unit_normalise": f"with {_lex}, u as (select distinct term as unit from lex where entity_type = 'unit') select unit, {_unit('unit')} as canonical from u",
     "unit_dimensions": f"with {_lex} select distinct term as unit, section as dimension from lex where entity_type = 'unit' and term <> ''",
     "ocr_repair": rf"with {_corpus} select sid, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(sentence, '\bT\s+([gmdc])\b', 'T\1', 'g'), 'Δ\s+([A-Z])\b', 'Δ\1', 'g'), '[•·]\s*C\b', '°C', 'g'), '\bdegC\b', '°C', 'g'), 'mol\^-1', 'mol⁻¹', 'g') as repaired from corpus where family = 'ocr'",
+    "scanned_decode": f"""with {rows("code", "n, v", list(enumerate(["°C", "°C", "°C", "m²", "°C", "·Pa", "α", "\u2126", "\u00b5", "\u2212", "σ", "²"])))}, {listed("name", [f(n) for n in data.GREEK_NAMES for f in (str.lower, str.capitalize)])},
+  {listed("letter", [x for n, a, b in zip(data.GREEK_NAMES, data.GREEK_LOWER, data.GREEK_UPPER) for x in ((n, n.capitalize()) if n in ("iota", "omicron") else (a, b))])}, {listed("pol", data.distinct_terms("polymer"))}
+  select l_orderkey, l_linenumber, concat('unused ', letter.v, '-form of ', pol.v, ' (', letter.v, '2, ', name.v, 'ine): ', l_linenumber, ' ', code.v, ' at u+') as decoded
+  from lineitem join code on code.n = l_partkey % 12 join name on name.n = (l_orderkey + l_linenumber) % 48 join letter on letter.n = name.n join pol on pol.n = l_suppkey % {_n["polymer"]}""",
     "greek_letters": f"with {rows('t', 'name, lower, upper, named', [(n, a, b, n not in ('iota', 'omicron')) for n, a, b in zip(data.GREEK_NAMES, data.GREEK_LOWER, data.GREEK_UPPER)])} select * from t",
     "negation_flag": rf"with {_corpus} select family, regexp_matches(sentence, '(?i)\b(no|not|without|absence|failed|unless|if)\b') as flagged, count(*) as n from corpus group by all",
     "section_classify": f"with {_headings}, {rows('sw', 'section, w', sorted({(s, w) for s, ws in data.SECTION_WORDS.items() for w in ws}))} select p_partkey, heading, section from h left join sw on w = lower(trim(heading))",

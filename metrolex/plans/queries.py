@@ -167,6 +167,11 @@ def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("sid", text.repair_spaced(F.col("sentence")).alias("repaired"))
 
 
+def scanned_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned sentences with code points decoded and Greek letters written as letters."""
+    return corpus.scanned(spark, sf_dir).select("l_orderkey", "l_linenumber", text.greek_letters(text.decode_text(F.col("scanned"))).alias("decoded"))
+
+
 def greek_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = [(n, lo, up, n not in data.GREEK_UNNAMED) for n, lo, up in zip(data.GREEK_NAMES, data.GREEK_LOWER, data.GREEK_UPPER)]
     return tables.table(spark, rows, "name string, lower string, upper string, named boolean")
@@ -299,5 +304,5 @@ def env_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     corpus_measurements, template_slots, template_signatures, template_family_counts, complex_render, negatives_render, negatives_excluded, value_parse, canonical_polymers, canonical_properties,
     lexicon_dups, lexicon_sizes, lexicon_overlap, lexicon_mentions, mention_counts, bio_labels, bio_decode, label_id_counts, label_ids, property_ranges, property_rollup, property_symbols, range_check, unit_check,
-    unit_normalise, unit_dimensions, ocr_repair, greek_letters, negation_flag, section_classify, content_markers, log_route, log_latest, log_last, log_required, log_roundtrip, log_unsent, log_inserted, log_context, export_json_roundtrip, export_read_back, export_formats, env_missing,
+    unit_normalise, unit_dimensions, ocr_repair, scanned_decode, greek_letters, negation_flag, section_classify, content_markers, log_route, log_latest, log_last, log_required, log_roundtrip, log_unsent, log_inserted, log_context, export_json_roundtrip, export_read_back, export_formats, env_missing,
 )}

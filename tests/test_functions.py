@@ -77,3 +77,20 @@ def test_property_table_adds_up():
     assert all(r[7] == r[5] + (r[6] or 0) for r in data.PROPERTY_TABLE) and len(data.PROPERTY_TABLE) == 29
     assert (sum(r[5] for r in data.PROPERTY_TABLE), sum(r[6] or 0 for r in data.PROPERTY_TABLE)) == (28071, 7456)
     assert len(set(data.LABELS)) == 13
+
+
+def test_running_text_is_decoded_once(spark):
+    cases = {
+        "at 78 u+00B0C and u2103, u+33A1": "at 78 °C and °C, m²", "5 u00B7Pa": "5 ·Pa", "u2022C u+2022C": "°C •C", "menu+00B1": "men±", "u+u+00E9": "u+é", "u+005Cu+0041": "\\A", "u+D83D": "�", "plateau2103 u12G4 ubeef U2103 u+12": "plateau2103 u12G4 ubeef U2103 u+12",
+        "u+0075+0041": "u+0041", "": "", "uU\nu": "uU\nu", "é u+0000": "é \x00",
+    }
+    df = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string")
+    assert {r["t"]: r["d"] for r in df.select("t", text.decode_text(F.col("t")).alias("d")).collect()} == {**cases, None: None}
+
+
+def test_greek_in_running_text(spark):
+    cases = {"alpha-helix, beta2 and Delta H; BETA": "α-helix, β2 and Δ H; Β", "betaine alphabet iota Omicron x_mu": "betaine alphabet iota Omicron x_μ", "eta theta zeta beta": "η θ ζ β", "éalpha alphaé": "éalpha alphaé", "": ""}
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    assert {r["t"]: r["d"] for r in df.select("t", text.greek_letters(F.col("t")).alias("d")).collect()} == cases
+    back = spark.createDataFrame([("σ_y = 5 µm, Δ",)], "t string").select(text.greek_names(F.col("t")).alias("d")).first()["d"]
+    assert back == "sigma_y = 5 mum, Delta"
