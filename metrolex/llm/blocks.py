@@ -49,9 +49,13 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def coded(words: pa.Array) -> tuple[np.ndarray, pa.Array]:
+def coded(words: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
     """Code of each word, and the distinct words in the order of their codes."""
     d = words.dictionary_encode()
+    if isinstance(d, pa.ChunkedArray):
+        if not d.num_chunks:
+            return np.zeros(0, np.int32), pa.array([], words.type)
+        return np.concatenate([np.asarray(c.indices) for c in d.chunks]), d.chunk(d.num_chunks - 1).dictionary
     return np.asarray(d.indices), d.dictionary
 
 
@@ -64,3 +68,20 @@ def firsts(*columns: np.ndarray) -> np.ndarray:
         for c in columns:
             new[1:] |= c[1:] != c[:-1]
     return np.flatnonzero(new)
+
+
+def packed(codes: np.ndarray) -> bytes:
+    """Codes as compressed bytes, the four bytes of each apart: frequent words have small codes."""
+    planes = np.ascontiguousarray(codes.astype(np.int32).view(np.uint8).reshape(-1, 4).T)
+    return len(codes).to_bytes(8, "little") + pa.compress(planes.tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 4 * n, "zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.ascontiguousarray(planes.T).view(np.int32).reshape(n)
+
+
+def let_go() -> None:
+    """Gives back what Arrow keeps for later; workers live on after a task."""
+    pa.default_memory_pool().release_unused()

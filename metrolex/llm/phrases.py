@@ -24,14 +24,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import coded, gaps, lowered, spans, strings
-from .shared import steps, stored, texts
+from .blocks import coded, gaps, let_go, lowered, packed, spans, strings, unpacked
+from .shared import discard, steps, stored, texts
 
 LEAST, MOST_WORDS, TOP = 10, 3, 2000
 #: Bytes of text in a block, words in one; a longer text is cut between pieces.
-BLOCK, BLOCK_WORDS, STEP = 24 << 20, 4 << 20, 4 << 20
+BLOCK, BLOCK_WORDS, STEP = 16 << 20, 3 << 20, 4 << 20
 #: Parts of a language that are cut to the first `top` before they meet.
 PARTS = 32
+#: Bits of a place that hold the code.
+_LOW = 31
 _PIECE = gaps(".,;:!?\n\x0b\x0c\r")
 _GAP = _PIECE | gaps(" \t")
 
@@ -61,7 +63,10 @@ def _parts(begins: np.ndarray, most: int):
 
 
 def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """(block, code, lang, word, n, codes): dictionary rows of each block, and a row with code -1 and its text as codes, -1 before each piece."""
+    """(place, lang, word, n, codes): dictionary rows of each block, and a row with n = 0 and its text as codes, -1 before each piece.
+
+    place: the block's number above the low 31 bits, the word's code in them.
+    """
 
     def make(batches):
         held: dict[str, list] = {}
@@ -71,17 +76,18 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
         def flush():
             nonlocal number
             for lang, parts in held.items():
-                words, begins = pa.concat_arrays([w for w, _ in parts]), np.concatenate([b for _, b in parts])
+                words, begins = pa.chunked_array([w for w, _ in parts]), np.concatenate([b for _, b in parts])
                 for lo, hi in _parts(begins, block_words):
                     if number > last:
                         raise ValueError("too many blocks in one partition; read smaller partitions")
                     code, distinct = coded(words.slice(lo, hi - lo))
                     n, k = np.bincount(code, minlength=len(distinct)), len(distinct)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), pa.array(np.arange(k, dtype=np.int32)), pa.repeat(lang, k), distinct, pa.array(n), pa.nulls(k, pa.binary())], names=names)
-                    codes = np.insert(code.astype(np.int32), np.flatnonzero(begins[lo:hi]), -1)
-                    yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([lang]), pa.nulls(1, pa.large_string()), pa.array([0]), pa.array([codes.tobytes()], pa.binary())], names=names)
+                    yield pa.RecordBatch.from_arrays([pa.array((number << _LOW) + np.arange(k)), pa.repeat(lang, k), distinct, pa.array(n), pa.nulls(k, pa.binary())], names=names)
+                    codes = packed(np.insert(code.astype(np.int32), np.flatnonzero(begins[lo:hi]), -1))
+                    yield pa.RecordBatch.from_arrays([pa.array([number << _LOW]), pa.array([lang]), pa.nulls(1, pa.large_string()), pa.array([0]), pa.array([codes], pa.binary())], names=names)
                     number += 1
             held.clear()
+            let_go()
 
         for b in batches:
             column, lang, langs = texts(b.column(0)), *coded(b.column(1))
@@ -94,16 +100,15 @@ def word_blocks(docs: DataFrame, text_col: str = "text", lang_col: str = "lang",
                         size = 0
         yield from flush()
 
-    names = ["block", "code", "lang", "word", "n", "codes"]
+    names = ["place", "lang", "word", "n", "codes"]
     columns = docs.select(F.col(text_col).cast("string"), F.coalesce(F.col(lang_col).cast("string"), F.lit("und")))
-    return columns.mapInArrow(make, "block long, code int, lang string, word string, n long, codes binary")
+    return columns.mapInArrow(make, "place long, lang string, word string, n long, codes binary")
 
 
 def named(rows: DataFrame, *key: str, least: int = LEAST) -> DataFrame:
-    """Dictionary rows of the frequent keys, with `total` and `id`, the place of the key's least row."""
+    """Dictionary rows of the frequent keys, with `total` and `id`, the least of the key's places."""
     whole = Window.partitionBy(*key)
-    place = F.shiftleft("block", 31) + F.col("code")
-    seen = rows.where("code >= 0").select("block", "code", *key, F.sum("n").over(whole).alias("total"), F.min(place).over(whole).alias("id"), place.alias("place"))
+    seen = rows.where("n > 0").select("place", *key, F.sum("n").over(whole).alias("total"), F.min("place").over(whole).alias("id"))
     return seen.where(F.col("total") >= least)
 
 
@@ -112,35 +117,42 @@ def phrases_of(names: DataFrame, *key: str) -> DataFrame:
     return names.where("place = id").select("id", "total", *key)
 
 
-def _paired(key, left: pa.Table, right: pa.Table) -> pa.Table:
-    """A block's codes with the names of its frequent codes: its pairs of neighbouring names."""
-    block, code = key[0].as_py(), np.asarray(right.column("code").combine_chunks())
-    ids = np.asarray(right.column("id").combine_chunks())
-    rows: list[pa.Table] = []
+def _paired(key, left: pa.Table, right: pa.Table, last: bool) -> pa.Table:
+    """A block's codes with the names of its frequent codes: its pairs of neighbouring names; last: no codes for a next level."""
+    block, place = key[0].as_py() << _LOW, np.asarray(right.column("place").combine_chunks())
+    code, ids = place & ((1 << _LOW) - 1), np.asarray(right.column("id").combine_chunks())
+    rows: list[pa.Table] = [_NO_PAIRS]
     for text in left.column("codes").to_pylist():
-        codes = np.frombuffer(text, np.int32)
-        own = np.full(max(int(codes.max(initial=-1)) + 2, 1), -1, np.int64)
+        codes = unpacked(text)
+        own = np.full(max(int(codes.max(initial=-1)) + 2, 1), -1, np.int32)
         own[code] = np.arange(len(code))  # the last place stays -1 and stands for code -1
         at = own[codes]
-        both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0))
-        pair, code2, n = np.unique(at[both] * max(len(code), 1) + at[both + 1], return_inverse=True, return_counts=True)
-        k, codes2 = len(pair), np.full(max(len(codes) - 1, 0), -1, np.int32)
-        codes2[both] = code2
-        for part in (
-            {"block": np.full(k, block), "code": np.arange(k, dtype=np.int32), "left": ids[pair // max(len(code), 1)], "right": ids[pair % max(len(code), 1)], "n": n, "codes": pa.nulls(k, pa.binary())},
-            {"block": [block], "code": pa.array([-1], pa.int32()), "left": [0], "right": [0], "n": [0], "codes": pa.array([codes2.tobytes()], pa.binary())},
-        ):
-            rows.append(pa.table(part))
-    return pa.concat_tables(rows) if rows else _NO_PAIRS
-
-
-_NO_PAIRS = pa.table({"block": pa.array([], pa.int64()), "code": pa.array([], pa.int32()), "left": pa.array([], pa.int64()), "right": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "codes": pa.array([], pa.binary())})
-
-
-def pair_blocks(blocks: DataFrame, names: DataFrame) -> DataFrame:
-    """(block, code, left, right, n, codes): blocks of the next level."""
-    text = blocks.where("code < 0").select("block", "codes").groupBy("block")
-    return text.cogroup(names.select("block", "code", "id").groupBy("block")).applyInArrow(_paired, "block long, code int, left long, right long, n long, codes binary")
+        both = np.flatnonzero((at[:-1] >= 0) & (at[1:] >= 0)).astype(np.int32)
+        some = max(len(code), 1)
+        pairs = at[both].astype(np.int64)
+        pairs *= some
+        pairs += at[both + 1]
+        del at
+        pair, code2, n = np.unique(pairs, return_inverse=True, return_counts=True)
+        del pairs
+        rows.append(pa.table({"place": block + np.arange(len(pair)), "left": ids[pair // some], "right": ids[pair % some], "n": n, "codes": pa.nulls(len(pair), pa.binary())}))
+        if not last:
+            codes2 = np.full(max(len(codes) - 1, 0), -1, np.int32)
+            codes2[both] = code2
+            del code2, both
+            rows.append(pa.table({"place": [block], "left": [0], "right": [0], "n": [0], "codes": pa.array([packed(codes2)], pa.binary())}))
+    let_go()
+    return pa.concat_tables(rows)
+
+
+_NO_PAIRS = pa.table({"place": pa.array([], pa.int64()), "left": pa.array([], pa.int64()), "right": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "codes": pa.array([], pa.binary())})
+
+
+def pair_blocks(blocks: DataFrame, names: DataFrame, last: bool = False) -> DataFrame:
+    """(place, left, right, n, codes): blocks of the next level."""
+    block = F.shiftright("place", _LOW).alias("block")
+    text = blocks.where("n = 0").select(block, "codes").groupBy("block")
+    return text.cogroup(names.select(block, "place", "id").groupBy("block")).applyInArrow(lambda k, a, b: _paired(k, a, b, last), "place long, left long, right long, n long, codes binary")
 
 
 def levels(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, **sizes) -> tuple[DataFrame, list[DataFrame]]:
@@ -150,21 +162,24 @@ def levels(docs: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, **
     """
     none = F.array().cast("array<bigint>")
     blocks = stored(word_blocks(docs, **sizes))
-    counts = blocks.where("code >= 0").groupBy("lang").agg(F.sum("n").alias("n"))
+    counts = stored(blocks.where("n > 0").groupBy("lang").agg(F.sum("n").alias("n")))
     names = stored(named(blocks, "lang", "word", least=least))
     at = F.lit(None).cast("long")
     out = [stored(phrases_of(names, "lang", "word").select("id", "lang", F.array("word").alias("words"), "total", none.alias("heads"), none.alias("tails"), at.alias("left"), at.alias("right")))]
     for k in range(2, most_words + 1):
-        blocks = stored(pair_blocks(blocks, names))
+        used = [blocks, names]
+        blocks = pair_blocks(blocks, names, k == most_words)
         if k < most_words:
+            blocks = stored(blocks)
             names = stored(named(blocks, "left", "right", least=least))
             new = phrases_of(names, "left", "right")
         else:
-            new = blocks.where("code >= 0").groupBy("left", "right").agg(F.sum("n").alias("total")).where(F.col("total") >= least).withColumn("id", F.lit(None).cast("long"))
+            new = blocks.groupBy("left", "right").agg(F.sum("n").alias("total")).where(F.col("total") >= least).withColumn("id", F.lit(None).cast("long"))
         a = out[-1].select(F.col("id").alias("left"), "lang", F.col("words").alias("w1"), F.array_append("heads", F.col("total")).alias("heads"))
         b = out[-1].select(F.col("id").alias("right"), F.element_at("words", -1).alias("w2"), F.array_append("tails", F.col("total")).alias("tails"))
         new = new.join(a, "left").join(b, "right")
         out.append(stored(new.select("id", "lang", F.array_append("w1", F.col("w2")).alias("words"), "total", "heads", "tails", "left", "right")))
+        discard(*used)  # what is left stands in tables of its own
     return counts, out
 
 

@@ -172,7 +172,16 @@ def stored(df: DataFrame) -> DataFrame:
     """df written to the shared folder as a table and read again: it cuts the lineage and survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._path = path  # for discard()
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables that stored() gave. Only where nothing that is still to be worked out reads them."""
+    for df in tables:
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(vars(df)["_path"])
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bloom(keys: DataFrame, count: int, per_key: int = 12, most_bits: int = 1 << 27, probes: int = 4) -> np.ndarray:
