@@ -1,17 +1,12 @@
-"""Vocabulary matching: look-up within the row, overlap resolution, BIO labels and back.
+"""Vocabulary matching: overlap resolution, BIO labels and back.
 
 A `contains` join would be a nested loop, and a join on first tokens makes rows of every token and has to bring
-the matches of a sentence together again. So sentences are matched row by row: the vocabulary, a hash table of token sequences,
-goes to every task, and Arrow batches of token arrays come back with their mentions, without a shuffle. (As lambda
-functions over a constant the same look-up took 12 s for 60,000 sentences, at a time when the join took 40 s for 600,000.) A vocabulary of more than MOST_TERMS
-terms is not sent to tasks: it is joined on the first one to three tokens, and matches are brought together by sentence.
+the matches of a sentence together again (joined() does that). So sentences are matched where they are: Arrow batches of token arrays meet the vocabulary's automata
+(operators.automaton) and come back with their mentions, without a shuffle, whatever the vocabulary's size.
 """
 
 from __future__ import annotations
 
-import functools
-import unicodedata
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +14,9 @@ from pyspark.sql import types as T
 
 from .. import data
 from ..functions.text import tokens
+from . import automaton
 
 _KEY = 3
-MOST_TERMS = 100_000
 _SPANS = "array<struct<st:int,en:int,entity:string,term:string>>"
 
 
@@ -62,83 +57,38 @@ def resolved(found: DataFrame) -> DataFrame:
     return grouped.select("sid", F.aggregate("s", none, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["st"].alias("st"), (-x["ne"]).alias("en"), x["entity"].alias("entity"), x["term"].alias("term")))).otherwise(keep(a, x))).alias("spans"))
 
 
-class Matcher:
-    """Terms by their tokens; finds the mentions of a token list."""
-
-    def __init__(self, terms: list[tuple[tuple[str, ...], int, str, str]]):
-        """terms: (tokens, priority, entity, term)."""
-        self.terms: dict[tuple[str, ...], list[tuple[int, str, str]]] = {}
-        lengths: dict[str, set[int]] = {}
-        for toks, *own in terms:
-            self.terms.setdefault(toks, []).append(tuple(own))
-            lengths.setdefault(toks[0], set()).add(len(toks))
-        for own in self.terms.values():
-            own.sort()
-        self.lengths = {k: sorted(v, reverse=True) for k, v in lengths.items()}
-        self.value = data.TYPE_PRIORITY.index("VALUE") + 1
-
-    def spans(self, t: list[str]) -> list[tuple[int, int, str, str]]:
-        """(st, en, entity, term): from the left, at each place the longest, then by type priority."""
-        out, i, n, number = [], 0, len(t), lambda j: 0 <= j < len(t) and _is_number(t[j])
-        while i < n:
-            best = None
-            for k in self.lengths.get(t[i], ()):
-                for prio, entity, term in self.terms.get(tuple(t[i : i + k]), ()) if i + k <= n else ():
-                    if number(i - 1) if entity == "UNIT" else len(term) != 1 or number(i - 1) or number(i + k) or "=" in (t[i - 1] if i else "", t[i + k] if i + k < n else ""):
-                        best = (i, i + k, prio, entity, term)
-                        break
-                if best:
-                    break
-            if _is_number(t[i]) and (best is None or best[1] == i + 1 and (self.value, "VALUE", t[i]) < best[2:]):
-                best = (i, i + 1, self.value, "VALUE", t[i])
-            if best:
-                out.append((best[0], best[1], best[3], best[4]))
-            i = best[1] if best else i + 1
-        return out
-
-
-@functools.lru_cache(1 << 16)
-def _is_number(token: str) -> bool:
-    """Tokens are runs of one kind, so the first character tells."""
-    return unicodedata.category(token[0])[0] == "N"
-
-
-def matched(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", most_terms: int = MOST_TERMS) -> DataFrame:
+def matched(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", part_terms: int = automaton.PART_TERMS, sent_bytes: int = automaton.SENT_BYTES) -> DataFrame:
     """(sid, tokens, spans) of every sentence; spans: array<struct<st, en, entity, term>>."""
-    toks = sentences.select(F.col(id_col).alias("sid"), tokens(F.col(text_col)).alias("tokens"))
-    terms = compiled(lexicon).where("n > 0")
-    n = terms.count()
-    if n > most_terms:
-        spans = resolved(candidates(sentences, lexicon, id_col, text_col))
-        return toks.join(spans, "sid", "left").select("sid", "tokens", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
-    rows = terms.select("toks", _priority(F.col("entity")).cast("int"), "entity", "term").collect()  # n rows
-    sent = sentences.sparkSession.sparkContext.broadcast(Matcher([(tuple(r[0]), *r[1:]) for r in rows]))
+    none = F.expr("cast(array() as array<string>)")
+    toks = sentences.select(F.col(id_col).alias("sid"), F.coalesce(tokens(F.col(text_col)), none).alias("tokens"))
+    terms = compiled(lexicon).where("n > 0").select("toks", _priority(F.col("entity")).cast("int").alias("prio"), "entity", "term")
+    given = automaton.built(terms, part_terms, sent_bytes)
 
     def run(batches):
         for b in batches:
-            found = [sent.value.spans(t) for t in b.column(1).to_pylist()]
-            ends, flat = [0], [x for f in found for x in f]
-            for f in found:
-                ends.append(ends[-1] + len(f))
-            columns = zip(*flat) if flat else ((),) * 4
-            parts = [pa.array(c, k) for c, k in zip(columns, (pa.int32(), pa.int32(), pa.string(), pa.string()))]
-            spans = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(parts, ["st", "en", "entity", "term"]))
-            yield pa.RecordBatch.from_arrays([*b.columns, spans], names=["sid", "tokens", "spans"])
+            yield pa.RecordBatch.from_arrays([*b.columns, automaton.spans(b.column(1), given())], names=["sid", "tokens", "spans"])
+
+    return toks.mapInArrow(run, T.StructType([*toks.schema.fields, T.StructField("spans", T._parse_datatype_string(_SPANS))]))
 
-    return toks.withColumn("tokens", F.coalesce("tokens", F.expr("cast(array() as array<string>)"))).mapInArrow(run, T.StructType([*toks.schema.fields, T.StructField("spans", T._parse_datatype_string(_SPANS))]))
+
+def joined(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence") -> DataFrame:
+    """What matched() gives, in joins on the first one to three tokens; for tables that no Python worker may touch. Sentences are shuffled by id, so ids must be distinct."""
+    toks = sentences.select(F.col(id_col).alias("sid"), tokens(F.col(text_col)).alias("tokens"))
+    spans = resolved(candidates(sentences, lexicon, id_col, text_col))
+    return toks.join(spans, "sid", "left").select("sid", "tokens", F.coalesce("spans", F.expr(f"cast(array() as {_SPANS})")).alias("spans"))
 
 
-def mentions(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", most_terms: int = MOST_TERMS) -> DataFrame:
+def mentions(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", **sizes) -> DataFrame:
     """(sid, st, en, entity, term)."""
-    return matched(sentences, lexicon, id_col, text_col, most_terms).select("sid", F.inline("spans"))
+    return matched(sentences, lexicon, id_col, text_col, **sizes).select("sid", F.inline("spans"))
 
 
-def bio(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", most_terms: int = MOST_TERMS) -> DataFrame:
+def bio(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", **sizes) -> DataFrame:
     """(sid, tokens, labels): B- on a mention's first token, I- on its others, O elsewhere."""
     outside = lambda a, upto: F.array_repeat(F.lit("O"), upto - F.size(a))
     add = lambda a, s: F.concat(a, outside(a, s["st"]), F.array(F.concat(F.lit("B-"), s["entity"])), F.array_repeat(F.concat(F.lit("I-"), s["entity"]), s["en"] - s["st"] - 1))
     made = F.aggregate("spans", F.expr("cast(array() as array<string>)"), add)
-    rows = matched(sentences, lexicon, id_col, text_col, most_terms).withColumn("labels", made)
+    rows = matched(sentences, lexicon, id_col, text_col, **sizes).withColumn("labels", made)
     return rows.select("sid", "tokens", F.concat("labels", outside(F.col("labels"), F.size("tokens"))).alias("labels"))
 
 

@@ -1,5 +1,11 @@
+import random
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
 from metrolex import data, tables
-from metrolex.operators import lookup, mentions
+from metrolex.operators import automaton, lookup, mentions
+from metrolex.sources import vocabulary
 
 
 def _sentences(spark, *texts):
@@ -46,14 +52,51 @@ def test_matching_is_not_a_nested_loop(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_large_vocabularies_are_joined_alike(spark):
-    """Terms of up to 21 tokens; the way beyond the size bound gives the same spans."""
-    import random
-
+def test_large_vocabularies_are_joined_alike(spark, tmp_path):
+    """Terms of up to 21 tokens from a file, a third of them behind one first token: in one part, in parts that are sent, in parts that tasks read from the folder, and in joins."""
     r = random.Random(3)
     words = [f"w{chr(97 + i)}" for i in range(20)]
-    terms = sorted({" ".join(r.choice(words) for _ in range(r.randint(1, 21))) for _ in range(3000)})
-    lexicon = tables.table(spark, [("polymer" if i % 2 else "unit", i, t, "s") for i, t in enumerate(terms)], "entity_type string, ord int, term string, section string")
-    s = _sentences(spark, *(" ".join(r.choice([r.choice(terms), r.choice(words), "12", "="]) for _ in range(12)) for _ in range(60)))
-    got, joined = (sorted(map(tuple, mentions.mentions(s, lexicon, most_terms=n).collect())) for n in (100_000, 0))
-    assert got == joined and any(en - st > 15 for _, st, en, *_ in got)
+    terms = sorted({" ".join((["wa"] if r.random() < 0.3 else []) + [r.choice(words) for _ in range(r.randint(1, 20))]) for _ in range(3000)}) + ["5", "=", "wa / wb", "wa/wb", "é", "12 wa"]
+    with open(tmp_path / "lexicon.tsv", "w") as f:
+        f.write("entity_type\tord\tterm\tsection\n" + "".join(f"{r.choice(['polymer', 'unit', 'material', 'symbol'])}\t{i}\t{t}\ts\n" for i, t in enumerate(terms)) + "material\t9\twa / wb\ts\n")
+    lexicon = vocabulary.read_lexicon(spark, str(tmp_path / "lexicon.tsv"))
+    texts = [" ".join(r.choice([r.choice(terms), r.choice(words), "12", "="]) for _ in range(12)) for _ in range(60)]
+    s = _sentences(spark, *texts, "", " ", "5", "= é 5", None, *texts[:2])
+    want = sorted(map(tuple, mentions.joined(s, lexicon).select("sid", F.inline("spans")).collect()))
+    for sizes in ({}, {"part_terms": 150}, {"part_terms": 150, "sent_bytes": 0}, {"part_terms": 40, "sent_bytes": 0}):
+        assert sorted(map(tuple, mentions.mentions(s, lexicon, **sizes).collect())) == want, sizes
+    assert any(en - st > 15 for _, st, en, *_ in want)
+    b = {x["sid"]: x for x in mentions.bio(s, lexicon, part_terms=150, sent_bytes=0).collect()}
+    assert list(b[60]["tokens"]) == [] and list(b[62]["labels"]) in (["B-VALUE"], ["B-SYMBOL"], ["B-POLYMER"], ["B-MATERIAL"])
+    assert mentions.mentions(s, lexicon.limit(0)).where("entity != 'VALUE'").count() == 0 and mentions.mentions(s.limit(0), lexicon).count() == 0
+
+
+def test_no_shuffle_of_sentences(spark):
+    s = _sentences(spark, "PE").repartition(3)
+    plan = mentions.mentions(s, tables.lexicon(spark), sent_bytes=0)._jdf.queryExecution().executedPlan().toString()
+    assert "sid" not in "".join(x for x in plan.split("\n") if "Exchange hash" in x)
+
+
+def test_automaton_by_brute_force():
+    """Random automata and batches against every sentence's own search, text by text."""
+    r = random.Random(11)
+    for _ in range(60):
+        vocab = {(tuple(r.choice("abc5=é") for _ in range(r.randint(1, 4))), r.choice(["UNIT", "POLYMER", "MATERIAL"])) for _ in range(r.randrange(12))}
+        rows = [(list(t), data.TYPE_PRIORITY.index(e) + 1, e, " ".join(t)) for t, e in sorted(vocab)]
+        cut = r.randrange(len(rows) + 1)
+        parts = [automaton.Part.of(*map(list, zip(*x))) if x else automaton.Part.of([], [], [], []) for x in (rows[:cut], rows[cut:])]
+        batch = [[r.choice("abc5=é") for _ in range(r.randrange(9))] for _ in range(7)]
+        got = automaton.spans(pa.array(batch, pa.list_(pa.string())).slice(2), automaton.Automaton([], parts)).to_pylist()
+        for t, found in zip(batch[2:], got):
+            want, i = [], 0
+            num = lambda j: 0 <= j < len(t) and t[j] == "5"
+            while i < len(t):
+                at = [(-len(x), p, e, s) for x, p, e, s in rows if t[i : i + len(x)] == x and (num(i - 1) if e == "UNIT" else len(s) != 1 or num(i - 1) or num(i + 1) or "=" in (t[i - 1] if i else "", t[i + 1] if i + 1 < len(t) else ""))]
+                at += [(-1, automaton.VALUE, "VALUE", "5")] if num(i) else []
+                if at:
+                    n, _, e, s = min(at)
+                    want.append({"st": i, "en": i - n, "entity": e, "term": s})
+                    i -= n
+                else:
+                    i += 1
+            assert found == want
