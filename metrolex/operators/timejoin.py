@@ -4,16 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Pieces of time that one key's rows are split into.
 PIECES = 64
 
 
+def _micros(df: DataFrame, time: str) -> Column:
+    """Microseconds since 1970; local times count as if in UTC, so clocks never go back."""
+    if isinstance(df.schema[time].dataType, T.TimestampNTZType):
+        return F.timestamp_diff("MICROSECOND", F.expr("timestamp_ntz'1970-01-01 00:00:00'"), F.col(time))
+    return F.unix_micros(F.col(time).cast("timestamp"))
+
+
 def _pieces(df: DataFrame, time: str, pieces: int) -> Column:
     """The piece of time that a row falls into; pieces have about equally many of df's rows."""
     if pieces < 2:
         return F.lit(0)
-    seconds = F.col(time).cast("double")
+    seconds = _micros(df, time).cast("double")
     cuts = sorted(set(df.select(seconds.alias("s")).approxQuantile("s", [i / pieces for i in range(1, pieces)], 0.25 / pieces)))  # at most so many numbers
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= seconds)) if cuts else F.lit(0)
 
@@ -52,9 +60,9 @@ def interval_join(left: DataFrame, right: DataFrame, left_key: str, right_key: s
     """
     if how not in ("inner", "left"):
         raise ValueError(f"how is inner or left, not {how}")
-    bin_of = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(width * 1_000_000))
+    bin_of = lambda df, c: F.floor(_micros(df, c) / F.lit(width * 1_000_000))
     good = right.where((F.col(begin) < F.col(end)) & F.col(right_key).isNotNull())
-    dealt = good.withColumn("__bin", F.explode(F.sequence(bin_of(begin), bin_of(end)))).withColumnRenamed(right_key, "__k")
-    rows = left.withColumn("__lbin", bin_of(left_time))
+    dealt = good.withColumn("__bin", F.explode(F.sequence(bin_of(good, begin), bin_of(good, end)))).withColumnRenamed(right_key, "__k")
+    rows = left.withColumn("__lbin", bin_of(left, left_time))
     same = (F.col(left_key) == F.col("__k")) & (F.col("__lbin") == F.col("__bin")) & (F.col(left_time) >= F.col(begin)) & (F.col(left_time) < F.col(end))
     return rows.join(dealt, same, how).withColumn(right_key, F.col("__k")).drop("__bin", "__lbin", "__k")

@@ -73,6 +73,8 @@ _log = r"""base as (select event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') as at
   lines as (select *, null as log_id, false as synced, 1 as write_ from base union all
     select *, sha256(concat_ws('|', at_, file_name, line_number, message)), event_id % 3 <> 0, 2 from base where event_id % 7 <> 0),
   last_ as (select * from lines qualify row_number() over (partition by event_id order by write_ desc) = 1)"""
+_timed = """e as (select event_id, case when event_id % 2 = 0 then 0 else user_id end as user, ts from events),
+  o as (select case when o_orderkey % 2 = 0 then 0 else o_custkey % 150 end as buyer, timestamp '2024-01-01' + to_days((date_diff('day', date '1995-01-01', o_orderdate::date) % 30)::int) + to_hours(o_orderkey % 24) as ordered, o_orderkey from orders)"""
 _pt = rows("pt", "property, symbol, unit, source, data_range, hp, cp, all_, category", data.PROPERTY_TABLE)
 _prod = r"^\(?(-?[0-9.]+(?:[eE][+-]?[0-9]+)?)(?:\(([0-9]+)\))?(?: ?± ?(-?[0-9.]+(?:[eE][+-]?[0-9]+)?))?\)?(?:\*10\^([+-]?[0-9]+))?$"
 _picks = [("polymer", "pol", "o_custkey"), ("polymer1", "pol", "o_custkey + 1"), ("polymer2", "pol", "o_custkey + 2"), ("property", "prop", "o_orderkey"), ("property1", "prop", "o_orderkey + 1"), ("property2", "prop", "o_orderkey + 2"), ("unit", "uni", "o_custkey"), ("unit1", "uni", "o_custkey + 1"), ("unit2", "uni", "o_custkey + 2"), ("material", "mat", "o_orderkey")]
@@ -114,6 +116,10 @@ ORACLE = {
     "bio_labels": f"with {_bio} select sid, string_agg(tok, ' ' order by p) as tokens, string_agg(label, ' ' order by p) as labels from cells group by sid",
     "bio_decode": f"with {_mentions} select sid, st::int as st, en::int as en, entity from ment",
     "label_id_counts": f"with {_bio}, {rows('lab', 'id, label', list(enumerate(data.LABELS)))} select id, lab.label, count(cells.label) as n from lab left join cells on cells.label = lab.label group by all",
+    "packed_windows": f"with {_bio} select label, count(*) as n from cells group by label union all select '(whole and full)', 1",
+    "events_asof_orders": f'with {_timed}, last_ as (select buyer, ordered, max(o_orderkey) as o_orderkey from o group by all) select event_id, e.user as "user", o_orderkey, ordered from e asof left join last_ on e.user = last_.buyer and e.ts >= last_.ordered',
+    "events_in_orders": f'with {_timed} select e.user as "user", count(*) as n, sum(event_id)::bigint as events, sum(o_orderkey)::bigint as orders from e join o on e.user = o.buyer and ts >= ordered and ts < ordered + interval 20 minutes group by e.user',
+    "distinct_sketches": "select event_type, count(*) as n, count(distinct user_id) as n_users, true as near, true as united_near from events group by event_type",
     "label_ids": f"with {rows('lab', 'id, label', list(enumerate(data.LABELS)))} select id, label, id as back from lab",
     "property_ranges": f"with {_pt}, r as (select *, translate(data_range, '−–', '--') as r from pt) select property, symbol, {_lo} as lo, {_hi} as hi, {_lo} = {_hi} as degenerate, all_ = hp + coalesce(cp, 0) as adds_up from r",
     "property_rollup": f"with {_pt} select category, source, sum(hp)::bigint as hp, coalesce(sum(cp), 0)::bigint as cp, sum(all_)::bigint as total, count(*) as n from pt group by rollup (category, source)",

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from .. import data, tables
 from ..functions import text, units, values
-from ..operators import lookup, mentions
+from ..operators import lookup, mentions, packing, sketches, timejoin
 from ..sources import exports, logs
-from ..storage import fresh_path
+from ..storage import fresh_path, stored
 from ..streaming import logs as stream
 from . import corpus
 
@@ -108,6 +108,50 @@ def label_id_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.groupBy("label").agg(F.count("*").alias("n")).join(tables.labels(spark), "label", "right").select("id", "label", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def packed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled sentences packed into windows of 128 tokens: tokens of each label, and a row that says 1 if windows are whole, within size and over 95 % full."""
+    p = packing.packed(mentions.bio(corpus.sentences(spark, sf_dir), tables.lexicon(spark)), 128)
+    whole = (F.size("tokens") == F.size("labels")) & (F.size("tokens") == F.size("segments")) & (F.col("n_tokens") <= 128) & (F.array_max("segments") == F.size("sids"))
+    p = stored(p.select("labels", "n_tokens", whole.alias("whole")))
+    good = p.agg((F.bool_and("whole") & (F.sum("n_tokens") > 0.95 * 128 * F.count("*"))).cast("long").alias("n"))
+    return p.select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n")).unionByName(good.select(F.lit("(whole and full)").alias("label"), "n"))
+
+
+def _timed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Events, and orders moved to their month; one user has half of either."""
+    e, o = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("events", "orders"))
+    events = e.select("event_id", F.when(F.col("event_id") % 2 == 0, 0).otherwise(F.col("user_id")).alias("user"), "ts")
+    days = F.pmod(F.datediff("o_orderdate", F.lit("1995-01-01")), F.lit(30))
+    at = F.expr("timestamp_ntz'2024-01-01 00:00:00'") + F.make_dt_interval(days, F.pmod("o_orderkey", F.lit(24)).cast("int"))
+    return events, o.select(F.when(F.col("o_orderkey") % 2 == 0, 0).otherwise(F.pmod("o_custkey", F.lit(150))).alias("buyer"), at.alias("ordered"), "o_orderkey", (at + F.make_dt_interval(mins=F.lit(20))).alias("until"))
+
+
+def events_asof_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each event with its user's last order before it."""
+    events, orders = _timed(spark, sf_dir)
+    return timejoin.asof_join(events, orders.drop("until"), "user", "buyer", "ts", "ordered").select("event_id", "user", "o_orderkey", "ordered")
+
+
+def events_in_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events within twenty minutes after an order of their user, by user."""
+    events, orders = _timed(spark, sf_dir)
+    found = timejoin.interval_join(events, orders, "user", "buyer", "ts", "ordered", "until", 1200)
+    return found.groupBy("user").agg(F.count("*").alias("n"), F.sum("event_id").alias("events"), F.sum("o_orderkey").alias("orders"))
+
+
+def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users by event type from sketches of each day: whether they are within 3 % of the exact number, and two halves of the days within 3 % of all at once."""
+    e = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("day", F.to_date("ts"))
+    days = stored(sketches.sketched(e, "user_id", ["event_type", "day"]))
+    half = F.dayofmonth("day") <= 15
+    one = sketches.estimated(sketches.united(days, ["event_type"]))
+    two = sketches.estimated(sketches.added(sketches.united(days.where(half), ["event_type"]), sketches.united(days.where(~half), ["event_type"]), ["event_type"]), "n_later")
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("n_users"))
+    near = lambda c: F.abs(F.col(c) / F.col("n_users") - 1) < 0.03
+    both = exact.join(one.select("event_type", "n", "n_distinct"), "event_type").join(two.select("event_type", "n_later"), "event_type")
+    return both.select("event_type", "n", "n_users", near("n_distinct").alias("near"), near("n_later").alias("united_near"))
+
+
 def label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     both = lookup.inverted(tables.labels(spark), "id", "label")
     return both.select(F.explode("mapping").alias("id", "label"), "inverse").select("id", "label", F.element_at("inverse", F.col("label")).alias("back"))
@@ -303,6 +347,6 @@ def env_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     corpus_measurements, template_slots, template_signatures, template_family_counts, complex_render, negatives_render, negatives_excluded, value_parse, canonical_polymers, canonical_properties,
-    lexicon_dups, lexicon_sizes, lexicon_overlap, lexicon_mentions, mention_counts, bio_labels, bio_decode, label_id_counts, label_ids, property_ranges, property_rollup, property_symbols, range_check, unit_check,
+    lexicon_dups, lexicon_sizes, lexicon_overlap, lexicon_mentions, mention_counts, bio_labels, bio_decode, label_id_counts, packed_windows, events_asof_orders, events_in_orders, distinct_sketches, label_ids, property_ranges, property_rollup, property_symbols, range_check, unit_check,
     unit_normalise, unit_dimensions, ocr_repair, scanned_decode, greek_letters, negation_flag, section_classify, content_markers, log_route, log_latest, log_last, log_required, log_roundtrip, log_unsent, log_inserted, log_context, export_json_roundtrip, export_read_back, export_formats, env_missing,
 )}
