@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 
 from .. import data, tables
 from ..functions.text import render
+from ..sources.vocabulary import read_vocabulary, write_lexicon, write_templates
+from ..storage import fresh_path
+
+
+#: Bytes of a file's split, from which on a core has one of its own.
+_SPLIT = 16 << 20
 
 
 def picked(df: DataFrame, small: DataFrame, key: Column, size: int) -> DataFrame:
@@ -20,23 +26,29 @@ def picked(df: DataFrame, small: DataFrame, key: Column, size: int) -> DataFrame
 
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores where its files have fewer splits than there are cores (small files of one row group); larger inputs are not shuffled."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # of the files, as Catalyst knows it
+    return df.repartition(cores) if size < cores * _SPLIT else df
 
 
 def term(df: DataFrame, kind: str, column: str, key: Column) -> DataFrame:
     return picked(df, tables.terms(df.sparkSession, kind, column), key, len(data.distinct_terms(kind)))
 
 
-def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(sid, tpl_id, family, polymer, property, symbol, unit, value, sentence), one for each line item; line items alike in all keys make one sentence with one sid."""
+def sentences(spark: SparkSession, sf_dir: str, vocabulary: tables.Vocabulary | None = None) -> DataFrame:
+    """(sid, tpl_id, family, polymer, property, symbol, unit, value, sentence), one for each line item; line items alike in all keys make one sentence with one sid.
+
+    vocabulary: the terms and templates to render with. A type without terms leaves its slots as they are.
+    """
+    words = vocabulary or tables.Vocabulary.default(spark)
     k, i = F.col("l_orderkey"), F.col("l_linenumber")
     df = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).withColumn("value", F.col("l_quantity").cast("long").cast("string"))
-    df = picked(df, tables.templates(spark).withColumn("n", F.col("tpl_id")), k, len(data.templates()))
-    df = term(df, "polymer", "polymer", F.col("l_partkey"))
-    df = term(df, "property", "property", k + i)
-    df = term(df, "symbol", "symbol", F.col("l_suppkey"))
-    df = term(df, "unit", "unit", F.col("l_suppkey") + i)
+    templates, n = words.sentences()
+    df = picked(df, templates, k, n)
+    for kind, key in (("polymer", F.col("l_partkey")), ("property", k + i), ("symbol", F.col("l_suppkey")), ("unit", F.col("l_suppkey") + i)):
+        rows, n = words.terms(kind, kind)
+        df = picked(df, rows, key, n) if n else df.withColumn(kind, F.lit("{" + kind + "}"))
     fills = {s: F.col(s) for s in ("polymer", "property", "symbol", "unit", "value")}
     sid = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value")))
     return df.select(sid.alias("sid"), "tpl_id", "family", *fills, render(F.col("text"), fills).alias("sentence"))
@@ -84,5 +96,19 @@ def negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("o_orderkey", "kind", render(F.col("text"), fills).alias("sentence"), distractor.alias("distractor"))
 
 
+#: Templates of a user's own, as own_vocabulary() writes them to a file.
+OWN_TEMPLATES = [(11, "pair", "{polymer} beside {polymer}: {symbol} = {value} {unit}"), (25, "plain", "Of {polymer}, {property} is {value}{unit}."), (7, "plain", "{value} {unit} for {polymer}"), (40, "none", "nothing to tell")]
+
+
+def own_vocabulary(spark: SparkSession, sf_dir: str) -> tables.Vocabulary:
+    """A vocabulary from files, as a user brings it: parts are the polymers, so it grows with the tables."""
+    lexicon, templates = fresh_path(spark, "lexicon"), fresh_path(spark, "templates")
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    names = part.select(F.lit("polymer").alias("entity_type"), F.col("p_partkey").cast("int").alias("ord"), F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("term"), F.col("p_brand").alias("section"))
+    write_lexicon(names.unionByName(tables.lexicon(spark).where("entity_type != 'polymer'")), lexicon)
+    write_templates(tables.table(spark, OWN_TEMPLATES, "tpl_id int, family string, text string"), templates)
+    return read_vocabulary(spark, lexicon, templates)
+
+
 #: Units that no temperature has; a choice of ours.
 WRONG_UNITS = ["MPa", "g/mol", "eV", "bar", "%"]

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import data
-from .corpus import WRONG_UNITS
+from .corpus import OWN_TEMPLATES, WRONG_UNITS
 
 
 def rows(name: str, columns: str, items: list[tuple]) -> str:
@@ -28,8 +28,7 @@ _corpus = f"""{_tpl}, {_kinds}, corpus as (
 _patterns = " union all ".join(f"select polymer, '{name}' as pattern, unnest(regexp_extract_all(sentence, '{p}', 1)) as number, unnest(regexp_extract_all(sentence, '{p}', 2)) as found_unit from corpus" for name, p in data.MEASUREMENT_PATTERNS)
 _token = r"[0-9]+|\p{N}+|\p{L}+|[^\s]"
 _prio = "case entity " + " ".join(f"when '{k}' then {i + 1}" for i, k in enumerate(data.TYPE_PRIORITY)) + " end"
-_mentions = f"""{_corpus}, {_lex},
-  toks as (select sid, regexp_extract_all(sentence, '\\p{{N}}+|\\p{{L}}+|[^\\s]') as t from corpus),
+_matching = f"""toks as (select sid, regexp_extract_all(sentence, '\\p{{N}}+|\\p{{L}}+|[^\\s]') as t from corpus),
   terms as (select distinct upper(entity_type) as entity, term, regexp_extract_all(term, '\\p{{N}}+|\\p{{L}}+|[^\\s]') as w from lex where term <> ''),
   pos_ as (select sid, t, unnest(range(1, len(t) + 1)) as p from toks),
   hit as (select sid, t, p, entity, term, len(w) as n from pos_ join terms on t[p] = w[1] where t[p : p + len(w) - 1] = w),
@@ -40,7 +39,15 @@ _mentions = f"""{_corpus}, {_lex},
   lists as (select sid, list([struct_pack(st := st, en := en, entity := entity, term := term)] order by st) as l from best group by sid),
   kept as (select sid, unnest(list_reduce(l, lambda a, x: case when x[1].st >= a[-1].en then list_concat(a, x) else a end)) as m from lists),
   ment as (select sid, m.st as st, m.en as en, m.entity as entity, m.term as term from kept)"""
+_mentions = f"{_corpus}, {_lex}, {_matching}"
 _bio = f"""{_mentions}, cells as (select a.sid, a.p, a.t[a.p] as tok, coalesce(case when m.st = a.p - 1 then 'B-' else 'I-' end || m.entity, 'O') as label from pos_ a left join ment m on m.sid = a.sid and a.p - 1 >= m.st and a.p - 1 < m.en)"""
+_own = f"""{rows("tpl", "tpl_id, family, text", OWN_TEMPLATES)}, {listed("prop", data.distinct_terms("property"))}, {listed("sym", data.distinct_terms("symbol"))}, {listed("uni", data.distinct_terms("unit"))}, {rows("lex0", "entity_type, ord, term, section", data.lexicon())},
+  pol as (select row_number() over (order by p_partkey) - 1 as n, p_name || ' ' || p_partkey as v from part),
+  lex as (select * from lex0 where entity_type <> 'polymer' union all select 'polymer', p_partkey::int, p_name || ' ' || p_partkey, p_brand from part),
+  corpus as (select concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::bigint) as sid, tpl_id, family, pol.v as polymer,
+    replace(replace(replace(replace(replace(text, '{{polymer}}', pol.v), '{{property}}', prop.v), '{{symbol}}', sym.v), '{{unit}}', uni.v), '{{value}}', l_quantity::bigint::varchar) as sentence
+  from lineitem join (select *, row_number() over (order by tpl_id) - 1 as n from tpl) t on t.n = l_orderkey % {len(OWN_TEMPLATES)} join pol on pol.n = l_partkey % (select count(*) from part) join prop on prop.n = (l_orderkey + l_linenumber) % {_n["property"]}
+    join sym on sym.n = l_suppkey % {_n["symbol"]} join uni on uni.n = (l_suppkey + l_linenumber) % {_n["unit"]}), {_matching}"""
 _plain_unit = lambda u: f"case {' '.join(f"when {u} = '{a}' then '{b}'" for a, b in data.OCR_CODES)} else {u} end"
 
 
@@ -112,6 +119,7 @@ ORACLE = {
     "lexicon_sizes": f"with {_lex} select entity_type, count(*) as n, count(distinct term) as n_distinct from lex group by all",
     "lexicon_overlap": f"with {_lex}, d as (select distinct entity_type as k, term from lex where term <> '') select a.k || '&' || b.k as pair, term from d a join d b using (term) where (a.k, b.k) in (('property', 'symbol'), ('property', 'unit'), ('unit', 'symbol'), ('polymer', 'material'))",
     "lexicon_mentions": f"with {_mentions} select sid, st::int as st, en::int as en, entity, term from ment",
+    "own_vocabulary": f"with {_own} select family, entity, count(*) as n, count(distinct term) as n_terms from ment join corpus using (sid) group by all",
     "mention_counts": f"with {_mentions}, {rows('m', 'o, k, v', [(i, k, v) for i, (k, v) in enumerate(data.CANONICAL_POLYMERS + data.CANONICAL_PROPERTIES)])}, last_ as (select k, arg_max(v, o) as v from m group by k) select entity, coalesce(v, term) as canonical, count(*) as n from ment left join last_ on k = term group by all",
     "bio_labels": f"with {_bio} select sid, string_agg(tok, ' ' order by p) as tokens, string_agg(label, ' ' order by p) as labels from cells group by sid",
     "bio_decode": f"with {_mentions} select sid, st::int as st, en::int as en, entity from ment",

@@ -93,6 +93,14 @@ def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.groupBy("entity", "canonical").agg(F.count("*").alias("n"))
 
 
+def own_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions in a corpus rendered and matched with a vocabulary from files."""
+    words = corpus.own_vocabulary(spark, sf_dir)
+    s = stored(corpus.sentences(spark, sf_dir, words).select("sid", "family", "sentence"))
+    found = mentions.matched(s, words.lexicon).select("sid", F.inline("spans"))
+    return found.join(s, "sid").groupBy("family", "entity").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_terms"))
+
+
 def bio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = mentions.bio(corpus.sentences(spark, sf_dir), tables.lexicon(spark))
     return b.select("sid", F.array_join("tokens", " ").alias("tokens"), F.array_join("labels", " ").alias("labels"))
@@ -347,6 +355,6 @@ def env_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     corpus_measurements, template_slots, template_signatures, template_family_counts, complex_render, negatives_render, negatives_excluded, value_parse, canonical_polymers, canonical_properties,
-    lexicon_dups, lexicon_sizes, lexicon_overlap, lexicon_mentions, mention_counts, bio_labels, bio_decode, label_id_counts, packed_windows, events_asof_orders, events_in_orders, distinct_sketches, label_ids, property_ranges, property_rollup, property_symbols, range_check, unit_check,
+    lexicon_dups, lexicon_sizes, lexicon_overlap, lexicon_mentions, mention_counts, own_vocabulary, bio_labels, bio_decode, label_id_counts, packed_windows, events_asof_orders, events_in_orders, distinct_sketches, label_ids, property_ranges, property_rollup, property_symbols, range_check, unit_check,
     unit_normalise, unit_dimensions, ocr_repair, scanned_decode, greek_letters, negation_flag, section_classify, content_markers, log_route, log_latest, log_last, log_required, log_roundtrip, log_unsent, log_inserted, log_context, export_json_roundtrip, export_read_back, export_formats, env_missing,
 )}

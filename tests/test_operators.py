@@ -1,10 +1,12 @@
 import random
 
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from metrolex import data, tables
 from metrolex.operators import automaton, lookup, mentions
+from metrolex.plans import corpus
 from metrolex.sources import vocabulary
 
 
@@ -100,3 +102,20 @@ def test_automaton_by_brute_force():
                 else:
                     i += 1
             assert found == want
+
+
+def test_own_vocabulary_is_numbered_and_rendered(spark, tmp_path):
+    rows = [("polymer", 3, "b", "s"), ("polymer", 1, "c \\ \"x\"", "s"), ("polymer", 2, "b", "t"), ("polymer", 9, "", "s"), ("unit", 0, "K", "s"), ("property", 5, "é", None)]
+    vocabulary.write_lexicon(spark.createDataFrame(rows, "entity_type string, ord int, term string, section string").repartition(3), str(tmp_path / "l"))
+    vocabulary.write_templates(spark.createDataFrame([(5, "f", "{polymer}/{symbol} {unit}"), (2, "g", "{value}")], "tpl_id int, family string, text string"), str(tmp_path / "t"))
+    own = vocabulary.read_vocabulary(spark, str(tmp_path / "l"), str(tmp_path / "t"))
+    assert sorted(map(tuple, own.lexicon.collect()), key=str) == sorted(((k, o, t or None, s) for k, o, t, s in rows), key=str)  # no term is as good as an empty one
+    terms, n = own.terms("polymer", "p")
+    assert n == 2 and sorted(map(tuple, terms.collect())) == [(0, rows[1][2]), (1, "b")]
+    assert own.terms("symbol", "s")[1] == 0 and sorted((r["n"], r["tpl_id"]) for r in own.sentences()[0].collect()) == [(0, 2), (1, 5)]
+    s = corpus.sentences(spark, "/root/testdata/sf0.001", own)
+    assert {r["sentence"] for r in s.where("tpl_id = 5").select("sentence").distinct().collect()} == {"b/{symbol} K", rows[1][2] + "/{symbol} K"}
+    many, n = tables.ranked_rows(spark.range(1000).select(F.xxhash64("id").alias("h")), "h")
+    assert n == 1000 and [r["n"] for r in many.orderBy("h").collect()] == list(range(1000))
+    with pytest.raises(Exception, match="tab"):
+        vocabulary.write_templates(spark.createDataFrame([(1, "f", "a\tb")], "tpl_id int, family string, text string"), str(tmp_path / "bad"))
