@@ -51,3 +51,19 @@ def interval(data_range: Column) -> tuple[Column, Column]:
     """Bounds of `[lo, hi]`, whatever dash the signs are."""
     plain = F.translate(data_range, "−–", "--")
     return F.regexp_extract(plain, r"\[([^,]+),", 1).cast("double"), F.regexp_extract(plain, r", ?([^\]]+)\]", 1).cast("double")
+
+
+_PLAIN = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
+_TEN = r"10 ?(?:\^ ?\{?[+-]?[0-9]+\}?|[⁺⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+)"
+_TIMES = rf" ?[×·∙x] ?{_TEN}"
+#: A number as it stands in a sentence, in any form that parsed() takes; the longest form at a place. Not inside a word or a longer number, and no sign that joins it to a word (`PA-66`).
+IN_TEXT = (
+    rf"(?<![\p{{L}}\p{{N}}.])(?<![\p{{L}}\p{{N}}]-)[<>≈~≅±]?"
+    rf"(?:\({_PLAIN} ?± ?{_PLAIN}\)(?:{_TIMES})?|[0-9]+ [.,] [0-9]+|[0-9]+\+[eE][0-9]+|{_TEN}|[0-9]+\^[+-]?[0-9]+|[0-9]+/[0-9]+|{_PLAIN}(?:\([0-9]+\))?(?: ?± ?{_PLAIN})?(?:{_TIMES})?)"
+    rf"(?![\p{{N}}])"
+)
+
+
+def found(text: Column) -> Column:
+    """array<struct<raw, op, mantissa, exponent, error, denominator>> of the numbers in running text, in their order."""
+    return F.transform(F.regexp_extract_all(text, F.lit(IN_TEXT), F.lit(0)), lambda r: F.struct(r.alias("raw"), *(parsed(r)[c].alias(c) for c in ("op", "mantissa", "exponent", "error", "denominator"))))

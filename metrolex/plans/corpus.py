@@ -54,6 +54,16 @@ def sentences(spark: SparkSession, sf_dir: str, vocabulary: tables.Vocabulary |
     return df.select(sid.alias("sid"), "tpl_id", "family", *fills, render(F.col("text"), fills).alias("sentence"))
 
 
+def valued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(l_orderkey, l_linenumber, polymer, told): a sentence for each line item with a number in one of its written forms."""
+    k, i = F.col("l_orderkey"), F.col("l_linenumber")
+    df = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"))
+    df = picked(df, tables.numbered(spark, data.VALUE_FORMS, "form"), k + i, len(data.VALUE_FORMS))
+    df = term(df, "polymer", "polymer", F.col("l_partkey"))
+    df = term(df, "unit", "unit", F.col("l_suppkey"))
+    return df.select("l_orderkey", "l_linenumber", "polymer", F.concat(F.lit("At last "), "polymer", F.lit(" reached "), "form", F.lit(" "), "unit", F.lit(", as told.")).alias("told"))
+
+
 #: Code points as scanned text has them, beside the fixed ones; a choice of ours.
 SCANNED_CODES = ["u+03B1", "U+2126", "u+00B5", "u+2212", "u03C3", "u+00b2"]
 

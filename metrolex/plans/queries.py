@@ -28,17 +28,24 @@ def corpus_measurements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("polymer", "pattern", "found_unit").agg(F.count("*").alias("n"), F.sum(F.col("number").cast("double").cast("long")).alias("total"))
 
 
+def _template_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(tpl_id, family, text, n): templates with the number of sentences made of each."""
+    used = corpus.sentences(spark, sf_dir).groupBy("tpl_id").agg(F.count("*").alias("n"))
+    return tables.templates(spark).join(used, "tpl_id", "left").na.fill(0, ["n"])
+
+
 def template_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables.templates(spark)
-    return t.select("tpl_id", F.array_join(text.slots(F.col("text")), ",").alias("slots"), F.size(text.slots(F.col("text"))).cast("long").alias("n_slots"))
+    slots = text.slots(F.col("text"))
+    return _template_use(spark, sf_dir).select("tpl_id", F.array_join(slots, ",").alias("slots"), F.size(slots).cast("long").alias("n_slots"), "n")
 
 
 def template_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.templates(spark).groupBy(F.array_join(F.array_sort(text.slots(F.col("text"))), ",").alias("signature")).agg(F.count("*").alias("n"))
+    signature = F.array_join(F.array_sort(text.slots(F.col("text"))), ",").alias("signature")
+    return _template_use(spark, sf_dir).groupBy(signature).agg(F.count("*").alias("n"), F.sum("n").alias("n_sentences"))
 
 
 def template_family_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.templates(spark).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct"))
+    return _template_use(spark, sf_dir).groupBy("family").agg(F.count("*").alias("n"), F.countDistinct("text").alias("n_distinct"), F.sum("n").alias("n_sentences"))
 
 
 def complex_render(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,32 +63,53 @@ def negatives_excluded(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def value_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = tables.table(spark, [(v,) for v in data.VALUE_FORMS], "raw string")
-    return raw.withColumn("p", values.parsed(F.col("raw"))).select("raw", "p.*")
+    """Numbers found in sentences, parsed."""
+    found = corpus.valued(spark, sf_dir).select(F.inline(values.found(F.col("told"))))
+    return found.groupBy(*found.columns).agg(F.count("*").alias("n"))
+
+
+def _canonical_use(spark: SparkSession, sf_dir: str, kind: str, pairs: list[tuple[str, str]]) -> DataFrame:
+    """Canonical names of all surfaces, with the number of sentences that have each."""
+    names = tables.terms(spark, kind, "surface").select("surface").union(tables.table(spark, [(k,) for k, _ in pairs], "surface string")).distinct()
+    used = corpus.sentences(spark, sf_dir).groupBy(F.col(kind).alias("surface")).agg(F.count("*").alias("n"))
+    return lookup.canonicalise(names.join(used, "surface", "left").na.fill(0, ["n"]), "surface", pairs)
 
 
 def canonical_polymers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = tables.terms(spark, "polymer", "surface").select("surface").union(tables.table(spark, [(k,) for k, _ in data.CANONICAL_POLYMERS], "surface string")).distinct()
-    return lookup.canonicalise(names, "surface", data.CANONICAL_POLYMERS)
+    return _canonical_use(spark, sf_dir, "polymer", data.CANONICAL_POLYMERS)
 
 
 def canonical_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = tables.terms(spark, "property", "surface").select("surface").union(tables.table(spark, [(k,) for k, _ in data.CANONICAL_PROPERTIES], "surface string")).distinct()
-    return lookup.canonicalise(names, "surface", data.CANONICAL_PROPERTIES)
+    return _canonical_use(spark, sf_dir, "property", data.CANONICAL_PROPERTIES)
+
+
+def _term_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(entity_type, term, n_sentences) of terms that stand in sentences by their type."""
+    kinds = ("polymer", "property", "symbol", "unit")
+    stand = F.array(*(F.struct(F.lit(k).alias("entity_type"), F.col(k).alias("term")) for k in kinds))
+    return corpus.sentences(spark, sf_dir).select(F.inline(stand)).groupBy("entity_type", "term").agg(F.count("*").alias("n_sentences"))
 
 
 def lexicon_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.lexicon(spark).groupBy("entity_type", "term").agg(F.count("*").alias("n")).where("n > 1")
+    """Terms listed more than once, with the sentences that have them."""
+    dups = tables.lexicon(spark).groupBy("entity_type", "term").agg(F.count("*").alias("n")).where("n > 1")
+    return dups.join(_term_use(spark, sf_dir), ["entity_type", "term"], "left").na.fill(0, ["n_sentences"])
 
 
 def lexicon_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.lexicon(spark).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_distinct"))
+    """Terms of each type, listed, distinct and in use."""
+    listed = tables.lexicon(spark).groupBy("entity_type").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_distinct"))
+    used = _term_use(spark, sf_dir).groupBy("entity_type").agg(F.count("*").alias("n_used"), F.sum("n_sentences").alias("n_sentences"))
+    return listed.join(used, "entity_type", "left").na.fill(0, ["n_used", "n_sentences"])
 
 
 def lexicon_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of two types, with the sentences that have them as either."""
     lex = tables.lexicon(spark)
     pairs = [("property", "symbol"), ("property", "unit"), ("unit", "symbol"), ("polymer", "material")]
-    return reduce(DataFrame.unionByName, [lookup.overlap(lex, a, b).select(F.lit(f"{a}&{b}").alias("pair"), "term") for a, b in pairs])
+    both = reduce(DataFrame.unionByName, [lookup.overlap(lex, a, b).select(F.lit(f"{a}&{b}").alias("pair"), F.array(F.lit(a), F.lit(b)).alias("types"), "term") for a, b in pairs])
+    used = both.select("pair", "term", F.explode("types").alias("entity_type")).join(_term_use(spark, sf_dir), ["entity_type", "term"], "left")
+    return used.groupBy("pair", "term").agg(F.coalesce(F.sum("n_sentences"), F.lit(0)).alias("n_sentences"))
 
 
 def lexicon_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -161,24 +189,34 @@ def distinct_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = lookup.inverted(tables.labels(spark), "id", "label")
-    return both.select(F.explode("mapping").alias("id", "label"), "inverse").select("id", "label", F.element_at("inverse", F.col("label")).alias("back"))
+    """Labels of all tokens as ids and back."""
+    both = lookup.inverted(tables.labels(spark), "id", "label").select(F.map_entries("mapping").alias("ids"), "inverse")
+    known = both.select(F.inline("ids").alias("id", "label"), "inverse").select("id", "label", F.element_at("inverse", F.col("label")).alias("back"))
+    tokens = mentions.bio(corpus.sentences(spark, sf_dir), tables.lexicon(spark)).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
+    return known.join(tokens, "label", "left").select("id", "label", "back", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def _property_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The property table with the number of line items measured for each symbol."""
+    used = _measured(spark, sf_dir).groupBy("symbol").agg(F.count("*").alias("n_items"))
+    return tables.property_table(spark).join(used, "symbol", "left").na.fill(0, ["n_items"])
 
 
 def property_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     lo, hi = values.interval(F.col("data_range"))
-    return tables.property_table(spark).select("property", "symbol", lo.alias("lo"), hi.alias("hi"), (lo == hi).alias("degenerate"), (F.col("all_") == F.col("hp") + F.coalesce("cp", F.lit(0))).alias("adds_up"))
+    return _property_use(spark, sf_dir).select("property", "symbol", lo.alias("lo"), hi.alias("hi"), (lo == hi).alias("degenerate"), (F.col("all_") == F.col("hp") + F.coalesce("cp", F.lit(0))).alias("adds_up"), "n_items")
 
 
 def property_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = tables.property_table(spark).rollup("category", "source")
-    return t.agg(F.sum("hp").alias("hp"), F.coalesce(F.sum("cp"), F.lit(0)).alias("cp"), F.sum("all_").alias("total"), F.count("*").alias("n"))
+    t = _property_use(spark, sf_dir).rollup("category", "source")
+    return t.agg(F.sum("hp").alias("hp"), F.coalesce(F.sum("cp"), F.lit(0)).alias("cp"), F.sum("all_").alias("total"), F.count("*").alias("n"), F.sum("n_items").alias("n_items"))
 
 
 def property_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a property's symbol is in the property vocabulary."""
+    """Whether a property's symbol is in the property vocabulary, and how many sentences have it as a property."""
     names = tables.terms(spark, "property", "symbol").select("symbol", F.lit(True).alias("known"))
-    return tables.property_table(spark).join(names, "symbol", "left").select("property", "symbol", F.coalesce("known", F.lit(False)).alias("known"))
+    used = corpus.sentences(spark, sf_dir).groupBy(F.col("property").alias("symbol")).agg(F.count("*").alias("n"))
+    return tables.property_table(spark).join(names, "symbol", "left").join(used, "symbol", "left").select("property", "symbol", F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def _measured(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,13 +243,18 @@ def unit_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("symbol", "unit").agg(F.count("*").alias("n"), F.bool_and(F.col("is_unit").eqNullSafe(F.col("should"))).alias("compatible"))
 
 
+def _unit_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(unit, n): units of line items with how many have each."""
+    return _measured(spark, sf_dir).groupBy("unit").agg(F.count("*").alias("n"))
+
+
 def unit_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = tables.lexicon(spark).where("entity_type = 'unit'").select(F.col("term").alias("unit")).distinct()
-    return units.normalise(u, "unit")
+    return units.normalise(_unit_use(spark, sf_dir), "unit")
 
 
 def unit_dimensions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return units.dimensions(tables.lexicon(spark))
+    """Units of line items in each section that lists them."""
+    return _unit_use(spark, sf_dir).join(units.dimensions(tables.lexicon(spark)), "unit")
 
 
 def ocr_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,8 +268,13 @@ def scanned_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def greek_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Letters with their names, and how many decoded sentences have each letter."""
     rows = [(n, lo, up, n not in data.GREEK_UNNAMED) for n, lo, up in zip(data.GREEK_NAMES, data.GREEK_LOWER, data.GREEK_UPPER)]
-    return tables.table(spark, rows, "name string, lower string, upper string, named boolean")
+    decoded = corpus.scanned(spark, sf_dir).select(text.greek_letters(F.substring_index("scanned", "-form", 1)).alias("d"))
+    letters = decoded.select(F.explode(F.array_distinct(F.split("d", ""))).alias("letter")).groupBy("letter").agg(F.count("*").alias("n"))
+    known = tables.table(spark, rows, "name string, lower string, upper string, named boolean")
+    one = lambda c: letters.select(F.col("letter").alias(c), F.col("n").alias(f"n_{c}"))
+    return known.join(one("lower"), "lower", "left").join(one("upper"), "upper", "left").na.fill(0).select("name", "lower", "upper", "named", "n_lower", "n_upper")
 
 
 def negation_flag(spark: SparkSession, sf_dir: str) -> DataFrame:

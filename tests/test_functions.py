@@ -94,3 +94,16 @@ def test_greek_in_running_text(spark):
     assert {r["t"]: r["d"] for r in df.select("t", text.greek_letters(F.col("t")).alias("d")).collect()} == cases
     back = spark.createDataFrame([("σ_y = 5 µm, Δ",)], "t string").select(text.greek_names(F.col("t")).alias("d")).first()["d"]
     assert back == "sigma_y = 5 mum, Delta"
+
+
+def test_numbers_in_running_text(spark):
+    cases = {
+        "Tg of PA66 and PA-66 is 78.5 °C, not 5.": ["78.5", "5"], "(1.2 ± 0.1) × 10³ MPa or 1.2(1) × 10³": ["(1.2 ± 0.1) × 10³", "1.2(1) × 10³"], "from -40 to <0.001 (±0.05)": ["-40", "<0.001", "±0.05"], "1 . 23 and 1 , 23; 3/4": ["1 . 23", "1 , 23", "3/4"],
+        "10^{-2} 10⁻³ 1^2 1+E20 5·10⁴ 1 x 10 ^ 4": ["10^{-2}", "10⁻³", "1^2", "1+E20", "5·10⁴", "1 x 10 ^ 4"], "v1.2.3 O₂ x10": [], "": [],
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string").withColumn("f", values.found(F.col("t")))
+    got = {r["t"]: r["f"] for r in df.collect()}
+    assert {t: [x["raw"] for x in f] for t, f in got.items()} == cases
+    all_ = spark.createDataFrame([(v,) for v in data.VALUE_FORMS], "raw string").select("raw", values.found(F.concat(F.lit("is "), "raw", F.lit(" MPa, as told"))).alias("f"), values.parsed(F.col("raw")).alias("p")).collect()
+    for r in all_:
+        assert [x["raw"] for x in r["f"]] == [r["raw"]] and all(r["f"][0][c] == r["p"][c] for c in ("op", "mantissa", "exponent", "error", "denominator")), r
