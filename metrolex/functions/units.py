@@ -45,7 +45,7 @@ _MOLE = 6.02214076e23
 #: Units: symbol -> factor to SI and powers of the base dimensions. What takes prefixes and what doesn't.
 _PREFIXED = {
     "m": (1.0, (1,)), "g": (1e-3, (0, 1)), "s": (1.0, (0, 0, 1)), "mol": (1.0, (0, 0, 0, 0, 1)), "A": (1.0, (0, 0, 0, 0, 0, 1)), "Pa": (1.0, (-1, 1, -2)), "J": (1.0, (2, 1, -2)), "N": (1.0, (1, 1, -2)), "W": (1.0, (2, 1, -3)),
-    "V": (1.0, (2, 1, -3, 0, 0, -1)), "S": (1.0, (-2, -1, 3, 0, 0, 2)), "Hz": (1.0, (0, 0, -1)), "L": (1e-3, (3,)), "M": (1e3, (-3, 0, 0, 0, 1)), "Da": (1e-3, (0, 1, 0, 0, -1)), "eV": (1.602176634e-19, (2, 1, -2)), "cal": (4.184, (2, 1, -2)), "bar": (1e5, (-1, 1, -2)),
+    "V": (1.0, (2, 1, -3, 0, 0, -1)), "S": (1.0, (-2, -1, 3, 0, 0, 2)), "Hz": (1.0, (0, 0, -1)), "L": (1e-3, (3,)), "M": (1e3, (-3, 0, 0, 0, 1)), "Da": (1e-3, (0, 1, 0, 0, -1)), "eV": (1.602176634e-19, (2, 1, -2)), "Ω": (1.0, (2, 1, -3, 0, 0, -2)), "cal": (4.184, (2, 1, -2)), "bar": (1e5, (-1, 1, -2)),
 }
 _ALONE = {
     "K": (1.0, (0, 0, 0, 1)), "°C": (1.0, (0, 0, 0, 1)), "°F": (5 / 9, (0, 0, 0, 1)), "C": (1.0, (0, 0, 0, 1)), "min": (60.0, (0, 0, 1)), "h": (3600.0, (0, 0, 1)), "atm": (101325.0, (-1, 1, -2)), "torr": (101325 / 760, (-1, 1, -2)), "psi": (6894.757293168, (-1, 1, -2)),

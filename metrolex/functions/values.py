@@ -56,9 +56,9 @@ def interval(data_range: Column) -> tuple[Column, Column]:
 _PLAIN = r"-?[0-9]+(?:\.[0-9]+)?(?:[eE][+-]?[0-9]+)?"
 _TEN = r"10 ?(?:\^ ?\{?[+-]?[0-9]+\}?|[⁺⁻]?[⁰¹²³⁴⁵⁶⁷⁸⁹]+)"
 _TIMES = rf" ?[×·∙x] ?{_TEN}"
-#: A number as it stands in a sentence, in any form that parsed() takes; the longest form at a place. Not inside a word or a longer number, and no sign that joins it to a word (`PA-66`).
+#: A number as it stands in a sentence, in any form that parsed() takes; the longest form at a place. Not inside a word, a code, a power or a longer number, and no sign that joins it to a word (`PA-66`).
 IN_TEXT = (
-    rf"(?<![\p{{L}}\p{{N}}.])(?<![\p{{L}}\p{{N}}]-)[<>≈~≅±]?"
+    rf"(?<![\p{{L}}\p{{N}}.+^])(?<![\p{{L}}\p{{N}}]-)[<>≈~≅±]?"
     rf"(?:\({_PLAIN} ?± ?{_PLAIN}\)(?:{_TIMES})?|[0-9]+ [.,] [0-9]+|[0-9]+\+[eE][0-9]+|{_TEN}|[0-9]+\^[+-]?[0-9]+|[0-9]+/[0-9]+|{_PLAIN}(?:\([0-9]+\))?(?: ?± ?{_PLAIN})?(?:{_TIMES})?)"
     rf"(?![\p{{N}}])"
 )

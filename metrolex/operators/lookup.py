@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,17 @@ def missing_keys(spark: SparkSession, present: list[str], required: list[str] =
     return numbered(spark, required, "name").join(numbered(spark, present, "name"), "name", "left_anti").select("name")
 
 
+def missing_by(holders: DataFrame, present: DataFrame, by: str, required: list[str] = data.REQUIRED_ENV) -> DataFrame:
+    """(by, name): required keys that a holder lacks among its (by, name) rows."""
+    wanted = holders.select(by).distinct().withColumn("name", F.explode(F.array(*map(F.lit, required))))
+    return wanted.join(present, [by, "name"], "left_anti")
+
+
+def environment(spark: SparkSession, names: list[str] = data.REQUIRED_ENV) -> DataFrame:
+    """(name, present) of this process's environment; values are not read into any table."""
+    return table(spark, [(n, n in os.environ) for n in names], "name string, present boolean")
+
+
 def excluded(df: DataFrame, col: str, terms: list[str]) -> DataFrame:
     """df without rows whose value is one of the terms (authors, non-properties)."""
     return df.join(numbered(df.sparkSession, terms, "__t"), F.col(col) == F.col("__t"), "left_anti")

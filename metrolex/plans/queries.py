@@ -394,11 +394,19 @@ def log_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def export_formats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exports.formats(spark)
+    """Registered formats with the orders that would go out in each, dealt by key."""
+    formats = exports.formats(spark)
+    dealt = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey")
+    named = corpus.picked(dealt, tables.numbered(spark, [f[0] for f in data.EXPORT_FORMATS], "name"), F.col("o_orderkey"), len(data.EXPORT_FORMATS))
+    return formats.join(named.groupBy("name").agg(F.count("*").alias("n_orders")), "name", "left").na.fill(0)
 
 
 def env_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.missing_keys(spark, ["APPWRITE_ENDPOINT", "APPWRITE_API_KEY", "HOME"])
+    """Required keys that customers' environments lack; every customer has set some."""
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey")
+    keys = tables.numbered(spark, data.REQUIRED_ENV, "name")
+    given = customers.select("c_custkey", F.explode(F.sequence(F.lit(0), F.lit(len(data.REQUIRED_ENV) - 1))).alias("n")).where((F.col("c_custkey") + 3 * F.col("n")) % 4 != 0)
+    return lookup.missing_by(customers, given.join(keys, "n").drop("n"), "c_custkey")
 
 
 QUERIES = {f.__name__: f for f in (

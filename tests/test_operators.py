@@ -1,3 +1,4 @@
+import os
 import random
 
 import pyarrow as pa
@@ -46,6 +47,8 @@ def test_inverse_and_missing(spark):
     r = lookup.inverted(tables.labels(spark), "id", "label").first()
     assert all(r["inverse"][v] == k for k, v in r["mapping"].items()) and len(r["mapping"]) == 13
     assert lookup.missing_keys(spark, data.REQUIRED_ENV).count() == 0
+    os.environ["METROLEX_SET"] = "x"
+    assert sorted(map(tuple, lookup.environment(spark, ["METROLEX_SET", "METROLEX_UNSET"]).collect())) == [("METROLEX_SET", True), ("METROLEX_UNSET", False)]
 
 
 def test_matching_is_not_a_nested_loop(spark):

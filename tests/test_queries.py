@@ -14,7 +14,7 @@ DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 @pytest.fixture(scope="module")
 def db():
     c = duckdb.connect()
-    for t in ("lineitem", "orders", "part", "events"):
+    for t in ("lineitem", "orders", "part", "events", "customer"):
         c.sql(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return c
 
