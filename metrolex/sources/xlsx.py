@@ -15,6 +15,7 @@ import datetime as dt
 import decimal
 import math
 import re
+import time
 import uuid
 import zipfile
 from collections.abc import Iterator
@@ -189,6 +190,8 @@ class XlsxWriter(DataSourceArrowWriter):
         if len(schema) > MOST_COLUMNS:
             raise ValueError(f"xlsx has at most {MOST_COLUMNS} columns")
         self.path, self.overwrite, self.names, self.most_rows, self.job = path, overwrite, schema.names, most_rows, uuid.uuid4().hex
+        files, root = self._at()
+        files.create_dir(f"{root}/_temporary/{self.job}")  # by the driver alone: a task that outlives the job finds it gone
 
     def _at(self) -> tuple[fs.FileSystem, str]:
         files, root = fs.FileSystem.from_uri(self.path)
@@ -207,7 +210,6 @@ class XlsxWriter(DataSourceArrowWriter):
 
         files, root = self._at()
         file = f"part-{part:05d}-{uuid.uuid4().hex}.xlsx"
-        files.create_dir(f"{root}/_temporary/{self.job}")
         with files.open_output_stream(f"{root}/_temporary/{self.job}/{file}") as out:
             return Written(file, write_workbook(out, self.names, batches(), self.most_rows))
 
@@ -229,9 +231,16 @@ class XlsxWriter(DataSourceArrowWriter):
     def abort(self, messages: list[Written | None]) -> None:
         files, root = self._at()
         for folder in (f"{root}/_temporary/{self.job}", f"{root}/_temporary"):
-            info = files.get_file_info(folder)
-            if info.type == fs.FileType.Directory and (folder.endswith(self.job) or not files.get_file_info(fs.FileSelector(folder))):
-                files.delete_dir(folder)
+            for left in (3, 2, 1, 0):  # tasks may still be writing
+                try:
+                    info = files.get_file_info(folder)
+                    if info.type == fs.FileType.Directory and (folder.endswith(self.job) or not files.get_file_info(fs.FileSelector(folder))):
+                        files.delete_dir(folder)
+                    break
+                except OSError:
+                    if not left:
+                        raise
+                    time.sleep(0.2)
 
 
 @dataclass
