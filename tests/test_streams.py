@@ -123,3 +123,21 @@ def test_contexts_of_all_kinds_in_one_file(spark, tmp_path):
     assert schema["object"][0] == 4 and schema["object"][1].startswith("OBJECT<extra: DECIMAL") and "k: VARIANT" in schema["object"][1] and schema["none"][0] == 4
     as_text = logs.structured(logs.read(spark, str(tmp_path)))  # read as text, objects are text that holds an object
     assert {r["line_number"]: r["context_kind"] for r in as_text.collect() if r["context_kind"] == "object"} == {0: "object", 1: "object", 14: "object", 15: "object"}
+
+
+def test_last_write_with_late_and_unordered_lines(spark, tmp_path):
+    """Each event is told once, when the watermark passes its hour: with its second line if that came in time, in whatever order; what comes later changes nothing."""
+    folder, out, check = (str(tmp_path / x) for x in ("logs", "out", "check"))
+    files = [
+        [_line(5), _line(10, True), _line(50)],
+        [_line(10), _line(5, True, False), _line(65)],  # out of order, within the hour
+        [_line(150)],  # the watermark passes the first two hours
+        [_line(50, True), _line(140, True), _line(140)],  # 50's second line is too late
+        [_line(500)],
+    ]
+    for n, lines in enumerate(files):
+        _write(folder, f"f{n}", lines)
+        stream.run_available(stream.latest_stream(stream.read_stream(spark, folder)), out, check)
+    got = {r["line_number"]: (r["log_id"] is not None, r["synced_to_appwrite"]) for r in spark.read.parquet(out).collect()}
+    assert got == {5: (True, False), 10: (True, True), 50: (False, False), 65: (False, False), 140: (True, True), 150: (False, False)}
+    assert spark.read.parquet(out).count() == len(got)
