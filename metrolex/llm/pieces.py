@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .blocks import let_go
 from .shared import fresh, texts
 
 #: Characters of a chunk; a longer document is spread over tasks.
@@ -44,7 +45,7 @@ CHUNK = 1 << 16
 #: Chunks whose matrices one task combines to one; the scan goes over blocks, then inside each.
 BLOCK = 64
 #: Stretches and pairs that one task remembers.
-MEMORY = 250_000
+MEMORY = 140_000
 BLANK = "▁"
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 NEVER = -math.inf
@@ -63,6 +64,7 @@ class Pieces:
     longest: int = 0
     resets: bool = True  # no piece has a blank after another character
     seen: dict[str, bytes] = field(default_factory=dict)
+    older: dict[str, bytes] = field(default_factory=dict)
     pairs: dict[tuple[str, str], bool] = field(default_factory=dict)
 
     @classmethod
@@ -159,10 +161,10 @@ class Pieces:
         """Ids (int32) of a stretch between two places that no piece crosses."""
         got = self.seen.get(s)
         if got is None:
-            got = array("i", self.own(self._single(s))).tobytes()
+            got = self.older.pop(s, None) or array("i", self.own(self._single(s))).tobytes()
             if len(s) <= 64:
-                if len(self.seen) > 2 * MEMORY:
-                    self.seen.clear()
+                if len(self.seen) > MEMORY:
+                    self.older, self.seen = self.seen, {}  # what is met again comes back
                 self.seen[s] = got
         return got
 
@@ -355,7 +357,7 @@ def encode_bytes(m: Pieces, text: str) -> bytes:
     """Ids (int32) of a document of one chunk."""
     if not text:
         return b""
-    seen, stretch = m.seen, m.stretch
+    seen, stretch = m.seen, m.stretch  # seen may become m.older meanwhile; what it tells stays right
     out = b"".join([seen.get(s) or stretch(s) for s in stretches(BLANK + text.replace(" ", BLANK), m)])
     return out if m.bytes_ else array("i", _mend(m, array("i", out).tolist())).tobytes()
 
@@ -423,6 +425,7 @@ def encode(docs: DataFrame, model: Pieces | str = DEFAULT_MODEL, text_col: str =
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
                 yield pa.RecordBatch.from_arrays([*part.columns, _lists([encode_bytes(get(), t.as_py()) for t in texts(part.column(at))])], names=[*part.schema.names, out])
+            let_go()
 
     schema = T.StructType([*docs.schema.fields, T.StructField(out, T.ArrayType(T.IntegerType()))])
     short = docs.where(~long).mapInArrow(whole, schema)
