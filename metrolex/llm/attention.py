@@ -6,9 +6,9 @@ once, with S to 2 S ids before it. Queries, keys and values are tables over ids
 a bias for each distance. What attention brings, added to the last id's own vector, goes through tanh and meets the vectors of the nodes on the next id's
 path in a Huffman tree: the sum of the log sigmoids along the path is the log probability, so all ids together have probability one.
 
-The tree and its nodes' biases come from counts over all training texts: words are counted over the corpus, in dictionaries of blocks, and a word's count goes
-to its subwords. Attention starts from that unigram model and is trained by gradient steps (Adagrad) in the tasks, on one in `share` training documents;
-models of all tasks are averaged by their numbers of ids after each round, in whole numbers, so in any order of tasks. Sample and counts grow with the input; what
+The tree and its nodes' biases come from counts over all training texts: words are counted in dictionaries of blocks, cut into subwords once, and a word's count goes
+to its subwords. Attention starts from that unigram model and is trained by gradient steps (Adagrad) in the tasks, on every training text, each in one of the rounds
+(`share` above 1 takes fewer); what the tasks' models changed is averaged by their numbers of ids after each round, in whole numbers, so in any order of tasks. What
 reaches the driver and goes back to tasks has the vocabulary's size.
 
 The base score takes words as units: log10((c + 1) / (N + V + 1)) summed over a text's words and its end, c, N and V counted over all training texts.
@@ -30,14 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import WHITE, coded, lowered, packed, spans, strings, unpacked
+from .blocks import WHITE, coded, let_go, lowered, packed, spans, strings, unpacked
 from .shared import steps, stored, texts
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Ids that a window scores, as many stand before; sizes of queries and of vectors.
 S, KEYS, WIDTH = 16, 8, 16
-#: One in so many training documents is trained on, over so many rounds, each with documents of its own.
-SHARE, ROUNDS = 40, 2
+#: One in so many training documents is trained on, over so many rounds, each with documents of its own: all are, unless a caller asks for less.
+SHARE, ROUNDS = 1, 2
 RATE, BATCH = 0.08, 64
 #: Windows scored at once; bytes of text in a block of words; parameters in a row when models are averaged.
 STEP, BLOCK, ROW = 256, 24 << 20, 1 << 14
@@ -52,17 +52,20 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-def subwords(words: list[str], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+def subwords(words: pa.Array | list[str], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all words, each with a blank before it, and where each word's begin (n + 1)."""
     import tiktoken
 
     own = _encodings.get(id(ranks))
     if own is None:
         own = _encodings[id(ranks)] = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    found = [own.encode_ordinary(" " + w) for w in words]
-    at = np.zeros(len(found) + 1, np.int64)
-    np.cumsum(np.fromiter(map(len, found), np.int64, len(found)), out=at[1:])
-    return np.fromiter((x for f in found for x in f), np.int32, int(at[-1])), at
+    flat, at = [np.zeros(0, np.int32)], np.zeros(len(words) + 1, np.int64)
+    for lo in range(0, len(words), 1 << 14):  # lists of a few words at once
+        part = words[lo : lo + (1 << 14)]
+        found = [own.encode_ordinary(" " + w) for w in (part if isinstance(part, list) else part.to_pylist())]
+        at[lo + 1 : lo + 1 + len(found)] = [len(f) for f in found]
+        flat.append(np.fromiter((x for f in found for x in f), np.int32, sum(map(len, found))))
+    return np.concatenate(flat), np.cumsum(at)
 
 
 def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -175,15 +178,34 @@ class Model:
         h += own
         return np.tanh(h, out=h), a, total, q, keys, values
 
-    def paths(self, h: np.ndarray, y: np.ndarray):
-        """For each step of the paths of the ids y: node, turn, index into y; turn times logit."""
-        t = self.tree
-        sizes = t.sizes[y]
-        node, turn, of = *self._steps(t.begins[y], sizes), np.repeat(np.arange(len(y)), sizes)
-        z = np.einsum("ij,ij->i", self.p["nodes"].take(node, 0), h.take(of, 0))
-        z += t.bias[node]
+    def slopes(self, h: np.ndarray, y: np.ndarray):
+        """Gradients of the log probability of the ids y after h: that of h, and (nodes, gradients) for the upper nodes and for those below.
+
+        Upper nodes are met by most steps, so theirs are products of whole matrices.
+        """
+        t, n = self.tree, len(self.tree.bias)
+        upper, first, low = t.upper.take(y), t.begins.take(y), max(n - UPPER, 0)
+        top, each = self.p["nodes"][low:], np.arange(len(y))
+        logits = h @ top.T
+        node, turn = self._steps(first, upper)
+        at = np.repeat(each * (n - low) - low, upper) + node
+        g = np.zeros_like(logits)
+        g.ravel()[at] = self._pull(logits.ravel().take(at), node, turn)
+        dh, above = g @ top, g.T @ h
+        below = t.sizes.take(y) - upper
+        node, turn = self._steps(first + upper, below)
+        of, own = np.repeat(each, below), self.p["nodes"].take(node, 0)
+        steep = self._pull(np.einsum("ij,ij->i", own, h.take(of, 0)), node, turn)[:, None]
+        if len(some := np.flatnonzero(below)):
+            own *= steep
+            dh[some] += np.add.reduceat(own, (np.cumsum(below) - below)[some])
+        return dh, (slice(low, low + len(top)), above), _summed(node, of, steep, h)
+
+    def _pull(self, z: np.ndarray, node: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Slope of the log sigmoids of logits, whose biases and turns are still to come."""
+        z += self.tree.bias.take(node)
         z *= turn
-        return node, turn, of, z, sizes
+        return turn / (1 + np.exp(np.minimum(z, 80)))
 
     def _steps(self, begins, sizes):
         at = ragged(begins, sizes)
@@ -249,13 +271,11 @@ class Model:
             a /= total
             target = y[part].ravel()
             ok = np.flatnonzero(target >= 0)
-            node, turn, of, z, steps_ = self.paths(h[ok], target[ok])
-            g = turn / (1 + np.exp(np.minimum(z, 80)))
             if not len(ok):
                 continue
+            got, above, below = self.slopes(h[ok], target[ok])
             dh = np.zeros_like(h)
-            dh[ok] = np.add.reduceat(g[:, None] * p["nodes"].take(node, 0), np.cumsum(steps_) - steps_)
-            nodes = _summed(node, g[:, None] * h[ok].take(of, 0))
+            dh[ok] = got
             dh *= 1 - h * h
             n = len(begins[part])
             do = dh.reshape(n, S, w)
@@ -270,25 +290,28 @@ class Model:
             rows[S:, 2 * k + w :] = dh
             dw = e.T @ rows
             far = np.bincount(_DISTANCE.ravel(), da.sum(axis=0).ravel(), 2 * S).astype(np.float32)
-            for name, at, d in (("nodes", *nodes), ("ids", *_summed(own, rows @ weights.T)), ("query", ..., dw[:, :k] * scale), ("key", ..., dw[:, k : 2 * k]), ("value", ..., dw[:, 2 * k : 2 * k + w]), ("own", ..., dw[:, 2 * k + w :]), ("place", ..., far)):
+            for name, at, d in (("nodes", *above), ("nodes", *below), ("ids", *_summed(own, np.arange(len(own)), 1, rows @ weights.T)), ("query", ..., dw[:, :k] * scale), ("key", ..., dw[:, k : 2 * k]), ("value", ..., dw[:, 2 * k : 2 * k + w]), ("own", ..., dw[:, 2 * k + w :]), ("place", ..., far)):
                 d = np.clip(d, -8, 8)
                 sums = grown[name][at] + d * d
                 grown[name][at] = sums
                 p[name][at] += rate * d / np.sqrt(sums + 1e-6)
 
 
-def _summed(at: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sums of the rows of equal `at`."""
+def _summed(at: np.ndarray, of: np.ndarray, by, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct `at` and the sums of `by` times the rows `of` of each."""
+    if not len(at):
+        return at, rows[:0]
     order = np.argsort(at, kind="stable")
     at = at[order]
     first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], np.add.reduceat(rows.take(order, 0), first)
+    return at[first], np.add.reduceat(rows.take(of[order], 0) * (by[order] if np.ndim(by) else by), first)
 
 
-def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
-    """(block, code, word, n, codes, sizes, ids, held, words): dictionary rows with counts in training texts, and a row with code -1 for the texts themselves.
+def text_blocks(docs: DataFrame, ranks, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
+    """(block, code, word, n, codes, sizes, ids, held, turns, given, lengths): dictionary rows with counts in training texts, and a row with code -1 for the texts themselves.
 
-    Training texts are those whose crc32(id as text) mod 7 is not 2; texts of that remainder are held out.
+    Training texts are those whose crc32(id as text) mod 7 is not 2; texts of that remainder are held out. turns: the round that trains on a text, or -1.
+    given, lengths: subwords of the dictionary's words, so that words are cut once.
     """
 
     def make(batches):
@@ -301,65 +324,89 @@ def text_blocks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 return
             if number > last:
                 raise ValueError("too many blocks in one partition; read smaller partitions")
-            words, sizes, ids, part = (join([x[i] for x in parts]) for i, join in enumerate((pa.concat_arrays, np.concatenate, pa.concat_arrays, np.concatenate)))
-            code, distinct = coded(words)
-            n, k = np.bincount(code[np.repeat(part == 0, sizes)], minlength=len(distinct)), len(distinct)
-            none = [pa.nulls(k, t) for t in (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.large_string()))]
+            own, distinct = coded(pa.concat_arrays([x[1] for x in parts]))  # dictionaries of steps become one
+            first = np.cumsum([0, *(len(x[1]) for x in parts)])
+            code = np.concatenate([own[at + x[0]] for at, x in zip(first, parts)])
+            sizes, part, turns = (np.concatenate([x[i] for x in parts]) for i in (2, 4, 5))
+            ids = pa.concat_arrays([x[3] for x in parts])
+            parts, size, k = [], 0, len(distinct)
+            n = np.bincount(code[np.repeat(part == 0, sizes)], minlength=k)
+            none = [pa.nulls(k, t) for t in (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())]
             yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), pa.array(np.arange(k, dtype=np.int32)), distinct, pa.array(n), *none], names=names)
-            held = pa.array(part == 1)
-            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, held, distinct)]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.nulls(1, pa.large_string()), pa.array([0]), pa.array([packed(code)], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), *lists], names=names)
-            number, parts, size = number + 1, [], 0
+            del n
+            given, begins = subwords(distinct, ranks.value)
+            lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(part == 1))]
+            kept = [pa.array([x], pa.binary()) for x in (turns.astype(np.int32).tobytes(), packed(given), packed(np.diff(begins)))]
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.nulls(1, pa.large_string()), pa.array([0]), pa.array([packed(code)], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), *lists, *kept], names=names)
+            number += 1
 
         for b in batches:
-            column, ids, part = texts(b.column(0)), b.column(1), np.asarray(b.column(2))
+            column, ids, part, turns = texts(b.column(0)), b.column(1), np.asarray(b.column(2)), np.asarray(b.column(3))
             for lo, hi, data, offsets in steps(column, 4 << 20):
                 data = lowered(data)
                 starts, ends = spans(data, offsets, WHITE)
-                parts.append((strings(data, WHITE, starts, ends), np.diff(np.searchsorted(starts, offsets)), ids.slice(lo, hi - lo), part[lo:hi]))
+                parts.append((*coded(strings(data, WHITE, starts, ends)), np.diff(np.searchsorted(starts, offsets)), ids.slice(lo, hi - lo), part[lo:hi], turns[lo:hi]))
                 size += len(data)
                 if size > block:
                     yield from flush()
         yield from flush()
+        let_go()
 
-    names = ["block", "code", "word", "n", "codes", "sizes", "ids", "held", "words"]
+    names = ["block", "code", "word", "n", "codes", "sizes", "ids", "held", "turns", "given", "lengths"]
     rest = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(7))
-    columns = docs.select(F.col(text_col).cast("string"), F.col(id_col).cast("long"), F.when(rest == 2, 1).when(rest.isNull(), 2).otherwise(0).cast("int"))
-    return columns.mapInArrow(make, "block long, code int, word string, n long, codes binary, sizes binary, ids array<bigint>, held array<boolean>, words array<string>")
+    picked, dealt = F.xxhash64(id_col, F.lit(12)), F.xxhash64(id_col, F.lit(13))
+    turn = F.when((rest != 2) & (F.pmod(picked, F.lit(share)) == 0), F.pmod(dealt, F.lit(rounds))).otherwise(-1)
+    columns = docs.select(F.col(text_col).cast("string"), F.col(id_col).cast("long"), F.when(rest == 2, 1).when(rest.isNull(), 2).otherwise(0).cast("int"), turn.cast("int"))
+    return columns.mapInArrow(make, "block long, code int, word string, n long, codes binary, sizes binary, ids array<bigint>, held array<boolean>, turns binary, given binary, lengths binary")
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, code, word, c, lead): dictionary rows of words that training texts hold; word only on its leading row."""
+    """(block, code, c, lead): dictionary rows of words that training texts hold; lead on one row of each word."""
     whole = Window.partitionBy("word")
     place = F.shiftleft("block", 31) + F.col("code")
-    seen = blocks.where("code >= 0").select("block", "code", "word", F.sum("n").over(whole).alias("c"), (F.min(place).over(whole) == place).alias("lead")).where("c > 0")
-    return seen.withColumn("word", F.when(F.col("lead"), F.col("word")))
+    return blocks.where("code >= 0").select("block", "code", F.sum("n").over(whole).alias("c"), (F.min(place).over(whole) == place).alias("lead")).where("c > 0")
 
 
-def subword_counts(words: DataFrame, ranks, n_ids: int) -> np.ndarray:
-    """How often each id stands in the training texts; words: (word, c), one row a word."""
+def subword_counts(blocks: DataFrame, n_ids: int) -> np.ndarray:
+    """How often each id stands in the training texts, ends left out."""
 
     def count(batches):
         total = np.zeros(n_ids, np.int64)
         for b in batches:
-            ids, at = subwords(b.column(0).to_pylist(), ranks.value)
-            np.add.at(total, ids, np.repeat(np.asarray(b.column(1)), np.diff(at)))
+            for i in range(b.num_rows):
+                ids, held = b.column("ids")[i].values, np.asarray(b.column("held")[i].values)
+                sizes, code, lengths = np.frombuffer(b.column("sizes")[i].as_py(), np.int64), unpacked(b.column("codes")[i].as_py()), unpacked(b.column("lengths")[i].as_py())
+                n = np.bincount(code[np.repeat(~held & np.asarray(ids.is_valid()), sizes)], minlength=len(lengths))
+                np.add.at(total, unpacked(b.column("given")[i].as_py()), np.repeat(n, lengths))
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["id", "n"])
 
-    got = words.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    whole = blocks.where("code < 0").select("codes", "sizes", "ids", "held", "given", "lengths")
+    got = whole.mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(n_ids, np.int64)
     out[np.asarray(got.column("id"))] = np.asarray(got.column("n"))
     return out
 
 
+def _of_block(codes: bytes, sizes: bytes, given: bytes, lengths: bytes, end: int, wanted: np.ndarray | None = None, most: int = 1 << 17):
+    """(ids, sizes) of a block's wanted texts in their order, about `most` words at once."""
+    code, sizes, ids, at = unpacked(codes), np.frombuffer(sizes, np.int64), unpacked(given), np.r_[0, np.cumsum(unpacked(lengths), dtype=np.int64)]
+    if wanted is not None:
+        code, sizes = code[np.repeat(wanted, sizes)], sizes[wanted]
+    first, lo = np.r_[0, np.cumsum(sizes)], 0
+    while lo < len(sizes):
+        hi = max(lo + 1, int(np.searchsorted(first, first[lo] + most, "right")) - 1)
+        yield _expanded(code[first[lo] : first[hi]], sizes[lo:hi], ids, at, end)
+        lo = hi
+
+
 def _ids_of(column: pa.Array, ranks: dict[bytes, int], end: int):
     """(ids, sizes) of runs of texts, ends included."""
     for _, _, data, offsets in steps(column):
         data = lowered(data)
         starts, ends = spans(data, offsets, WHITE)
         code, distinct = coded(strings(data, WHITE, starts, ends))
-        yield _expanded(code, np.diff(np.searchsorted(starts, offsets)), *subwords(distinct.to_pylist(), ranks), end)
+        yield _expanded(code, np.diff(np.searchsorted(starts, offsets)), *subwords(distinct, ranks), end)
 
 
 def _expanded(code: np.ndarray, sizes: np.ndarray, ids: np.ndarray, at: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -374,45 +421,66 @@ def _expanded(code: np.ndarray, sizes: np.ndarray, ids: np.ndarray, at: np.ndarr
 
 def trained(model: Model, sample: DataFrame, ranks, rounds: int = ROUNDS) -> Model:
     """The model after `rounds` rounds over (text, round), each averaged over tasks."""
-    spark = sample.sparkSession
-    names = list(model.p)
-    for turn in range(rounds):
-        sent = spark.sparkContext.broadcast(model)
 
-        def local(batches, sent=sent):
-            own = Model(sent.value.tree, {k: v.copy() for k, v in sent.value.p.items()})
-            grown, seen = {k: np.zeros_like(v) for k, v in own.p.items()}, 0
-            for b in batches:
-                for ids, sizes in _ids_of(texts(b.column(0)), ranks.value, len(own.p["ids"]) - 1):
-                    own.train(ids, sizes, grown)
-                    seen += len(ids)
-            if seen:
-                flat = np.rint(np.concatenate([own.p[k].ravel() for k in names]).astype(np.float64) * _FIXED).astype(np.int64)
-                rows = range(0, len(flat), ROW)
-                yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([seen] * len(rows)), pa.array([flat[i : i + ROW].tobytes() for i in rows], pa.binary())], names=["row", "n", "v"])
-
-        def fold(batches):
-            sums: dict[int, list] = {}  # a partition's rows of parameters; their number is bounded by the model
-            for b in batches:
-                for row, n, v in zip(*(c.to_pylist() for c in b.columns)):
-                    s = sums.setdefault(row, [0, 0])
-                    high, low = np.divmod(np.frombuffer(v, np.int64), 1 << 20)
-                    s[0] += n
-                    s[1] = s[1] + np.stack([high, low]).astype(np.int64) * n
-            for row, (n, (high, low)) in sums.items():
-                yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([((high * float(1 << 20) + low) / n / _FIXED).astype(np.float32).tobytes()], pa.binary())], names=["row", "v"])
-
-        models = sample.where(F.col("round") == turn).select("text").mapInArrow(local, "row long, n long, v binary")
-        got = models.repartition("row").mapInArrow(fold, "row long, v binary").toArrow()  # the size of one model
-        if not got.num_rows:
-            continue
-        flat = np.concatenate([np.frombuffer(v, np.float32) for _, v in sorted(zip(got.column("row").to_pylist(), got.column("v").to_pylist()))])
-        cuts = np.cumsum([model.p[k].size for k in names])[:-1]
-        model = Model(model.tree, {k: x.reshape(model.p[k].shape).copy() for k, x in zip(names, np.split(flat, cuts))})
-        sent.unpersist()
+    def read(batches, end: int):
+        for b in batches:
+            yield from _ids_of(texts(b.column(0)), ranks.value, end)
+
+    for turn in range(rounds):
+        model = averaged(model, sample.where(F.col("round") == turn).select("text"), read)
     return model
 
 
+def averaged(model: Model, part: DataFrame, read) -> Model:
+    """The model after steps over a table in tasks, averaged over them; read(batches, end) gives (ids, sizes) of runs of texts."""
+    names = list(model.p)
+    sent = part.sparkSession.sparkContext.broadcast(model)
+
+    def local(batches):
+        old = sent.value.p
+        own = Model(sent.value.tree, {k: v.copy() for k, v in old.items()})
+        grown, seen = {k: np.zeros_like(v) for k, v in own.p.items()}, 0
+        for ids, sizes in read(batches, len(own.p["ids"]) - 1):
+            own.train(ids, sizes, grown)
+            seen += len(ids)
+        if seen:
+            flat = np.rint(np.concatenate([own.p[k].ravel().astype(np.float64) - old[k].ravel() for k in names]) * _FIXED).astype(np.int64)
+            rows = range(0, len(flat), ROW)
+            yield pa.RecordBatch.from_arrays([pa.array(range(len(rows)), pa.int64()), pa.array([seen] * len(rows)), pa.array([_planes(flat[i : i + ROW]) for i in rows], pa.binary())], names=["row", "n", "v"])
+        let_go()
+
+    def fold(batches):
+        sums: dict[int, list] = {}  # a partition's rows of parameters; their number is bounded by the model
+        for b in batches:
+            for row, n, v in zip(*(c.to_pylist() for c in b.columns)):
+                s = sums.setdefault(row, [0, 0])
+                high, low = np.divmod(_whole(v), 1 << 20)
+                s[0] += n
+                s[1] = s[1] + np.stack([high, low]).astype(np.int64) * n
+        for row, (n, (high, low)) in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([row]), pa.array([((high * float(1 << 20) + low) / n / _FIXED).tobytes()], pa.binary())], names=["row", "v"])
+
+    moved = part.mapInArrow(local, "row long, n long, v binary")
+    got = moved.repartition("row").mapInArrow(fold, "row long, v binary").toArrow()  # the size of one model
+    if not got.num_rows:
+        return model
+    flat = np.concatenate([np.frombuffer(v, np.float64) for _, v in sorted(zip(got.column("row").to_pylist(), got.column("v").to_pylist()))])
+    cuts = np.cumsum([model.p[k].size for k in names])[:-1]
+    sent.unpersist()
+    return Model(model.tree, {k: (model.p[k] + x.reshape(model.p[k].shape)).astype(np.float32) for k, x in zip(names, np.split(flat, cuts))})
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Whole numbers as compressed bytes, the eight bytes of each apart: most are small."""
+    return len(values).to_bytes(8, "little") + pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8).T).tobytes(), "zstd", asbytes=True)
+
+
+def _whole(data: bytes) -> np.ndarray:
+    n = int.from_bytes(data[:8], "little")
+    planes = np.frombuffer(pa.decompress(data[8:], 8 * n, "zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view(np.int64).reshape(n)
+
+
 def scores(docs: DataFrame, vocabulary: str = VOCABULARY, share: int = SHARE, rounds: int = ROUNDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; held_out is false for a null id."""
     spark = docs.sparkSession
@@ -420,43 +488,60 @@ def scores(docs: DataFrame, vocabulary: str = VOCABULARY, share: int = SHARE, ro
     end = max(read.values(), default=-1) + 1
     ranks = spark.sparkContext.broadcast(read)  # the vocabulary file
     docs = docs.select("doc_id", "text")
-    blocks = stored(text_blocks(docs, block=block))
+    blocks = stored(text_blocks(docs, ranks, block=block, share=share, rounds=rounds))
     counts = stored(word_counts(blocks))
     n_texts = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2).count()
     n_words, v_words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], counts.where("lead").count()
     total, distinct = n_words + n_texts, v_words + (n_texts > 0)
-    ids = subword_counts(counts.where("lead").select("word", "c"), ranks, end + 1)
+    ids = subword_counts(blocks, end + 1)
     ids[end] = n_texts
-    picked = F.xxhash64("doc_id", F.lit(12))
-    sample = docs.where((F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2) & (F.pmod(picked, F.lit(share)) == 0))
-    sample = stored(sample.select("text", F.pmod(F.floor(picked / share), F.lit(rounds)).alias("round")))
-    model = spark.sparkContext.broadcast(trained(Model.fresh(ids), sample, ranks, rounds))
+    whole = blocks.where("code < 0")
 
-    def score(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        out, m = [], model.value
+    def training(turn: int):
+        def read(batches, end: int):
+            for b in batches:
+                for i in range(b.num_rows):
+                    *own, turns = (c[i].as_py() for c in b.columns)
+                    yield from _of_block(*own, end, np.frombuffer(turns, np.int32) == turn)
+
+        return read
+
+    model = Model.fresh(ids)
+    for turn in range(rounds):
+        model = averaged(model, whole.select("codes", "sizes", "given", "lengths", "turns"), training(turn))
+    model = spark.sparkContext.broadcast(model)
+
+    def by_model(batches):
+        m = model.value
         tables = m.tables()
+        for b in batches:
+            for i in range(b.num_rows):
+                row = b.slice(i, 1)
+                got = [m.score(*run, tables) for run in _of_block(*(row.column(c)[0].as_py() for c in ("codes", "sizes", "given", "lengths")), end)]
+                score = pa.array(np.concatenate(got))
+                yield pa.RecordBatch.from_arrays([*(row.column(c) for c in kept), pa.ListArray.from_arrays(pa.array([0, len(score)], pa.int32()), score)], names=[*kept, "scores"])
+        let_go()
+
+    def by_counts(key, left: pa.Table, right: pa.Table) -> pa.Table:
+        out = []
         for row in left.to_batches():
             for i in range(row.num_rows):
                 code, sizes = unpacked(row.column("codes")[i].as_py()), np.frombuffer(row.column("sizes")[i].as_py(), np.int64)
-                words = row.column("words")[i].values
-                c = np.zeros(len(words) + 1, np.int64)
-                c[np.asarray(right.column("code").combine_chunks())] = np.asarray(right.column("c").combine_chunks())
+                c = np.zeros(int(code.max(initial=-1)) + 2, np.int64)  # every code of a block stands in its texts
+                for part in right.to_batches():
+                    c[np.asarray(part.column("code"))] = np.asarray(part.column("c"))
                 c[-1] = n_texts
-                each, of = np.log10((c + 1) / (total + distinct + 1)), np.repeat(np.arange(len(sizes)), sizes)
+                each = np.log10((c + 1) / (total + distinct + 1))
+                of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
                 base = np.bincount(of, each[code], len(sizes)) + each[-1]
-                known = np.bincount(of, c[code] > 0, len(sizes)).astype(np.int64) + int(n_texts > 0)
-                given, begins = subwords(words.to_pylist(), ranks.value)
-                got, first = np.zeros(len(sizes)), np.r_[0, np.cumsum(sizes)]
-                lo = 0
-                while lo < len(sizes):  # some texts at once
-                    hi = max(lo + 1, int(np.searchsorted(first, first[lo] + (1 << 17), "right")) - 1)
-                    got[lo:hi] = m.score(*_expanded(code[first[lo] : first[hi]], sizes[lo:hi], given, begins, end), tables)
-                    lo = hi
-                out.append(pa.table({"doc_id": row.column("ids")[i].values, "held_out": row.column("held")[i].values, "n_tokens": sizes + 1, "n_known": known, "train_tokens": np.full(len(sizes), total), "base_score": base, "score": got}))
+                known = np.bincount(of[c[code] > 0], minlength=len(sizes)) + int(n_texts > 0)
+                out.append(pa.table({"doc_id": row.column("ids")[i].values, "held_out": row.column("held")[i].values, "n_tokens": sizes + 1, "n_known": known, "train_tokens": np.full(len(sizes), total), "base_score": base, "score": row.column("scores")[i].values}))
+        let_go()
         return pa.concat_tables(out)
 
-    left = blocks.where("code < 0").select("block", "codes", "sizes", "ids", "held", "words")
-    return left.groupBy("block").cogroup(counts.select("block", "code", "c").groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    kept = ["block", "codes", "sizes", "ids", "held"]
+    left = whole.select(*kept, "given", "lengths").mapInArrow(by_model, "block long, codes binary, sizes binary, ids array<bigint>, held array<boolean>, scores array<double>")
+    return left.groupBy("block").cogroup(counts.select("block", "code", "c").groupBy("block")).applyInArrow(by_counts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op12_lm_scores(spark, sf_dir: str) -> DataFrame:

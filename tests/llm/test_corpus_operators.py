@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from metrolex.llm import attention, blocks, divergence, phrases, shared
 
@@ -231,6 +232,21 @@ def test_lm_learns_from_context(spark):
     assert len(start) > 100 and sum(r["score"] for r in got.values()) > 0.9 * sum(r["score"] for r in start.values())
 
 
+def test_lm_trains_on_every_training_text(spark, frame, ranks):
+    """By default all training texts, dealt to all rounds, and no others; so a model learns from texts that a share of one in 40 leaves out."""
+    rest, picked = F.pmod(F.crc32(F.col("id").cast("string")), F.lit(7)), F.pmod(F.xxhash64("id", F.lit(12)), F.lit(40))
+    ids = [r["id"] for r in spark.range(1, 60).where((rest == 2) | (picked != 0)).collect()]
+    docs = frame([(i, "one two three four five six seven eight " * 20) for i in ids] + [(None, "no id")])
+    turns = {}
+    for r in attention.text_blocks(docs, spark.sparkContext.broadcast(ranks)).where("code < 0").collect():
+        turns |= dict(zip(r["ids"], np.frombuffer(r["turns"], np.int32).tolist()))
+    held = {i for i in ids if zlib.crc32(str(i).encode()) % 7 == 2}
+    assert {i for i, t in turns.items() if t < 0} == held | {None} and held
+    assert {t for t in turns.values() if t >= 0} == set(range(attention.ROUNDS))
+    start, got = (attention.scores(docs, **given).where("doc_id is not null").agg(F.sum("score")).first()[0] for given in ({"share": 10**9}, {}))
+    assert got > 0.9 * start
+
+
 def test_average_does_not_depend_on_order(spark, ranks):
     sample = spark.createDataFrame([(f"word {i % 7} and {i % 3}", 0) for i in range(300)], "text string, round int")
     sent, fresh = spark.sparkContext.broadcast(ranks), lambda: attention.Model.fresh(np.ones(max(ranks.values()) + 2, np.int64))
