@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from .decontaminate import shingle_sets
 from .shared import U, bloom, bloom_has, constants, fresh, mix, runs, sliced, stored, texts
 
-DEPTH, SLOTS = 4, 256
+DEPTH, SLOTS = 4, 64  # slots: a power of two; each tree carries a sketch a class, most of what is shuffled
 LEAF_ROWS, LEAF_SHINGLES = 2048, 1 << 22
 RECALL = 0.99999
-#: How far below the asked similarity a sketch's estimate may lie: over four standard deviations of 256 slots.
-SLACK = 0.11
+#: How far below the asked similarity a sketch's estimate may lie: a link at 0.85 is missed less than once in five million (binomial tail over all slots).
+SLACK = 0.26
 
 
 def trees_for(percent: int, recall: float = RECALL) -> int:
@@ -59,7 +59,7 @@ def _sketch(own: np.ndarray) -> np.ndarray:
     """Minimum of each of SLOTS bins, as a byte from 1; 0 for an empty bin."""
     h = mix(own ^ U(0x5851F42D4C957F2D))
     h.sort()
-    bin_ = (h >> U(56)).astype(np.int64)
+    bin_ = (h >> U(65 - SLOTS.bit_length())).astype(np.int64)
     first = np.r_[True, bin_[1:] != bin_[:-1]]
     out = np.zeros(SLOTS, np.uint8)
     out[bin_[first]] = (mix(h[first]) % U(255)).astype(np.uint8) + 1

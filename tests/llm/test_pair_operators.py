@@ -1,5 +1,6 @@
 """Near-dedup, substring dedup, decontamination, SentencePiece and the pipeline, against brute force."""
 
+import math
 import random
 import re
 import time
@@ -266,3 +267,20 @@ def test_pipeline(spark):
     assert not any(len(q & _set(r["text"], 5)) >= 0.8 * len(q) for r in rows for q in items.values())
     sets = [_set(r["text"], 5) for r in rows]
     assert not any(100 * len(a & b) >= 80 * len(a | b) for i, a in enumerate(sets) if a for b in sets[i + 1 :])
+
+
+def test_sketches_are_short_and_lose_no_links():
+    """A sketch goes into every tree, so it is short; what it may lose at the threshold is below one in a million, by the binomial and by trial."""
+    n, s = neardup.SLOTS, 0.85
+    most = math.ceil((s - neardup.SLACK) * n) - 1
+    assert n <= 64 and sum(math.comb(n, i) * s**i * (1 - s) ** (n - i) for i in range(most + 1)) < 1e-6
+    r = np.random.default_rng(3)
+    for size in (7, 40, 300, 3000):
+        for _ in range(50):
+            own = r.integers(0, 2**63, size).astype(np.uint64)
+            other = own.copy()
+            k = int(size * 0.15 / 1.85)  # the similarity is 0.85 or just above
+            other[:k] = r.integers(0, 2**63, k).astype(np.uint64)
+            far = r.integers(0, 2**63, size).astype(np.uint64)
+            got = neardup._hopeful(np.stack([neardup._sketch(x) for x in (own, other, far)]), np.full(3, size), 85)
+            assert got.tolist() == [True, True, False]
