@@ -1,7 +1,7 @@
 """Packing of labelled token lists into windows of a fixed size, for a model's input.
 
-Lists longer than a window are cut, others stay whole. Pieces are dealt into shards by hash, each of about SHARD_TOKENS, and every shard is packed on its own, first fit
-decreasing: the longest piece first, each into the first window with room. Pieces of one length are placed at once: a window with r free places takes r // n of
+Lists longer than a window are cut, others stay whole. Each task packs its pieces where they are, in shards of about SHARD_TOKENS, so no token is shuffled; a shard is packed on its own, first fit
+decreasing. A task's last shard holds one to two times SHARD_TOKENS, or all that the task has, so about a window a task is left part empty. In a shard: the longest piece first, each into the first window with room. Pieces of one length are placed at once: a window with r free places takes r // n of
 them, which is what placing them one by one would give.
 """
 
@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,8 +39,7 @@ def first_fit(sizes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return into, place
 
 
-def _pack(key, table: pa.Table, window: int) -> pa.Table:
-    shard = key[0].as_py()
+def _pack(shard: int, table: pa.Table, window: int) -> pa.Table:
     table = table.sort_by([("sid", "ascending"), ("piece", "ascending")])  # equal tables are packed alike
     tokens, labels = (table.column(c).combine_chunks() for c in ("tokens", "labels"))
     sizes = np.diff(np.asarray(tokens.offsets)).astype(np.int64)
@@ -69,11 +69,29 @@ def packed(labelled: DataFrame, window: int = 128, shard_tokens: int = SHARD_TOK
     """(shard, window, n_tokens, sids, tokens, labels, segments, positions) from (sid, tokens, labels).
 
     segments numbers a window's pieces from 1, positions restart in each, so attention can be held within a piece. Tokens and labels of a row are equally many.
-    Rows alike are separate lists; null ids and lists are left out.
+    Rows alike are separate lists; null ids and lists are left out. Which lists share a shard follows from the table's partitions.
     """
     pieces = pieces_of(labelled.where("sid is not null and tokens is not null"), window)
-    total = labelled.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_tokens))
-    dealt = pieces.withColumn("shard", F.pmod(F.xxhash64("sid", "piece", "tokens"), F.lit(shards)))
+
+    def run(batches):
+        shard, held, size = TaskContext.get().partitionId() << 32, [], 0
+        for b in batches:
+            ends, lo = np.cumsum(np.diff(np.asarray(b.column(2).offsets)).astype(np.int64)), 0
+            while lo < b.num_rows:
+                before = int(ends[lo - 1]) if lo else 0
+                hi = min(int(np.searchsorted(ends, before + shard_tokens)) + 1, b.num_rows)
+                held.append((b.slice(lo, hi - lo), int(ends[hi - 1]) - before))
+                size, lo = size + held[-1][1], hi
+                if size >= 2 * shard_tokens:
+                    own, n = [], 0
+                    while n < shard_tokens:
+                        own.append(held[len(own)][0])
+                        n += held[len(own) - 1][1]
+                    held, size = held[len(own) :], size - n
+                    yield from _pack(shard, pa.Table.from_batches(own), window).to_batches(max_chunksize=4096)
+                    shard += 1
+        if held:
+            yield from _pack(shard, pa.Table.from_batches([x[0] for x in held]), window).to_batches(max_chunksize=4096)
+
     shape = "shard long, window long, n_tokens long, sids array<string>, tokens array<string>, labels array<string>, segments array<int>, positions array<int>"
-    return dealt.groupBy("shard").applyInArrow(lambda k, t: _pack(k, t, window), shape)
+    return pieces.mapInArrow(run, shape)

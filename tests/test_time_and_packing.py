@@ -106,3 +106,10 @@ def test_sketches_unite_to_one_pass(spark):
     later = {r["g"]: (r["n_distinct"], r["n"]) for r in sketches.estimated(sketches.added(*halves, ["g"])).collect()}
     assert all(later[g][1] == n and abs(later[g][0] / d - 1) < 0.03 for g, (d, n) in exact.items())
     assert sketches.estimated(sketches.sketched(df.where("false"), "v", ["g"])).count() == 0
+
+
+def test_packing_shuffles_no_tokens(spark):
+    df = spark.range(0, 3000, 1, 3).selectExpr("cast(id as string) sid", "array_repeat('t', cast(1 + id % 40 as int)) tokens", "array_repeat('O', cast(1 + id % 40 as int)) labels")
+    got = packing.packed(df, 32)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sum(r["n_tokens"] for r in got.collect()) == sum(1 + i % 40 for i in range(3000))
