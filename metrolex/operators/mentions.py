@@ -57,8 +57,8 @@ def resolved(found: DataFrame) -> DataFrame:
     return grouped.select("sid", F.aggregate("s", none, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["st"].alias("st"), (-x["ne"]).alias("en"), x["entity"].alias("entity"), x["term"].alias("term")))).otherwise(keep(a, x))).alias("spans"))
 
 
-def matched(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", part_terms: int = automaton.PART_TERMS, sent_bytes: int = automaton.SENT_BYTES) -> DataFrame:
-    """(sid, tokens, spans) of every sentence; spans: array<struct<st, en, entity, term>>."""
+def _met(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", part_terms: int = automaton.PART_TERMS, sent_bytes: int = automaton.SENT_BYTES, labelled: bool = False) -> DataFrame:
+    """(sid, tokens, spans) of every sentence, or (sid, tokens, labels)."""
     none = F.expr("cast(array() as array<string>)")
     toks = sentences.select(F.col(id_col).alias("sid"), F.coalesce(tokens(F.col(text_col)), none).alias("tokens"))
     terms = compiled(lexicon).where("n > 0").select("toks", _priority(F.col("entity")).cast("int").alias("prio"), "entity", "term")
@@ -66,9 +66,16 @@ def matched(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_
 
     def run(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([*b.columns, automaton.spans(b.column(1), given())], names=["sid", "tokens", "spans"])
+            found = automaton.spans(b.column(1), given())
+            yield pa.RecordBatch.from_arrays([*b.columns, automaton.labels(b.column(1), found) if labelled else found], names=["sid", "tokens", name])
+
+    name, kind = ("labels", "array<string>") if labelled else ("spans", _SPANS)
+    return toks.mapInArrow(run, T.StructType([*toks.schema.fields, T.StructField(name, T._parse_datatype_string(kind))]))
+
 
-    return toks.mapInArrow(run, T.StructType([*toks.schema.fields, T.StructField("spans", T._parse_datatype_string(_SPANS))]))
+def matched(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", **sizes) -> DataFrame:
+    """(sid, tokens, spans) of every sentence; spans: array<struct<st, en, entity, term>>."""
+    return _met(sentences, lexicon, id_col, text_col, **sizes)
 
 
 def joined(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence") -> DataFrame:
@@ -85,25 +92,18 @@ def mentions(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text
 
 def bio(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", **sizes) -> DataFrame:
     """(sid, tokens, labels): B- on a mention's first token, I- on its others, O elsewhere."""
-    outside = lambda a, upto: F.array_repeat(F.lit("O"), upto - F.size(a))
-    add = lambda a, s: F.concat(a, outside(a, s["st"]), F.array(F.concat(F.lit("B-"), s["entity"])), F.array_repeat(F.concat(F.lit("I-"), s["entity"]), s["en"] - s["st"] - 1))
-    made = F.aggregate("spans", F.expr("cast(array() as array<string>)"), add)
-    rows = matched(sentences, lexicon, id_col, text_col, **sizes).withColumn("labels", made)
-    return rows.select("sid", "tokens", F.concat("labels", outside(F.col("labels"), F.size("tokens"))).alias("labels"))
+    return _met(sentences, lexicon, id_col, text_col, **sizes, labelled=True)
 
 
 def decode_bio(labelled: DataFrame) -> DataFrame:
-    """(sid, st, en, entity) of the mentions that (sid, tokens, labels) encode; an I- without its B- begins one. One pass within the row."""
-    span = lambda st, en, kind: F.struct(st.alias("st"), en.alias("en"), kind.alias("entity"))
+    """(sid, st, en, entity) of the mentions that (sid, tokens, labels) encode; an I- without its B- begins one. A batch of rows at once; null labels are outside."""
+    rows = labelled.select("sid", "labels")
 
-    def fold(a: Column, x: Column) -> Column:
-        i, last, kind = x["i"], F.try_element_at(a, F.lit(-1)), F.substring(x["label"], 3, 64)
-        goes_on = F.coalesce(x["label"].startswith("I-") & (last["en"] == i) & (last["entity"] == kind), F.lit(False))
-        return F.when(goes_on, F.concat(F.slice(a, F.lit(1), F.size(a) - 1), F.array(span(last["st"], i + 1, kind)))).otherwise(F.array_append(a, span(i, i + 1, kind)))
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays(automaton.decoded(b.column(0), b.column(1)), names=["sid", "st", "en", "entity"])
 
-    inside = F.filter(F.transform("labels", lambda x, i: F.struct(i.alias("i"), x.alias("label"))), lambda x: x["label"] != "O")
-    found = F.aggregate(inside, F.expr("cast(array() as array<struct<st:int,en:int,entity:string>>)"), fold)
-    return labelled.select("sid", found.alias("found")).select("sid", F.inline("found"))
+    return rows.mapInArrow(run, T.StructType([rows.schema["sid"], *T._parse_datatype_string("st int, en int, entity string").fields]))
 
 
 def span_scores(truth: DataFrame, predicted: DataFrame) -> DataFrame:

@@ -122,3 +122,10 @@ def test_own_vocabulary_is_numbered_and_rendered(spark, tmp_path):
     assert n == 1000 and [r["n"] for r in many.orderBy("h").collect()] == list(range(1000))
     with pytest.raises(Exception, match="tab"):
         vocabulary.write_templates(spark.createDataFrame([(1, "f", "a\tb")], "tpl_id int, family string, text string"), str(tmp_path / "bad"))
+
+
+def test_labels_and_back_are_no_row_by_row_folds(spark):
+    df = spark.createDataFrame([(1, ["I-A", None, "B-A", "B-A", "I-B", "I-B", "O", "I-B"]), (2, ["I-B"]), (3, []), (4, None), (None, ["B-A", "I-A"])], "sid long, labels array<string>")
+    got = mentions.decode_bio(df)
+    assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 0, 1, "A"), (1, 2, 3, "A"), (1, 3, 4, "A"), (1, 4, 6, "B"), (1, 7, 8, "B"), (2, 0, 1, "B"), (None, 0, 2, "A")]))
