@@ -23,6 +23,7 @@ import base64
 import heapq
 import math
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +39,9 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 S, KEYS, WIDTH = 16, 8, 16
 #: One in so many training documents is trained on, over so many rounds, each with documents of its own: all are, unless a caller asks for less.
 SHARE, ROUNDS = 1, 2
-RATE, BATCH = 0.08, 64
+RATE = 0.24
+#: Windows of a step: the least, at first, and the most, once eight times as many are done.
+LEAST, BATCH = 64, 256
 #: Windows scored at once; bytes of text in a block of words; parameters in a row when models are averaged.
 STEP, BLOCK, ROW = 256, 24 << 20, 1 << 14
 #: Nodes of the tree whose logits are worked out for all at once: most steps of most paths.
@@ -53,19 +56,23 @@ def read_vocabulary(path: str = VOCABULARY) -> dict[bytes, int]:
 
 
 def subwords(words: pa.Array | list[str], ranks: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all words, each with a blank before it, and where each word's begin (n + 1)."""
+    """Ids of all words, each with a blank before it, and where each word's begin (n + 1).
+
+    Words hold no blank, so many are cut in one call: only the first subword of each begins with a blank.
+    """
     import tiktoken
 
-    own = _encodings.get(id(ranks))
-    if own is None:
-        own = _encodings[id(ranks)] = tiktoken.Encoding("words", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
-    flat, at = [np.zeros(0, np.int32)], np.zeros(len(words) + 1, np.int64)
+    if (own := _encodings.get(id(ranks))) is None:
+        first = np.zeros(max(ranks.values(), default=-1) + 1, bool)
+        first[[i for b, i in ranks.items() if b.startswith(b" ")]] = True
+        own = _encodings[id(ranks)] = tiktoken.Encoding("words", pat_str=r" [^ ]*", mergeable_ranks=ranks, special_tokens={}), first
+    encoding, first = own
+    flat = [np.zeros(0, np.int32)]
     for lo in range(0, len(words), 1 << 14):  # lists of a few words at once
         part = words[lo : lo + (1 << 14)]
-        found = [own.encode_ordinary(" " + w) for w in (part if isinstance(part, list) else part.to_pylist())]
-        at[lo + 1 : lo + 1 + len(found)] = [len(f) for f in found]
-        flat.append(np.fromiter((x for f in found for x in f), np.int32, sum(map(len, found))))
-    return np.concatenate(flat), np.cumsum(at)
+        flat.append(np.array(encoding.encode_ordinary(" " + " ".join(part if isinstance(part, list) else part.to_pylist())), np.int32))
+    ids = np.concatenate(flat)
+    return ids, np.append(np.flatnonzero(first[ids]), len(ids))
 
 
 def ragged(begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -115,6 +122,22 @@ class Tree:
         ends = np.r_[0, np.cumsum(nodes >= len(bias) - UPPER)]  # nodes are numbered by weight
         return cls(nodes, turns, begins, sizes, bias, ends[begins + sizes] - ends[begins])
 
+    @cached_property
+    def heads(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Upper nodes of each id's path, counted from the first upper one; turns; turned biases. Short rows are filled up with a node
+        behind the last, which adds nothing; so is a last row of no id."""
+        most, low = int(self.upper.max(initial=0)), max(len(self.bias) - UPPER, 0)
+        inner = np.arange(most) < np.append(self.upper, 0)[:, None]
+        at = np.where(inner, np.append(self.begins, 0)[:, None] + np.arange(most), 0)
+        turns = np.where(inner, self.turns.take(at), np.float32(0))
+        nodes = self.nodes.take(at)
+        return np.where(inner, nodes.astype(np.int64) - low, len(self.bias) - low), turns, np.where(inner, turns * self.bias.take(nodes), np.float32(_SURE))
+
+    @cached_property
+    def tails(self) -> tuple[np.ndarray, np.ndarray]:
+        """Where the nodes below the upper ones begin on each id's path, and how many there are; a last row of no id has none."""
+        return np.append(self.begins + self.upper, 0), np.append(self.sizes - self.upper, 0)
+
 
 def windows(ids: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Inputs and targets (windows, S) of texts of so many ids, ends included; target -1 beyond a text; whether a window is its text's first; its text."""
@@ -137,6 +160,8 @@ _IN = (_DISTANCE >= 0).astype(np.float32)
 _DISTANCE = np.maximum(_DISTANCE, 0)
 #: Logits are held within these, so that no exponential overflows.
 _LOGITS = np.float32(60)
+#: A turned logit whose sigmoid is 1 to the last digit; exponents are held within it.
+_SURE = 80
 
 
 class Model:
@@ -171,71 +196,91 @@ class Model:
         np.exp(a, out=a)
         a *= np.exp(self.p["place"])[_DISTANCE] * _IN
         a[begins, :, :S] = 0
-        total = a @ np.ones((2 * S, 1), np.float32)
-        h = a @ values
-        h /= total
-        h = h.reshape(n * S, w)
-        h += own
-        return np.tanh(h, out=h), a, total, q, keys, values
+        total = (a.reshape(-1, 2 * S) @ np.ones(2 * S, np.float32)).reshape(n, S, 1)
+        mixed = a @ values
+        mixed /= total
+        h = mixed.reshape(n * S, w) + own
+        return np.tanh(h, out=h), a, total, mixed, q, keys, values
 
     def slopes(self, h: np.ndarray, y: np.ndarray):
-        """Gradients of the log probability of the ids y after h: that of h, and (nodes, gradients) for the upper nodes and for those below.
+        """Gradients of the log probability of the ids y (-1: none) after h: that of h, and (nodes, gradients) for the upper nodes and for those below.
 
-        Upper nodes are met by most steps, so theirs are products of whole matrices.
+        Upper nodes are met by most steps, so theirs are products of whole matrices. Steps below are worked out by their place on
+        the paths, and ids with most of them come first: those that have a step of some place are then a run from the first on.
         """
-        t, n = self.tree, len(self.tree.bias)
-        upper, first, low = t.upper.take(y), t.begins.take(y), max(n - UPPER, 0)
-        top, each = self.p["nodes"][low:], np.arange(len(y))
-        logits = h @ top.T
-        node, turn = self._steps(first, upper)
-        at = np.repeat(each * (n - low) - low, upper) + node
-        g = np.zeros_like(logits)
-        g.ravel()[at] = self._pull(logits.ravel().take(at), node, turn)
-        dh, above = g @ top, g.T @ h
-        below = t.sizes.take(y) - upper
-        node, turn = self._steps(first + upper, below)
-        of, own = np.repeat(each, below), self.p["nodes"].take(node, 0)
-        steep = self._pull(np.einsum("ij,ij->i", own, h.take(of, 0)), node, turn)[:, None]
-        if len(some := np.flatnonzero(below)):
-            own *= steep
-            dh[some] += np.add.reduceat(own, (np.cumsum(below) - below)[some])
-        return dh, (slice(low, low + len(top)), above), _summed(node, of, steep, h)
-
-    def _pull(self, z: np.ndarray, node: np.ndarray, turn: np.ndarray) -> np.ndarray:
-        """Slope of the log sigmoids of logits, whose biases and turns are still to come."""
-        z += self.tree.bias.take(node)
+        t, low = self.tree, max(len(self.tree.bias) - UPPER, 0)
+        begins, sizes = t.tails
+        below = sizes.take(y)
+        order = np.argsort((len(t.bias) - below).astype(_least(len(t.bias))), kind="stable")
+        h, y, below = h.take(order, 0), y.take(order), below.take(order)
+        top = self._top(low)
+        node, turn, bias = (x.take(y, 0) for x in t.heads)
+        node += np.arange(0, len(y) * len(top), len(top))[:, None]
+        g = h @ top.T
+        z = g.ravel().take(node)
+        z *= turn
+        z += bias
+        g.fill(0)
+        g.ravel()[node] = self._pull(z, turn)
+        dh, above = g @ top, (g.T @ h)[:-1]
+        with_ = len(y) - np.cumsum(np.bincount(below))[:-1]  # ids with more than 0, 1, ... steps
+        of = ragged(np.zeros(len(with_), np.int64), with_)
+        at = begins.take(y).take(of)
+        at += np.repeat(np.arange(len(with_)), with_)
+        node, turn = t.nodes.take(at), t.turns.take(at)
+        own, rows = self.p["nodes"].take(node, 0), h.take(of, 0)
+        z = np.einsum("ij,ij->i", own, rows)
+        z += t.bias.take(node)
+        z *= turn
+        steep = self._pull(z, turn)[:, None]
+        own *= steep
+        rows *= steep
+        lo = 0
+        for n in with_.tolist():
+            dh[:n] += own[lo : lo + n]
+            lo += n
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        return dh.take(back, 0), (slice(low, low + len(top) - 1), above), _summed(node, rows, len(t.bias))
+
+    def _top(self, low: int) -> np.ndarray:
+        """Vectors of the upper nodes, and of the one behind the last that fills paths up."""
+        nodes = self.p["nodes"][low : len(self.tree.bias)]
+        return np.concatenate([nodes, np.zeros_like(nodes[:1])])
+
+    def _pull(self, z: np.ndarray, turn: np.ndarray) -> np.ndarray:
+        """Slope of the log sigmoids of turned logits, in their place."""
+        np.minimum(z, _SURE, out=z)
+        np.exp(z, out=z)
+        z += 1
+        return np.divide(turn, z, out=z)
+
+    def surprise(self, h: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """-log probability of each of the ids y (-1: none, 0) after h."""
+        t, low = self.tree, max(len(self.tree.bias) - UPPER, 0)
+        top = self._top(low)
+        node, turn, bias = (x.take(y, 0) for x in t.heads)
+        node += np.arange(0, len(y) * len(top), len(top))[:, None]
+        z = (h @ top.T).ravel().take(node)
         z *= turn
-        return turn / (1 + np.exp(np.minimum(z, 80)))
-
-    def _steps(self, begins, sizes):
-        at = ragged(begins, sizes)
-        return self.tree.nodes.take(at), self.tree.turns.take(at)
-
-    def surprise(self, h: np.ndarray, y: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """Sum of -log probability of the ids y after h, over the runs of ids that begin at `cuts`."""
-        t, n, out = self.tree, len(self.tree.bias), 0.0
-        upper, sizes = t.upper.take(y), t.sizes.take(y)
-        low, first, ids = max(n - UPPER, 0), t.begins.take(y), np.arange(len(y))
-        logits = h @ np.ascontiguousarray(self.p["nodes"][low:].T)
-        for begins, count in ((first, upper), (first + upper, sizes - upper)):
-            node, turn = self._steps(begins, count)
-            of = np.repeat(ids, count)
-            if count is upper:
-                of *= n - low
-                of += node
-                of -= low
-                z = logits.ravel().take(of)
-            else:
-                z = np.einsum("ij,ij->i", self.p["nodes"].take(node, 0), h.take(of, 0))
-            z += t.bias.take(node)
-            z *= turn
-            np.negative(np.maximum(z, -80, out=z), out=z)
-            np.exp(z, out=z)
-            z += 1
-            np.log(z, out=z)
-            each = np.add.reduceat(count, cuts)
-            out = out + np.where(each > 0, np.add.reduceat(np.append(z, np.float32(0)), np.cumsum(each) - each, dtype=np.float64), 0)
-        return out
+        z += bias
+        out = self._cost(z) @ np.ones(z.shape[1], np.float32)
+        begins, sizes = t.tails
+        below = sizes.take(y)
+        of = np.repeat(np.arange(len(y)), below)
+        at = ragged(begins.take(y), below)
+        node = t.nodes.take(at)
+        z = np.einsum("ij,ij->i", self.p["nodes"].take(node, 0), h.take(of, 0))
+        z += t.bias.take(node)
+        z *= t.turns.take(at)
+        return out + np.bincount(of, self._cost(z), len(y))
+
+    def _cost(self, z: np.ndarray) -> np.ndarray:
+        """-log sigmoid of turned logits, in their place."""
+        np.negative(np.maximum(z, -_SURE, out=z), out=z)
+        np.exp(z, out=z)
+        z += 1
+        return np.log(z, out=z)
 
     def score(self, ids: np.ndarray, sizes: np.ndarray, tables: np.ndarray) -> np.ndarray:
         """log10 probability of each text."""
@@ -246,65 +291,78 @@ class Model:
             part = slice(lo, lo + STEP)
             rows = tables.take(np.r_[before, x[part].ravel()], 0)
             before = x[part][-1]
-            h = self.attend(rows, begins[part])[0]
-            target = y[part].ravel()
-            ok = np.flatnonzero(target >= 0)  # a window has one at least
-            of = text[part][ok // S]
+            of = text[part]
             cuts = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
-            out[of[cuts]] -= self.surprise(h if len(ok) == len(h) else h.take(ok, 0), target[ok], cuts)
+            out[of[cuts]] -= np.add.reduceat(self.surprise(self.attend(rows, begins[part])[0], y[part].ravel()), cuts * S)
         return out / math.log(10)
 
     def train(self, ids: np.ndarray, sizes: np.ndarray, grown: dict[str, np.ndarray], rate: float = RATE) -> None:
         """Gradient steps over all windows of the texts; grown: sums of squared gradients."""
-        p = self.p
+        p, shared = self.p, ["query", "key", "value", "own"]
         k, w = p["query"].shape[1], p["own"].shape[0]
-        scale = np.float32(1 / math.sqrt(k))
+        cuts = np.cumsum([k, k, w])
+        scale = np.repeat(np.array([1 / math.sqrt(k), 1], np.float32), [k, k + 2 * w])
+        weights, squares = (np.concatenate([x[name] for name in shared], axis=1) for x in (p, grown))
         x, y, begins, _ = windows(ids, sizes, len(p["ids"]) - 1)
         before = np.full(S, len(p["ids"]) - 1, np.int32)
-        for lo in range(0, len(x), BATCH):
-            part = slice(lo, lo + BATCH)
-            own = np.r_[before, x[part].ravel()]
+        lo = 0
+        while lo < len(x):
+            part = slice(lo, lo := lo + min(BATCH, max(LEAST, lo // 8)))
+            own = np.concatenate([before, x[part].ravel()])
             before = x[part][-1]
-            e = p["ids"].take(own, 0)
-            weights = np.concatenate([p["query"] * scale, p["key"], p["value"], p["own"]], axis=1)
-            h, a, total, q, keys, values = self.attend(e @ weights, begins[part])
-            a /= total
-            target = y[part].ravel()
-            ok = np.flatnonzero(target >= 0)
-            if not len(ok):
-                continue
-            got, above, below = self.slopes(h[ok], target[ok])
-            dh = np.zeros_like(h)
-            dh[ok] = got
-            dh *= 1 - h * h
-            n = len(begins[part])
-            do = dh.reshape(n, S, w)
+            e, scaled = p["ids"].take(own, 0), weights * scale
+            h, a, total, mixed, q, keys, values = self.attend(e @ scaled, begins[part])
+            dh, above, below = self.slopes(h, y[part].ravel())
+            h *= h
+            dh *= np.subtract(1, h, out=h)
+            do = dh.reshape(mixed.shape)
+            mixed *= do
+            do = do / total
             da = do @ values.transpose(0, 2, 1)
-            da = a * (da - (da * a).sum(axis=2, keepdims=True))
-            rows = np.zeros((len(own), 2 * k + 2 * w), np.float32)
-            rows[S:, :k] = (da @ keys).reshape(-1, k)
-            for lo_, d in ((k, da.transpose(0, 2, 1) @ q), (2 * k, a.transpose(0, 2, 1) @ do)):
-                hi_ = lo_ + d.shape[2]
-                rows[:-S, lo_:hi_] += d[:, :S].reshape(-1, d.shape[2])
-                rows[S:, lo_:hi_] += d[:, S:].reshape(-1, d.shape[2])
-            rows[S:, 2 * k + w :] = dh
-            dw = e.T @ rows
+            da -= (mixed.reshape(-1, w) @ np.ones(w, np.float32)).reshape(total.shape) / total
+            da *= a
+            rows = np.empty((len(own), 2 * k + 2 * w), h.dtype)
+            rows[:S] = 0
+            inner = rows[S:].reshape(len(a), S, -1)
+            np.matmul(da, keys, out=inner[:, :, :k])
+            of_keys = np.empty((len(a), 2 * S, k + w), h.dtype)
+            np.matmul(da.transpose(0, 2, 1), q, out=of_keys[:, :, :k])
+            np.matmul(a.transpose(0, 2, 1), do, out=of_keys[:, :, k:])
+            inner[:, :, k : 2 * k + w] = of_keys[:, S:]
+            inner[:, :, 2 * k + w :] = dh.reshape(do.shape)
+            rows[:-S].reshape(inner.shape)[:, :, k : 2 * k + w] += of_keys[:, :S]
             far = np.bincount(_DISTANCE.ravel(), da.sum(axis=0).ravel(), 2 * S).astype(np.float32)
-            for name, at, d in (("nodes", *above), ("nodes", *below), ("ids", *_summed(own, np.arange(len(own)), 1, rows @ weights.T)), ("query", ..., dw[:, :k] * scale), ("key", ..., dw[:, k : 2 * k]), ("value", ..., dw[:, 2 * k : 2 * k + w]), ("own", ..., dw[:, 2 * k + w :]), ("place", ..., far)):
-                d = np.clip(d, -8, 8)
-                sums = grown[name][at] + d * d
-                grown[name][at] = sums
-                p[name][at] += rate * d / np.sqrt(sums + 1e-6)
+            _step(weights, squares, ..., (e.T @ rows) * scale, rate)
+            for name, at, d in (("nodes", *above), ("nodes", *below), ("ids", *_summed(own, rows @ scaled.T, len(p["ids"]))), ("place", ..., far)):
+                _step(p[name], grown[name], at, d, rate)
+        for name, new, sums in zip(shared, np.split(weights, cuts, axis=1), np.split(squares, cuts, axis=1)):
+            p[name], grown[name] = np.ascontiguousarray(new), np.ascontiguousarray(sums)
+
+
+def _step(p: np.ndarray, grown: np.ndarray, at, d: np.ndarray, rate: float) -> None:
+    """A step of Adagrad at some rows, in place; d: their gradients."""
+    d = np.clip(d, -8, 8)
+    sums = grown[at] + d * d
+    grown[at] = sums
+    sums += 1e-6
+    d *= rate
+    d /= np.sqrt(sums)
+    p[at] += d
+
+
+def _least(most: int):
+    """The unsigned type for numbers up to `most`: numpy sorts two bytes by digits."""
+    return np.uint16 if most < 1 << 16 else np.uint32
 
 
-def _summed(at: np.ndarray, of: np.ndarray, by, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct `at` and the sums of `by` times the rows `of` of each."""
+def _summed(at: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct `at`, all under `most`, and the sums of the rows of each."""
     if not len(at):
         return at, rows[:0]
-    order = np.argsort(at, kind="stable")
-    at = at[order]
-    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-    return at[first], np.add.reduceat(rows.take(of[order], 0) * (by[order] if np.ndim(by) else by), first)
+    order = np.argsort(at.astype(_least(most)), kind="stable")
+    at = at.take(order)
+    first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    return at.take(first), np.add.reduceat(rows.take(order, 0), first)
 
 
 def text_blocks(docs: DataFrame, ranks, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:

@@ -199,6 +199,34 @@ def test_subwords_expand(ranks):
     assert got.tolist() == [x for f in flat for x in f] and n.tolist() == [len(f) for f in flat]
 
 
+def test_subwords_of_many_words_in_one_call(ranks, monkeypatch):
+    """Thousands of words a call, each cut as if it stood alone."""
+    import tiktoken
+
+    r, calls, cut = random.Random(4), [], tiktoken.Encoding.encode_ordinary
+    words = ["x" * 3000, "\u00a0", "a\u2003b", "\x00", "\x1f", "a\x85", "<|endoftext|>", *("".join(chr(r.choice([r.randrange(33, 127), r.randrange(0xA0, 0x2FF), r.randrange(0x1F600, 0x1F640)])) for _ in range(r.randrange(1, 9))) for _ in range(2000))]
+    monkeypatch.setattr(tiktoken.Encoding, "encode_ordinary", lambda self, text: calls.append(text) or cut(self, text))
+    got, at = attention.subwords(words, ranks)
+    assert len(calls) == 1
+    alone = tiktoken.Encoding("alone", pat_str=r"[\s\S]+", mergeable_ranks=ranks, special_tokens={})
+    assert [got[a:b].tolist() for a, b in zip(at, at[1:])] == [alone.encode_ordinary(" " + w) for w in words]
+
+
+def test_places_without_an_id_add_nothing():
+    """Windows go whole through the steps: places behind a text's end (-1) have no slope and no cost, and the others' don't depend on them."""
+    r = np.random.default_rng(9)
+    m = attention.Model.fresh(r.integers(0, 500, 300), keys=2, width=4)
+    m.p["nodes"] = r.standard_normal(m.p["nodes"].shape).astype(np.float32)
+    h, y = r.standard_normal((50, 4)).astype(np.float32), r.integers(0, 300, 50)
+    y[::3] = -1
+    some = y >= 0
+    assert 0 < m.tree.upper.min() and (m.tree.sizes > m.tree.upper).any()
+    assert not m.surprise(h, y)[~some].any() and np.allclose(m.surprise(h, y)[some], m.surprise(h[some], y[some]))
+    (dh, above, below), (dh_, above_, below_) = m.slopes(h, y), m.slopes(h[some], y[some])
+    assert not dh[~some].any() and np.allclose(dh[some], dh_, atol=1e-5) and np.allclose(above[1], above_[1], atol=1e-5)
+    assert np.array_equal(below[0], below_[0]) and np.allclose(below[1], below_[1], atol=1e-5)
+
+
 def _base(rows):
     token = lambda t: [*re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)), None]
     part = lambda i: None if i is None else zlib.crc32(str(i).encode()) % 7
