@@ -6,7 +6,7 @@ once, with S to 2 S ids before it. Queries, keys and values are tables over ids
 a bias for each distance. What attention brings, added to the last id's own vector, goes through tanh and meets the vectors of the nodes on the next id's
 path in a Huffman tree: the sum of the log sigmoids along the path is the log probability, so all ids together have probability one.
 
-The tree and its nodes' biases come from counts over all training texts: words are counted in dictionaries of blocks, cut into subwords once, and a word's count goes
+The tree and its nodes' biases come from counts over all training texts: words are counted in dictionaries of blocks, which are dealt by the words' hashes, cut into subwords once, and a word's count goes
 to its subwords. Attention starts from that unigram model and is trained by gradient steps (Adagrad) in the tasks, on every training text, each in one of the rounds
 (`share` above 1 takes fewer); what the tasks' models changed is averaged by their numbers of ids after each round, in whole numbers, so in any order of tasks. What
 reaches the driver and goes back to tasks has the vocabulary's size.
@@ -28,11 +28,11 @@ from functools import cached_property
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import WHITE, coded, let_go, lowered, packed, spans, strings, unpacked
-from .shared import steps, stored, texts
+from .blocks import WHITE, coded, firsts, let_go, lowered, packed, spans, strings, unpacked
+from .shared import U, bytes_of, steps, stored, texts, words
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Ids that a window scores, as many stand before; sizes of queries and of vectors.
@@ -44,6 +44,8 @@ RATE = 0.24
 LEAST, BATCH = 64, 256
 #: Windows scored at once; bytes of text in a block of words; parameters in a row when models are averaged.
 STEP, BLOCK, ROW = 256, 24 << 20, 1 << 14
+#: Training texts for each shelf of words, so that what a task counts at once stays small.
+PER_SHELF = 2000
 #: Nodes of the tree whose logits are worked out for all at once: most steps of most paths.
 UPPER = 64
 _FIXED = 1 << 24
@@ -365,9 +367,10 @@ def _summed(at: np.ndarray, rows: np.ndarray, most: int) -> tuple[np.ndarray, np
     return at.take(first), np.add.reduceat(rows.take(order, 0), first)
 
 
-def text_blocks(docs: DataFrame, ranks, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, share: int = SHARE, rounds: int = ROUNDS) -> DataFrame:
-    """(block, code, word, n, codes, sizes, ids, held, turns, given, lengths): dictionary rows with counts in training texts, and a row with code -1 for the texts themselves.
+def text_blocks(docs: DataFrame, ranks, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, share: int = SHARE, rounds: int = ROUNDS, shelves: int = 16) -> DataFrame:
+    """(block, code, n, words, ends, counts, codes, sizes, ids, held, turns, given, lengths): the block's dictionary on shelves by the words' hashes, and a row with code -1 for the texts themselves.
 
+    A shelf (its number is code) holds words' bytes one after another, their lengths, codes, and counts in training texts, whose sum is n.
     Training texts are those whose crc32(id as text) mod 7 is not 2; texts of that remainder are held out. turns: the round that trains on a text, or -1.
     given, lengths: subwords of the dictionary's words, so that words are cut once.
     """
@@ -389,13 +392,21 @@ def text_blocks(docs: DataFrame, ranks, id_col: str = "doc_id", text_col: str =
             ids = pa.concat_arrays([x[3] for x in parts])
             parts, size, k = [], 0, len(distinct)
             n = np.bincount(code[np.repeat(part == 0, sizes)], minlength=k)
-            none = [pa.nulls(k, t) for t in (pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(k, number)), pa.array(np.arange(k, dtype=np.int32)), distinct, pa.array(n), *none], names=names)
-            del n
+            data, at = bytes_of(texts(distinct))
+            shelf = words(data, at)[2] % U(shelves) if k else np.zeros(0, U)
+            order = np.argsort(shelf.astype(np.uint16 if shelves <= 1 << 16 else np.uint32), kind="stable")
+            first = firsts(shelf[order])
+            cuts, size_, kept = np.append(first, k), np.diff(at)[order].astype(np.int32), distinct.take(pa.array(order))
+            sums = np.add.reduceat(n[order], first) if k else n
+            columns = [*(_shelved(x, cuts) for x in (size_, order.astype(np.int32), n[order].astype(np.int64)))]
+            held_ = _shelved(bytes_of(texts(kept))[0], np.append(0, np.cumsum(size_, dtype=np.int64))[cuts])
+            none = [pa.nulls(len(first), t) for t in (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary(), pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), number)), pa.array(shelf[order][first].astype(np.int32)), pa.array(sums.astype(np.int64)), held_, columns[0], columns[2], columns[1], *none], names=names)
+            del n, columns, held_, kept, none
             given, begins = subwords(distinct, ranks.value)
             lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), x) for x in (ids, pa.array(part == 1))]
             kept = [pa.array([x], pa.binary()) for x in (turns.astype(np.int32).tobytes(), packed(given), packed(np.diff(begins)))]
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.nulls(1, pa.large_string()), pa.array([0]), pa.array([packed(code)], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), *lists, *kept], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([-1], pa.int32()), pa.array([0]), *(pa.nulls(1, pa.binary()) for _ in range(3)), pa.array([packed(code)], pa.binary()), pa.array([sizes.astype(np.int64).tobytes()], pa.binary()), *lists, *kept], names=names)
             number += 1
 
         for b in batches:
@@ -410,19 +421,37 @@ def text_blocks(docs: DataFrame, ranks, id_col: str = "doc_id", text_col: str =
         yield from flush()
         let_go()
 
-    names = ["block", "code", "word", "n", "codes", "sizes", "ids", "held", "turns", "given", "lengths"]
+    names = ["block", "code", "n", "words", "ends", "counts", "codes", "sizes", "ids", "held", "turns", "given", "lengths"]
     rest = F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(7))
     picked, dealt = F.xxhash64(id_col, F.lit(12)), F.xxhash64(id_col, F.lit(13))
     turn = F.when((rest != 2) & (F.pmod(picked, F.lit(share)) == 0), F.pmod(dealt, F.lit(rounds))).otherwise(-1)
     columns = docs.select(F.col(text_col).cast("string"), F.col(id_col).cast("long"), F.when(rest == 2, 1).when(rest.isNull(), 2).otherwise(0).cast("int"), turn.cast("int"))
-    return columns.mapInArrow(make, "block long, code int, word string, n long, codes binary, sizes binary, ids array<bigint>, held array<boolean>, turns binary, given binary, lengths binary")
+    return columns.mapInArrow(make, "block long, code int, n long, words binary, ends binary, counts binary, codes binary, sizes binary, ids array<bigint>, held array<boolean>, turns binary, given binary, lengths binary")
+
+
+def _shelved(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The values between each two cuts as bytes."""
+    at, values = pa.py_buffer(cuts.astype(np.int64) * values.itemsize), np.ascontiguousarray(values)
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(cuts) - 1, [None, at, pa.py_buffer(values)]).cast(pa.binary())
 
 
 def word_counts(blocks: DataFrame) -> DataFrame:
-    """(block, code, c, lead): dictionary rows of words that training texts hold; lead on one row of each word."""
-    whole = Window.partitionBy("word")
-    place = F.shiftleft("block", 31) + F.col("code")
-    return blocks.where("code >= 0").select("block", "code", F.sum("n").over(whole).alias("c"), (F.min(place).over(whole) == place).alias("lead")).where("c > 0")
+    """(block, codes, c, v): for each shelf of a block, its words' codes and counts in all training texts; v, on one row of a shelf: how many words have any."""
+
+    def count(shelf: pa.Table) -> pa.Table:
+        data, ends, n = (pa.concat_arrays([c.cast(pa.large_binary()) for c in shelf.column(x).chunks]) for x in ("words", "ends", "counts"))
+        sizes, n = (np.frombuffer(b"".join(x.to_pylist()), t) for x, t in ((ends, np.int32), (n, np.int64)))
+        at = np.append(0, np.cumsum(sizes, dtype=np.int64))
+        code, distinct = coded(pa.LargeStringArray.from_buffers(len(sizes), pa.py_buffer(at), pa.py_buffer(b"".join(data.to_pylist()))))
+        total = np.zeros(len(distinct), np.int64)
+        np.add.at(total, code, n)
+        cuts = np.append(0, np.cumsum([len(x) // 4 for x in ends.to_pylist()]))
+        v = np.zeros(len(cuts) - 1, np.int64)
+        v[:1] = np.count_nonzero(total)
+        return pa.table({"block": shelf.column("block"), "codes": shelf.column("codes"), "c": _shelved(total[code], cuts), "v": v})
+
+    kept = blocks.where("code >= 0").select("code", "block", "words", "ends", "counts", "codes")
+    return kept.groupBy("code").applyInArrow(count, "block long, codes binary, c binary, v long")
 
 
 def subword_counts(blocks: DataFrame, n_ids: int) -> np.ndarray:
@@ -546,10 +575,10 @@ def scores(docs: DataFrame, vocabulary: str = VOCABULARY, share: int = SHARE, ro
     end = max(read.values(), default=-1) + 1
     ranks = spark.sparkContext.broadcast(read)  # the vocabulary file
     docs = docs.select("doc_id", "text")
-    blocks = stored(text_blocks(docs, ranks, block=block, share=share, rounds=rounds))
-    counts = stored(word_counts(blocks))
     n_texts = docs.where(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(7)) != 2).count()
-    n_words, v_words = blocks.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0], counts.where("lead").count()
+    blocks = stored(text_blocks(docs, ranks, block=block, share=share, rounds=rounds, shelves=1 + n_texts // PER_SHELF))
+    counts = stored(word_counts(blocks))
+    n_words, v_words = (df.agg(F.coalesce(F.sum(c), F.lit(0))).first()[0] for df, c in ((blocks, "n"), (counts, "v")))
     total, distinct = n_words + n_texts, v_words + (n_texts > 0)
     ids = subword_counts(blocks, end + 1)
     ids[end] = n_texts
@@ -586,8 +615,8 @@ def scores(docs: DataFrame, vocabulary: str = VOCABULARY, share: int = SHARE, ro
             for i in range(row.num_rows):
                 code, sizes = unpacked(row.column("codes")[i].as_py()), np.frombuffer(row.column("sizes")[i].as_py(), np.int64)
                 c = np.zeros(int(code.max(initial=-1)) + 2, np.int64)  # every code of a block stands in its texts
-                for part in right.to_batches():
-                    c[np.asarray(part.column("code"))] = np.asarray(part.column("c"))
+                for codes, of in zip(*(right.column(x).to_pylist() for x in ("codes", "c"))):
+                    c[np.frombuffer(codes, np.int32)] = np.frombuffer(of, np.int64)
                 c[-1] = n_texts
                 each = np.log10((c + 1) / (total + distinct + 1))
                 of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
@@ -599,7 +628,7 @@ def scores(docs: DataFrame, vocabulary: str = VOCABULARY, share: int = SHARE, ro
 
     kept = ["block", "codes", "sizes", "ids", "held"]
     left = whole.select(*kept, "given", "lengths").mapInArrow(by_model, "block long, codes binary, sizes binary, ids array<bigint>, held array<boolean>, scores array<double>")
-    return left.groupBy("block").cogroup(counts.select("block", "code", "c").groupBy("block")).applyInArrow(by_counts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return left.groupBy("block").cogroup(counts.select("block", "codes", "c").groupBy("block")).applyInArrow(by_counts, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op12_lm_scores(spark, sf_dir: str) -> DataFrame:

@@ -247,6 +247,23 @@ def test_lm_scores(spark, frame, odd, block):
     assert len(by_id[4]) == 1 and by_id[6] == by_id[7]  # a text's score doesn't depend on its neighbours
 
 
+@pytest.mark.parametrize("shelves", [1, 5, 70_000])
+def test_word_counts_by_shelves(spark, frame, odd, ranks, shelves):
+    """Every word of every block has its count over all training texts; rows are shelves, not words."""
+    rows = odd + [(100 + i, f"Some words {i % 5} of {'many' * (i % 3)} words") for i in range(40)]
+    table = attention.text_blocks(frame(rows).repartition(3), spark.sparkContext.broadcast(ranks), block=3000, shelves=shelves).localCheckpoint()
+    want = collections.Counter(w for i, t in rows if i is not None and zlib.crc32(str(i).encode()) % 7 != 2 for w in re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(LOWER)))
+    words = {}
+    for r in table.where("code >= 0").collect():
+        at = np.append(0, np.cumsum(np.frombuffer(r["ends"], np.int32)))
+        words |= {(r["block"], c): bytes(r["words"][a:b]).decode() for c, a, b in zip(np.frombuffer(r["codes"], np.int32).tolist(), at, at[1:])}
+    counts = attention.word_counts(table).collect()
+    got = {(r["block"], c): n for r in counts for c, n in zip(np.frombuffer(r["codes"], np.int32).tolist(), np.frombuffer(r["c"], np.int64).tolist())}
+    assert got == {k: want[w] for k, w in words.items()} and len({b for b, _ in words}) > 1 and set(want) <= set(words.values())
+    assert sum(r["v"] for r in counts) == len(want) and table.agg(F.sum("n")).first()[0] == sum(want.values())
+    assert shelves > 5 or len(counts) <= shelves * len({b for b, _ in words})
+
+
 def test_lm_empty_and_nothing_to_learn(spark, frame):
     assert attention.scores(frame([])).count() == 0
     got = attention.scores(frame([(None, "only a null id"), (None, None)])).collect()
