@@ -7,7 +7,10 @@ the matches of a sentence together again (joined() does that). So sentences are
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -24,9 +27,14 @@ def _priority(kind: Column) -> Column:
     return F.array_position(F.array(*map(F.lit, data.TYPE_PRIORITY)), kind)
 
 
+def _listed(lexicon: DataFrame) -> DataFrame:
+    """(entity, term) of the non-empty terms, as often as they are listed."""
+    return lexicon.where("term != ''").select(F.upper("entity_type").alias("entity"), "term")
+
+
 def compiled(lexicon: DataFrame) -> DataFrame:
     """(entity, term, toks, n, key, k) of the distinct, non-empty terms."""
-    toks = lexicon.where("term != ''").select(F.upper("entity_type").alias("entity"), "term").distinct().withColumn("toks", tokens(F.col("term")))
+    toks = _listed(lexicon).distinct().withColumn("toks", tokens(F.col("term")))
     return toks.withColumn("n", F.size("toks")).withColumn("k", F.least("n", F.lit(_KEY))).withColumn("key", F.array_join(F.slice("toks", F.lit(1), F.col("k")), " "))
 
 
@@ -57,12 +65,17 @@ def resolved(found: DataFrame) -> DataFrame:
     return grouped.select("sid", F.aggregate("s", none, lambda a, x: F.when(F.size(a) == 0, F.array(F.struct(x["st"].alias("st"), (-x["ne"]).alias("en"), x["entity"].alias("entity"), x["term"].alias("term")))).otherwise(keep(a, x))).alias("spans"))
 
 
-def _met(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", part_terms: int = automaton.PART_TERMS, sent_bytes: int = automaton.SENT_BYTES, labelled: bool = False) -> DataFrame:
-    """(sid, tokens, spans) of every sentence, or (sid, tokens, labels)."""
+def _prepared(sentences: DataFrame, lexicon: DataFrame, id_col: str, text_col: str, part_terms: int = automaton.PART_TERMS, sent_bytes: int = automaton.SENT_BYTES) -> tuple[DataFrame, Callable[[], automaton.Automaton]]:
+    """(sid, tokens) of every sentence, and what gives tasks the automaton."""
     none = F.expr("cast(array() as array<string>)")
     toks = sentences.select(F.col(id_col).alias("sid"), F.coalesce(tokens(F.col(text_col)), none).alias("tokens"))
-    terms = compiled(lexicon).where("n > 0").select("toks", _priority(F.col("entity")).cast("int").alias("prio"), "entity", "term")
-    given = automaton.built(terms, part_terms, sent_bytes)
+    terms = _listed(lexicon).withColumn("toks", tokens(F.col("term"))).where(F.size("toks") > 0).select("toks", _priority(F.col("entity")).cast("int").alias("prio"), "entity", "term")
+    return toks, automaton.built(terms, part_terms, sent_bytes)
+
+
+def _met(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", labelled: bool = False, **sizes) -> DataFrame:
+    """(sid, tokens, spans) of every sentence, or (sid, tokens, labels)."""
+    toks, given = _prepared(sentences, lexicon, id_col, text_col, **sizes)
 
     def run(batches):
         for b in batches:
@@ -90,6 +103,21 @@ def mentions(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text
     return matched(sentences, lexicon, id_col, text_col, **sizes).select("sid", F.inline("spans"))
 
 
+def counts(sentences: DataFrame, lexicon: DataFrame, by: str, text_col: str = "sentence", **sizes) -> DataFrame:
+    """(by, entity, term, n): mentions in the sentences of each value of a column, added up within a batch; a group may have many rows."""
+    toks, given = _prepared(sentences, lexicon, by, text_col, **sizes)
+
+    def run(batches):
+        for b in batches:
+            found = automaton.spans(b.column(1), given())
+            _, _, entity, term = found.flatten().flatten()
+            t = pa.table([b.column(0).take(pc.list_parent_indices(found)), entity, term], names=["by", "entity", "term"])
+            yield from t.group_by(["by", "entity", "term"], use_threads=False).aggregate([([], "count_all")]).select(["by", "entity", "term", "count_all"]).rename_columns(names).to_batches()
+
+    names = [by, "entity", "term", "n"]
+    return toks.mapInArrow(run, T.StructType([T.StructField(by, toks.schema["sid"].dataType), *T._parse_datatype_string("entity string, term string, n long").fields]))
+
+
 def bio(sentences: DataFrame, lexicon: DataFrame, id_col: str = "sid", text_col: str = "sentence", **sizes) -> DataFrame:
     """(sid, tokens, labels): B- on a mention's first token, I- on its others, O elsewhere."""
     return _met(sentences, lexicon, id_col, text_col, **sizes, labelled=True)

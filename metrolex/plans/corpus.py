@@ -44,11 +44,11 @@ def sentences(spark: SparkSession, sf_dir: str, vocabulary: tables.Vocabulary |
     words = vocabulary or tables.Vocabulary.default(spark)
     k, i = F.col("l_orderkey"), F.col("l_linenumber")
     df = spread(spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).withColumn("value", F.col("l_quantity").cast("long").cast("string"))
-    templates, n = words.sentences()
-    df = picked(df, templates, k, n)
     for kind, key in (("polymer", F.col("l_partkey")), ("property", k + i), ("symbol", F.col("l_suppkey")), ("unit", F.col("l_suppkey") + i)):
         rows, n = words.terms(kind, kind)
         df = picked(df, rows, key, n) if n else df.withColumn(kind, F.lit("{" + kind + "}"))
+    templates, n = words.sentences()
+    df = picked(df, templates, k, n)  # last, as long texts need not go through a join that shuffles
     fills = {s: F.col(s) for s in ("polymer", "property", "symbol", "unit", "value")}
     sid = F.concat_ws("-", *(F.col(c).cast("string") for c in ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "value")))
     return df.select(sid.alias("sid"), "tpl_id", "family", *fills, render(F.col("text"), fills).alias("sentence"))

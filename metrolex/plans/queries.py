@@ -124,9 +124,8 @@ def mention_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def own_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions in a corpus rendered and matched with a vocabulary from files."""
     words = corpus.own_vocabulary(spark, sf_dir)
-    s = stored(corpus.sentences(spark, sf_dir, words).select("sid", "family", "sentence"))
-    found = mentions.matched(s, words.lexicon).select("sid", F.inline("spans"))
-    return found.join(s, "sid").groupBy("family", "entity").agg(F.count("*").alias("n"), F.countDistinct("term").alias("n_terms"))
+    found = mentions.counts(corpus.sentences(spark, sf_dir, words), words.lexicon, "family")
+    return found.groupBy("family", "entity").agg(F.sum("n").alias("n"), F.countDistinct("term").alias("n_terms"))
 
 
 def bio_labels(spark: SparkSession, sf_dir: str) -> DataFrame:

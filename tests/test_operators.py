@@ -1,13 +1,16 @@
 import os
 import random
 
+import duckdb
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from metrolex import data, tables
 from metrolex.operators import automaton, lookup, mentions
-from metrolex.plans import corpus
+from metrolex.plans import corpus, queries
+from metrolex.plans.oracle import ORACLE
 from metrolex.sources import vocabulary
 
 
@@ -129,3 +132,53 @@ def test_labels_and_back_are_no_row_by_row_folds(spark):
     got = mentions.decode_bio(df)
     assert "aggregate(" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(1, 0, 1, "A"), (1, 2, 3, "A"), (1, 3, 4, "A"), (1, 4, 6, "B"), (1, 7, 8, "B"), (2, 0, 1, "B"), (None, 0, 2, "A")]))
+
+
+def test_batches_do_not_read_the_vocabulary_again(spark, monkeypatch):
+    """A vocabulary in slots that no task may hold, met by many batches: as in joins, and its table is read once a worker."""
+    r = random.Random(5)
+    terms = [f"{r.choice(['old', 'new', 'hot'])} {r.choice(['ring', 'bolt'])} {i}" for i in range(3000)]
+    lexicon = tables.table(spark, [("polymer", i, t, "s") for i, t in enumerate([*terms, "old", "new ring", *terms[:50]])] + [("unit", 0, "m / s", "s"), ("unit", 1, "m/s", "s"), ("symbol", 0, "E", "s")], "entity_type string, ord int, term string, section string")
+    texts = [f"{r.choice(terms)} beside {r.choice(terms)} new ring {i}: E = 5 m/s, old" for i in range(300)]
+    want = {(x["sid"], *span) for x in mentions.joined(_sentences(spark, *texts), lexicon).collect() for span in x["spans"]}
+    given = automaton.built(mentions.compiled(lexicon).select("toks", mentions._priority(F.col("entity")).cast("int").alias("prio"), "entity", "term"), part_terms=100, sent_bytes=0)
+    toks = [x["t"] for x in _sentences(spark, *texts).orderBy("sid").select(mentions.tokens(F.col("sentence")).alias("t")).collect()]
+    reads, dataset = [], automaton.ds.dataset
+    monkeypatch.setattr(automaton, "HELD_BYTES", 0)
+    monkeypatch.setattr(automaton.ds, "dataset", lambda *a, **k: (reads.append(a), dataset(*a, **k))[1])
+    got = [automaton.spans(pa.array(toks[i : i + 30], pa.list_(pa.string())), given()).to_pylist() for i in range(0, 300, 30)]
+    assert {(30 * b + i, *m.values()) for b, rows in enumerate(got) for i, row in enumerate(rows) for m in row} == want
+    assert len(reads) <= 1
+
+
+def test_hashes_that_agree_by_chance(spark, monkeypatch):
+    """With hashes of two bits, terms are still told apart by their tokens."""
+    monkeypatch.setattr(automaton, "token_hashes", lambda words: np.array([len(w) % 4 for w in words], np.uint64))
+    prefixes = automaton.Hashed.__new__(automaton.Hashed)
+    words = [["aa", "b"], ["cc", "d"], ["aa"], ["e"], ["ff", "g", "hh"]]
+    hashes = [np.zeros(1, np.uint64)] * len(words)
+    for i, t in enumerate(words):
+        for h in automaton.token_hashes(t):
+            hashes[i] = automaton.moved(hashes[i], np.array([h]))
+    between = automaton.moved(automaton.moved(np.zeros(1, np.uint64), automaton.token_hashes(["ff"])), automaton.token_hashes(["g"]))
+    states = sorted({int(h[0]) for h in [*hashes, between]})
+    ends = [[{"prio": 1, "term": " ".join(t), "key": None} for i, t in enumerate(words) if int(hashes[i][0]) == x] for x in states]
+    prefixes.slots, prefixes.touched = 1, 0
+    prefixes.rows = {0: pa.record_batch([pa.array(states, pa.uint64()), pa.array(ends, pa.list_(automaton._ENDED))], names=["state", "ends"])}
+    prefixes.states = {0: prefixes.rows[0].column(0).to_numpy()}
+    batch = [["aa", "d", "cc", "d"], ["ii", "b", "aa"], ["ff", "g", "hh"], ["ff", "g", "kk"]]
+    monkeypatch.setattr(automaton.Automaton, "visited", lambda self: [prefixes])
+    got = automaton.spans(pa.array(batch, pa.list_(pa.string())), automaton.Automaton([], None)).to_pylist()
+    assert [[m["term"] for m in row] for row in got] == [["aa", "cc d"], ["aa"], ["ff g hh"], []]
+
+
+def test_counts_of_own_vocabulary(spark, tmp_path):
+    """Line items alike in all keys count as often as they are there, as in SQL; sentences are not joined again by their ids."""
+    con = duckdb.connect()
+    for name in ("part", "lineitem"):
+        df = spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet")
+        (df.union(df.limit(40)).union(df.limit(7)) if name == "lineitem" else df).write.parquet(str(tmp_path / f"{name}.parquet"))
+        con.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet/*.parquet'")
+    got = queries.own_vocabulary(spark, str(tmp_path))
+    assert sorted(map(tuple, got.collect())) == sorted(con.execute(ORACLE["own_vocabulary"]).fetchall())
+    assert "= sid#" not in got._jdf.queryExecution().optimizedPlan().toString()
